@@ -7,45 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numbers import number_ok, parse_number, strip_blanks
 from .skew import salted_join
 
 DELIMITERS = [";", ",", "\t", "|"]
 #: Stands for a delimiter inside quotes while a line is split.
 _HELD = "\u0002"
-_NUMBER = (
-    r"^\+?(?:[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?|[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]{1,3}(?:[    ][0-9]{3})+(?:[.,][0-9]+)?"
-    r"|[0-9]{1,3}(?:['’][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][+-]?[0-9]+)?$"
-)
-_BLANKS = r"^[ \t ]+|[ \t ]+$"
-
-
-def _strip(col: Column) -> Column:
-    return F.regexp_replace(col, _BLANKS, "")
-
-
-def number_ok(col: Column) -> Column:
-    """Whether a text is a finite number >= 0 as typed in any of the known number formats."""
-    t = _strip(col)
-    return t.rlike(_NUMBER) & F.coalesce(parse_number(col) < F.lit(float("inf")), F.lit(False))
-
-
-def parse_number(col: Column) -> Column:
-    """The number a text stands for (point, comma, thousands groups, exponent); null if it is none.
-
-    A separator that occurs once with three digits after it is a decimal point (``1.234`` is 1.234), as nothing else says otherwise.
-    """
-    t = F.regexp_replace(_strip(col), r"[    '’+](?=[0-9.,])", "")
-    many_dots, many_commas = t.rlike(r"\..*\."), t.rlike(",.*,")
-    last_dot, last_comma = F.length(F.substring_index(t, ".", -1)), F.length(F.substring_index(t, ",", -1))
-    both = t.contains(".") & t.contains(",")
-    plain = (
-        F.when(both & (last_dot < last_comma), F.replace(t, F.lit(","), F.lit("")))
-        .when(both, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(many_dots, F.replace(t, F.lit("."), F.lit("")))
-        .when(many_commas, F.replace(t, F.lit(","), F.lit("")))
-        .otherwise(F.replace(t, F.lit(","), F.lit(".")))
-    )
-    return plain.try_cast("double")
 
 
 def split_quoted(line: Column, delimiter: Column) -> Column:
@@ -91,7 +58,7 @@ def check_lines(lines: DataFrame, hot: list | None = None) -> DataFrame:
     country, cap = value("country"), value("cap")
     shape = F.coalesce(F.size("fields") != F.size("names"), F.lit(True))
     country_ok = F.coalesce(country.rlike(r"\p{L}") & country.rlike(r"^[\p{L}\p{M}0-9 .,'()&/-]*$"), F.lit(False))
-    cap_ok = (F.length(_strip(F.coalesce(cap, F.lit("")))) == 0) | number_ok(cap)
+    cap_ok = (F.length(strip_blanks(F.coalesce(cap, F.lit("")))) == 0) | number_ok(cap)
     rules = [("quoting", F.exists("fields", _bad_quotes)), ("column_count", shape), ("bad_country", ~country_ok), ("bad_cap", ~cap_ok)]
     errors = F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]), lambda x: x.isNotNull())
     return split.withColumn("errors", errors)
@@ -106,6 +73,6 @@ def accepted(checked: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Rows without errors as typed columns: ``columns`` maps a header name to ``string``, ``int`` or ``number``. Blank values are null."""
     out = [F.col("line_id"), F.col("file_name"), F.col("line_no")]
     for name, kind in columns.items():
-        raw = F.nullif(_strip(unquote(F.get("fields", F.array_position("names", name).cast("int") - 1))), F.lit(""))
+        raw = F.nullif(strip_blanks(unquote(F.get("fields", F.array_position("names", name).cast("int") - 1))), F.lit(""))
         out.append((parse_number(raw) if kind == "number" else raw.try_cast(kind)).alias(name))
     return checked.where(F.size("errors") == 0).select(*out).dropDuplicates(["line_id"])
