@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .canon import map_values
+from .names import KNOWN
 from .tokenize import encode_texts
 
 
@@ -15,5 +17,20 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
-QUERIES = {"p8_ids": p8_ids}
+TYPED = (("res_targets", "country", "country"), ("decommissioned_sites", "fuel_group", "fuel_group"))
+
+
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = None
+    for name, column, field_name in TYPED:
+        one = _table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), "row_id", F.lit(field_name).alias("field_name"), F.col(column).alias("value"))
+        rows = one if rows is None else rows.unionByName(one)
+    return map_values(rows, _table(spark, sf_dir, "canon_values"), KNOWN)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_values(spark, sf_dir).select("table_name", "row_id", "ref_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
