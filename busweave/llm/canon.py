@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
+
 # Letters of other scripts that look like Latin ones, and Latin letters that no decomposition makes plain.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ո": "n",
@@ -139,8 +141,9 @@ def map_values(rows: DataFrame, canon: DataFrame, names: dict[str, Names], least
     exact = canon.select("field_name", F.col("canon_value").alias("value")).where("value is not null").distinct()
     cases = rows.where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^\s*$")).select("table_name", "row_id", "field_name", "value").join(exact, ["field_name", "value"], "left_anti").distinct()
     values = cases.select("field_name", "value").distinct().withColumn("value_id", F.xxhash64("field_name", "value"))
-    listed = known_names(canon, names).withColumn("name_id", F.xxhash64("field_name", "name")).withColumn("tokens", tokens(F.col("name")))
-    forms = _forms(values, names)
+    # The list and the distinct values are each read several times below; written once, they are neither folded nor planned again.
+    listed = materialise(known_names(canon, names).withColumn("name_id", F.xxhash64("field_name", "name")).withColumn("tokens", tokens(F.col("name"))), "names")
+    forms = materialise(_forms(values, names), "forms")
 
     tried = forms.select("field_name", "value", "value_id", F.posexplode("forms").alias("o", "name")).join(listed.select("field_name", "name", "ref_id"), ["field_name", "name"])
     by_name = tried.groupBy("field_name", "value", "value_id").agg(F.min_by("ref_id", "o").alias("ref_id"))
@@ -150,10 +153,12 @@ def map_values(rows: DataFrame, canon: DataFrame, names: dict[str, Names], least
     heads = heads.groupBy("field_name", "folded").agg(F.min("ref_id").alias("ref_id"), F.count_distinct("ref_id").alias("n")).where("n = 1").drop("n")
     by_head = short.join(heads, ["field_name", "folded"]).select("value_id", "ref_id")
 
+    by_name, by_head = materialise(by_name, "by-name"), materialise(by_head, "by-head")
     left = forms.join(by_name, "value_id", "left_anti").join(by_head, "value_id", "left_anti")
-    wanted = left.select("field_name", "value_id", F.explode("forms").alias("form")).where(F.length("form") >= 2).withColumn("form_id", F.xxhash64("value_id", "form")).withColumn("tokens", tokens(F.col("form")))
+    wanted = left.select("field_name", "value_id", F.explode("forms").alias("form")).where(F.length("form") >= 2).withColumn("form_id", F.xxhash64("value_id", "form"))
+    wanted = materialise(wanted.withColumn("tokens", tokens(F.col("form"))), "wanted")
     near = F.struct(F.when(F.col("ref_id") == 0, F.lit(handicap)).otherwise(0.0) - F.col("jaccard"), "edits", "ref_id")
     best = _similar(wanted, listed, least).groupBy("value_id").agg(F.min_by("ref_id", near).alias("ref_id"))
     found = by_name.select("value_id", "ref_id", F.lit("name").alias("how")).unionByName(by_head.withColumn("how", F.lit("abbreviation"))).unionByName(best.withColumn("how", F.lit("similar")))
-    answered = values.join(found, "value_id", "left").select("field_name", "value", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.when(F.coalesce("ref_id", F.lit(0)) == 0, "none").otherwise(F.col("how")).alias("how"))
+    answered = forms.select("field_name", "value", "value_id").join(found, "value_id", "left").select("field_name", "value", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.when(F.coalesce("ref_id", F.lit(0)) == 0, "none").otherwise(F.col("how")).alias("how"))
     return cases.join(answered, ["field_name", "value"]).select("table_name", "row_id", "value", "ref_id", "how")
