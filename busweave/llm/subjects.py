@@ -28,73 +28,96 @@ MAX_EXAMPLES = 20_000
 
 # Phrases after which a sentence only mentions or compares with something, in the languages of the corpus.
 MENTIONS = (
-    r"\(\s*(?:not to be confused|as opposed to|anders als|nicht zu verwechseln|à ne pas confondre|a ne pas confondre)",
-    r"[-–—]+\s*a different matter from",
-    r",?\s*ganz im gegensatz zu",
-    r",?\s*im gegensatz zu",
-    r",?\s*contrairement (?:à|a|au)",
-    r",?\s*whatever one says of",
-    r",?\s*just as with",
-    r",?\s*(?<!\w)unlike\b",
-)
-_MENTION = re.compile(r"\s*(?:" + "|".join(MENTIONS) + ")", re.IGNORECASE)
+    "not to be confused", "as opposed to", "a different matter from", "whatever one says of", "just as with", r"\bunlike\b",
+    "anders als", "nicht zu verwechseln", "ganz im gegensatz zu", "im gegensatz zu",
+    "à ne pas confondre", "a ne pas confondre", r"\bcontrairement (?:à|a|au)\b",
+)
+_MENTION = re.compile("(?:" + "|".join(MENTIONS) + ")[^.!?…]*")
 _TAG = re.compile(r"<[^<>\n]{1,80}>")
-_BULLET = re.compile(r"^[\s>#*•·–-]+|^\s*\d{1,3}[.)]\s+")
+_NUMBERED = re.compile(r"^\d{1,3}[.)]\s+")
+_MARKS = " \t>#*•·–-"
 _BROKEN = re.compile(r"(\w)\s?-\n\s*(\w)")
 _END = re.compile(r"(?<=[.!?…])[\"»”)\]]*\s+")
-_ENDS = re.compile(r"[.!?…:][\"»”)\]]*$")
 _CODE = re.compile(r"[=\[\]{}|;]|\):$")
+_LETTERS = re.compile(r"[^\W\d_]{3}")
 _WORD = re.compile(r"\w+")
+_NUMBER = re.compile(r"\d+")
 # Characters a scan confuses become one.
 _SAME = str.maketrans({"0": "o", "1": "l", "e": "c"})
 
 
-def fold_words(text: str) -> list[str]:
-    """Words in lower case without accents; characters that scans confuse are one, numbers are all alike."""
-    t = text.lower()
-    if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return ["0" if w.isdigit() else w.translate(_SAME).replace("rn", "m") for w in _WORD.findall(t)]
+def fold_word(word: str) -> str:
+    """A lower-case word without accents; characters that scans confuse are one, numbers are all alike."""
+    if not word.isascii():
+        word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    return "0" if word.isdigit() else word.translate(_SAME).replace("rn", "m")
+
+
+def _lines(lowered: str) -> list[str]:
+    """Lines of a lower-case text without markup and list marks; words broken at a line's end are joined."""
+    if "<" in lowered:
+        lowered = _TAG.sub("\n", lowered)
+    if "-\n" in lowered:
+        lowered = _BROKEN.sub(r"\1\2", lowered)
+    out = []
+    for line in lowered.split("\n"):
+        line = line.strip().lstrip(_MARKS)
+        if line and line[0].isdigit():
+            line = _NUMBERED.sub("", line)
+        if line:
+            out.append(line)
+    return out
 
 
-def text_lines(text: str | None) -> list[str]:
-    """Lines of a text without markup and list marks; words broken at a line's end are joined."""
-    t = _BROKEN.sub(r"\1\2", _TAG.sub("\n", text or ""))
-    return [x for x in (_BULLET.sub("", line).strip() for line in t.split("\n")) if x]
+def last_lines(text: str | None, n: int = 3) -> list[str]:
+    """The last lines of a text that aren't blank, without working through all of it."""
+    out: list[str] = []
+    rest = text or ""
+    while rest and len(out) < n:
+        rest, _, line = rest.rpartition("\n")
+        out = _lines(line.lower()) + out
+    return out[-n:]
 
 
 def line_shape(line: str) -> str:
     """A line up to case and numbers, by which repeated footers are known."""
-    return re.sub(r"\d+", "0", line.lower())
+    return _NUMBER.sub("0", line.lower())
 
 
 def sentences(text: str | None, footers: frozenset[str] = frozenset()) -> list[list[str]]:
-    """Folded words of each sentence, without what it only mentions. Footers, code, tables and fragments under three words are no
+    """Lower-case words of each sentence, without what it only mentions. Footers, code, tables and fragments under three words are no
     sentences; a line that doesn't end a sentence goes on in the next."""
-    out: list[list[str]] = []
-    rest = ""
-
-    def close(buffer: str) -> None:
-        for s in _END.split(buffer):
-            m = _MENTION.search(s)
-            words = fold_words(s[: m.start()] if m else s)
-            if len(words) >= 3:
-                out.append(words)
-
-    for line in text_lines(text):
-        if line_shape(line) in footers or (_CODE.search(line) and not _ENDS.search(line.rstrip(":"))) or not any(len(w) > 2 and w.isalpha() for w in line.split()):
+    if not text:
+        return []
+    lowered = text.lower()
+    if not lowered.isascii():
+        lowered = unicodedata.normalize("NFC", lowered)
+    longest = max(map(len, footers)) + 12 if footers else 0
+    kept, rest = [], ""
+    for line in _lines(lowered):
+        if (len(line) <= longest and line_shape(line) in footers) or not _LETTERS.search(line):
+            continue
+        ends = line.rstrip("\"»”)]")[-1:] in ".!?…"
+        if not ends and _CODE.search(line):
             continue
         rest = f"{rest} {line}" if rest else line
-        if _ENDS.search(line):
-            close(rest)
+        if ends or line[-1] == ":":
+            kept.append(rest)
             rest = ""
     if rest:
-        close(rest)
+        kept.append(rest)
+    out = []
+    for part in kept:
+        for s in _END.split(_MENTION.sub("", part)):
+            words = _WORD.findall(s)
+            if len(words) >= 3:
+                out.append(words)
     return out
 
 
 def word_id(word: str) -> int:
-    return 1 + zlib.crc32(word.encode("utf-8")) % (WORDS - 1)
+    """Place of a lower-case word in the tables."""
+    return 1 + zlib.crc32(fold_word(word).encode("utf-8")) % (WORDS - 1)
 
 
 def _previous(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -110,7 +133,8 @@ def _pair(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Models:
-    """Counts of each class (subjects in order, "no subject" last): words, words as a context, pairs; and the background's share of each word."""
+    """Counts of each class (columns: subjects in order, then "no subject") by word, word as a context, and pair; and the background's
+    share of each word."""
 
     words: np.ndarray
     contexts: np.ndarray
@@ -119,29 +143,57 @@ class Models:
     pair_weight: float = 0.45
     word_weight: float = 0.40
 
+    def __post_init__(self) -> None:
+        total = self.words.sum(axis=0)
+        self._known = total > 0
+        self._share = (self.word_weight * self.words / np.maximum(total, 1e-9)).astype(np.float32)
+        self._base = self.background.astype(np.float32)
+
+    @property
+    def n_classes(self) -> int:
+        return self.words.shape[1]
+
     def gain(self, ids: np.ndarray, before: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Sentences x classes: log likelihood over the background's, the cross-entropy gain summed over the sentence."""
-        pair, base = _pair(before, ids), self.background[ids]
-        out = np.empty((len(starts), len(self.words)))
-        for k, (w, c, p) in enumerate(zip(self.words, self.contexts, self.pairs)):
-            total = float(w.sum())
-            if total == 0:  # nothing is known of the class yet: it is the background
-                out[:, k] = 0
-                continue
-            seen = c[before]
-            known = seen > 0
-            in_pair = np.divide(p[pair], seen, out=np.zeros(len(ids), dtype=np.float32), where=known)
-            q = self.pair_weight * in_pair + self.word_weight * w[ids] / total
-            q += (1 - self.pair_weight - self.word_weight + self.pair_weight * ~known) * base
-            out[:, k] = np.add.reduceat(np.log(q) - np.log(base), starts)
+        """Sentences x classes: log likelihood over the background's, the cross-entropy gain summed over the sentence.
+
+        A class of which nothing is known yet is the background itself.
+        """
+        out = np.empty((len(starts), self.n_classes), dtype=np.float32)
+        rest = np.float32(1 - self.pair_weight - self.word_weight)
+        # A piece at a time, so that the words x classes tables stay small; pieces end where sentences do.
+        bounds = np.searchsorted(starts, np.arange(0, len(ids), 200_000))
+        bounds = np.unique(np.append(bounds, len(starts)))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            lo, hi = starts[a], starts[b] if b < len(starts) else len(ids)
+            i, h = ids[lo:hi], before[lo:hi]
+            base = self._base[i][:, None]
+            seen = self.contexts[h]
+            q = self.pairs[_pair(h, i)]
+            fresh = seen <= 0
+            np.divide(q, seen, out=q, where=~fresh)
+            q *= np.float32(self.pair_weight)
+            q[fresh] = 0
+            q += self._share[i]
+            q /= base
+            q += rest
+            q += np.float32(self.pair_weight) * fresh
+            np.log(q, out=q)
+            out[a:b] = np.add.reduceat(q, starts[a:b] - lo, axis=0)
+        out[:, ~self._known] = 0
         return out
 
 
-def count_classes(ids: np.ndarray, before: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted counts per class; ``weights`` is words x classes."""
-    pair, k = _pair(before, ids), weights.shape[1]
-    count = lambda at, size: np.stack([np.bincount(at, weights=weights[:, i], minlength=size) for i in range(k)]).astype(np.float32)
-    return count(ids, WORDS), count(before, WORDS), count(pair, PAIRS)
+def count_classes(ids: np.ndarray, before: np.ndarray, starts: np.ndarray, p: np.ndarray, least: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts (places x classes) for ``p``, sentences x classes; shares under ``least`` of a sentence are left out."""
+    k = p.shape[1]
+    s, c = np.nonzero(p > least)
+    length = np.diff(np.append(starts, len(ids)))[s]
+    first = np.repeat(starts[s] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+    at = first + np.arange(int(length.sum()))
+    column, weight = np.repeat(c, length), np.repeat(p[s, c], length)
+    i, h = ids[at], before[at]
+    count = lambda x, size: np.bincount(x * k + column, weights=weight, minlength=size * k).reshape(size, k).astype(np.float32)
+    return count(i, WORDS), count(h, WORDS), count(_pair(h, i), PAIRS)
 
 
 def posteriors(gain: np.ndarray, doc: np.ndarray, n_docs: int, n_subjects: int, sharpness: float = 0.7, prior: float = 0.3, none: float = 0.3, rounds: int = 2) -> np.ndarray:
@@ -199,8 +251,7 @@ class Examples:
 
     def counts(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts with ``weights``, examples x classes."""
-        length = np.diff(np.append(self.starts, len(self.ids)))
-        return count_classes(self.ids, self.before, np.repeat(weights[self.of], length, axis=0))
+        return count_classes(self.ids, self.before, self.starts, weights[self.of])
 
     def languages(self) -> np.ndarray:
         """Log share of each word in each language of the examples."""
@@ -290,7 +341,7 @@ def repeated_footers(docs: DataFrame, share: float = 0.02, least: int = 5) -> fr
             n = 0
             for t in batch.column(0).to_pylist():
                 n += 1
-                for s in {line_shape(x) for x in text_lines(t)[-3:] if len(x) <= 400}:
+                for s in {line_shape(x) for x in last_lines(t) if len(x) <= 400}:
                     found[s] = found.get(s, 0) + 1
             found[""] = n
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["shape", "n"])
@@ -305,23 +356,27 @@ def encode_corpus(docs: DataFrame, footers: frozenset[str], doc_id: str = "doc_i
     kind = docs.schema[doc_id].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        known: dict[str, int] = {}
+
+        def look_up(word: str) -> int:
+            known[word] = i = word_id(word)
+            return i
+
+        get = known.get
         for batch in batches:
-            if len(cache) > 500_000:
-                cache.clear()
-            ids, lengths = [], []
+            if len(known) > 500_000:
+                known.clear()
+            ids: list[int] = []
+            lengths: list[int] = []
+            id_ends, length_ends = [0], [0]
             for t in batch.column(1).to_pylist():
-                found = sentences(t, footers) if t else []
-                flat = []
-                for s in found:
-                    for w in s:
-                        i = cache.get(w)
-                        if i is None:
-                            i = cache[w] = word_id(w)
-                        flat.append(i)
-                ids.append(flat)
-                lengths.append([len(s) for s in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32()))], names=[doc_id, "ids", "lengths"])
+                for s in sentences(t, footers):
+                    ids += [get(w) or look_up(w) for w in s]
+                    lengths.append(len(s))
+                id_ends.append(len(ids))
+                length_ends.append(len(lengths))
+            cols = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, pa.int32())) for e, v in ((id_ends, ids), (length_ends, lengths))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[doc_id, "ids", "lengths"])
 
     return docs.select(doc_id, "text").mapInArrow(encode, f"`{doc_id}` {kind.simpleString()}, ids array<int>, lengths array<int>")
 
@@ -348,17 +403,16 @@ def _count_corpus(encoded: DataFrame, model, size: int) -> tuple[np.ndarray, np.
                 continue
             ids, before, starts, doc = parts
             p = posteriors(model.value.gain(ids, before, starts), doc, batch.num_rows, size - 1)
-            length = np.diff(np.append(starts, len(ids)))
-            c = np.concatenate(count_classes(ids, before, np.repeat(p, length, axis=0)), axis=1)
+            c = np.concatenate(count_classes(ids, before, starts, p))
             total = c if total is None else total + c
         if total is not None:
-            k, at = np.nonzero(total > 1e-3)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at].astype(np.float64))], names=["k", "at", "n"])
+            at, k = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at, k].astype(np.float64))], names=["k", "at", "n"])
 
     rows = encoded.select("ids", "lengths").mapInArrow(count, "k int, at int, n double").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
-    dense = np.zeros((size, 2 * WORDS + PAIRS), dtype=np.float32)
-    dense[rows.column("k").to_numpy(), rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    return dense[:, :WORDS], dense[:, WORDS : 2 * WORDS], dense[:, 2 * WORDS :]
+    dense = np.zeros((2 * WORDS + PAIRS, size), dtype=np.float32)
+    dense[rows.column("at").to_numpy(), rows.column("k").to_numpy()] = rows.column("n").to_numpy()
+    return dense[:WORDS], dense[WORDS : 2 * WORDS], dense[2 * WORDS :]
 
 
 def beside(p: np.ndarray, spoken: np.ndarray, n_lang: int, doc: np.ndarray, n_docs: int, n_subjects: int) -> tuple[np.ndarray, np.ndarray]:
@@ -394,7 +448,7 @@ def _beside_in_corpus(encoded: DataFrame, model, n_subjects: int) -> tuple[np.nd
 
     rows = encoded.select("ids", "lengths").mapInArrow(count, "k int, lang int, j int, n double").groupBy("k", "lang", "j").agg(F.sum("n").alias("n")).collect()
     models, languages = model.value
-    out = np.zeros((len(models.words), len(languages), n_subjects + 1))
+    out = np.zeros((models.n_classes, len(languages), n_subjects + 1))
     for r in rows:
         out[r["k"], r["lang"], r["j"]] = r["n"]
     return out[:, :, -1], out[:, :, :-1]
@@ -408,7 +462,7 @@ def background_of(encoded: DataFrame) -> np.ndarray:
     return n / n.sum()
 
 
-def train(encoded: DataFrame, examples: DataFrame, subjects: list[int], rounds: int = 3, example_weight: float = 5.0) -> Models:
+def train(encoded: DataFrame, examples: DataFrame, subjects: list[int], rounds: int = 2, example_weight: float = 5.0) -> Models:
     """Models of the subjects (in order) and of no subject, from the examples and ``rounds`` passes over all documents."""
     rows = examples.where("text is not null and subject_id is not null").select("subject_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).distinct().limit(MAX_EXAMPLES + 1).collect()
     if len(rows) > MAX_EXAMPLES:
@@ -418,7 +472,7 @@ def train(encoded: DataFrame, examples: DataFrame, subjects: list[int], rounds:
     background = background_of(encoded)
     n = len(subjects)
     if len(ex.label) == 0:
-        zero = [np.zeros((n + 1, s), dtype=np.float32) for s in (WORDS, WORDS, PAIRS)]
+        zero = [np.zeros((s, n + 1), dtype=np.float32) for s in (WORDS, WORDS, PAIRS)]
         return Models(*zero, background)
     spark = encoded.sparkSession
     weights, cases = checked_labels(ex, n, background)
