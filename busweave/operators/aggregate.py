@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalar import joined_unique, loose_number, positive, safe_div
+from ..functions.scalar import haversine_km, joined_unique, loose_number, positive, safe_div
+from .ranking import prefix_sum
 
 
 def weighted_passthrough(df: DataFrame, keys: list[str], target: str, numeric: list[str], text: list[str], sources: str | None = None) -> DataFrame:
@@ -66,10 +67,32 @@ def parallel_branches(lines: DataFrame, keys: list[str], r: str = "r", x: str =
     return lines.groupBy(*keys).agg(*aggs).withColumns({"r": F.try_divide(F.col("_g"), y2), "x": F.try_divide(-F.col("_b"), y2)}).drop("_g", "_b")
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
+    """(keys, quantile, value): exact linear quantiles of the known values.
+
+    Rows are counted by distinct value before they are shuffled, ranks are prefix sums in two steps, and only the one or two values
+    a quantile lies between are kept: no group's values are ever collected. NaN counts as unknown.
+    """
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counted = known.select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.withColumn("_coarse", F.floor("_v"))
+    group = keys or ["_all"]
+    if not keys:
+        counted = counted.withColumn("_all", F.lit(1))
+    placed = prefix_sum(counted, group, "_coarse", [F.col("_v")], "_c", "_before")
+    total = counted.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("pos")) for q in at])
+    hit = placed.join(total, group).withColumn("_w", F.filter(wanted, lambda x: (F.floor(x["pos"]) < F.col("_before") + F.col("_c")) & (F.ceil(x["pos"]) >= F.col("_before"))))
+    hit = hit.select(*keys, "_v", "_before", "_c", F.explode("_w").alias("_w"))
+    low = F.max(F.when((F.floor("_w.pos") >= F.col("_before")) & (F.floor("_w.pos") < F.col("_before") + F.col("_c")), F.col("_v")))
+    high = F.max(F.when((F.ceil("_w.pos") >= F.col("_before")) & (F.ceil("_w.pos") < F.col("_before") + F.col("_c")), F.col("_v")))
+    out = hit.groupBy(*keys, F.col("_w.q").alias("quantile"), F.col("_w.pos").alias("_pos")).agg(low.alias("_low"), high.alias("_high"))
+    return out.select(*keys, "quantile", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos"))).alias("value"))
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Median by keys (mean of the middle two), by counting values: only distinct values of a group meet, in steps that combine before
-    they shuffle."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias(out))
+    """Median by keys (mean of the middle two)."""
+    return exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("value").alias(out))
 
 
 def median_imputation(df: DataFrame, value: str, levels: list[list[str]], default: float = 1.0) -> DataFrame:
@@ -85,8 +108,8 @@ def median_imputation(df: DataFrame, value: str, levels: list[list[str]], defaul
         if keys:
             out = out.join(exact_median(known, keys, value, m), keys, "left")
         else:
-            only = known.agg(F.median(value).alias(m)).first()[0]
-            out = out.withColumn(m, F.lit(only).cast("double"))
+            only = exact_median(known, [], value, m).first()
+            out = out.withColumn(m, F.lit(only[0] if only else None).cast("double"))
         amount = F.coalesce(F.col(m), amount)
         source = F.when(F.col(m).isNotNull(), "_".join(keys) or "global").otherwise(source)
     missing = F.col(value).isNull()
@@ -97,9 +120,10 @@ def border_imputation(edges: DataFrame, value: str, side_a: str, side_b: str, kl
     """Missing ratings of edges between countries: the mean of both sides' medians in the voltage class, else the one side that has
     one, else the class, else all, else ``default``."""
     inner = edges.where((F.col(side_a) == F.col(side_b)) & (F.col(value) > 0))
-    by_side = inner.groupBy(F.col(side_a).alias("_c"), F.col(klass).alias("_k")).agg(F.median(value).alias("_m"))
-    by_class = edges.where(F.col(value) > 0).groupBy(klass).agg(F.median(value).alias("_mk"))
-    all_ = edges.where(F.col(value) > 0).agg(F.median(value)).first()[0]
+    by_side = exact_median(inner.select(F.col(side_a).alias("_c"), F.col(klass).alias("_k"), value), ["_c", "_k"], value, "_m")
+    positive_ones = edges.where(F.col(value) > 0)
+    by_class = exact_median(positive_ones, [klass], value, "_mk")
+    all_ = (exact_median(positive_ones, [], value, "_m").first() or [None])[0]
     a = by_side.select(F.col("_c").alias(side_a), F.col("_k").alias(klass), F.col("_m").alias("_ma"))
     b = by_side.select(F.col("_c").alias(side_b), F.col("_k").alias(klass), F.col("_m").alias("_mb"))
     out = edges.join(a, [side_a, klass], "left").join(b, [side_b, klass], "left").join(by_class, klass, "left")
@@ -142,13 +166,6 @@ def energy_mean(df: DataFrame, keys: list[str], time: str, load: str, hours: str
     return per.groupBy(*keys).agg(safe_div(F.sum(F.col("_l") * F.col("_h")), F.sum("_h")).alias("mean_load"))
 
 
-def quantile_table(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
-    """(keys, quantile, value): linear quantiles."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(x) for x in at])).alias("_q"))
-    pairs = F.arrays_zip(F.array(*[F.lit(x) for x in at]).alias("quantile"), F.col("_q").alias("value"))
-    return q.select(*keys, F.inline(pairs).alias("quantile", "value"))
-
-
 def retention(df: DataFrame, keys: list[str], value: str, weight: str, thresholds: list[float]) -> DataFrame:
     """(keys, threshold, n_kept, share_kept, weight_kept): what stays at or above each threshold, in one pass over the rows."""
     parts = []
@@ -164,8 +181,6 @@ def medoid(points: DataFrame, group: str, ident: str, lat: str = "lat", lon: str
 
     All distances within a group are the definition; groups are clusters of a reduced network (tens to hundreds of members).
     """
-    from ..functions.scalar import haversine_km
-
     p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(group, ident, lat, lon)
     q = p.select(group, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
     total = p.join(q, group).groupBy(group, ident).agg(F.sum(haversine_km(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon"), radius)).alias("total_km"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import EARTH_KM, haversine_km, safe_div
+from ..session import materialise
 
 #: Degrees of latitude of the first search grid; each further one is four times as wide, the last holds the whole group.
 CELL_DEG, ROUNDS = 0.5, 4
@@ -24,7 +25,7 @@ def nearest(points: DataFrame, nodes: DataFrame, group: str | None = None, cell:
     p = points.select("point", *g, F.col("lat").alias("_plat"), F.col("lon").alias("_plon")).distinct()
     n = nodes.where("lat is not null and lon is not null and node is not null").select("node", *g, F.col("lat").alias("_nlat"), F.col("lon").alias("_nlon")).distinct()
     open_ = p.where(F.col("_plat").isNotNull() & F.col("_plon").isNotNull())
-    done = None
+    done: list[DataFrame] = []
     for i in range(rounds + 1):
         size = cell * 4**i
         last = i == rounds
@@ -41,23 +42,31 @@ def nearest(points: DataFrame, nodes: DataFrame, group: str | None = None, cell:
         km = haversine_km(F.col("_plat"), F.col("_plon"), F.col("_nlat"), F.col("_nlon"), radius)
         met = left.join(right, keys).groupBy("point", *g, "_plat", "_plon").agg(F.min(F.struct(km.alias("km"), F.col("node"))).alias("_b"))
         if last:
-            settled = met
-        else:
-            # Outside the nine cells everything is at least one cell away: in latitude, or in longitude at the row's far edge. Near
-            # the date line and the poles the wide grids decide.
-            far_lat = F.least(F.lit(89.9), F.abs("_plat") + 2 * size)
-            reach = F.lit(radius) * F.asin(F.sin(F.radians(F.lit(float(min(size, 89.0))))) * F.cos(F.radians(far_lat)))
-            inside = (F.abs("_plon") + 2 * size < 180) & (F.abs("_plat") + 2 * size < 90)
-            settled = met.where(inside & (F.col("_b.km") <= F.least(reach, F.lit(radius * math.radians(size)))))
-        done = settled if done is None else done.unionByName(settled)
-        if not last:
-            open_ = open_.join(settled.select("point"), "point", "left_anti")
-    return p.select("point", *g).join(done.select("point", F.col("_b.node").alias("node"), F.col("_b.km").alias("km")), "point", "left")
+            done.append(met)
+            break
+        # Outside the nine cells everything is at least one cell away: in latitude, or in longitude at the row's far edge. Near the
+        # date line and the poles the wide grids decide.
+        far_lat = F.least(F.lit(89.9), F.abs("_plat") + 2 * size)
+        reach = F.lit(radius) * F.asin(F.sin(F.radians(F.lit(float(min(size, 89.0))))) * F.cos(F.radians(far_lat)))
+        inside = (F.abs("_plon") + 2 * size < 180) & (F.abs("_plat") + 2 * size < 90)
+        sure = inside & (F.col("_b.km") <= F.least(reach, F.lit(radius * math.radians(size))))
+        # One write a round: points with their best so far, settled or not. Lineage stays one round long.
+        state = open_.join(met.select("point", "_b"), "point", "left").withColumn("_sure", F.coalesce(sure, F.lit(False)))
+        state = materialise(state, "nearest")
+        done.append(state.where("_sure").drop("_sure"))
+        open_ = state.where("not _sure").drop("_b", "_sure")
+        if not open_.limit(1).count():
+            break
+    found = None
+    for part in done:
+        part = part.select("point", F.col("_b.node").alias("node"), F.col("_b.km").alias("km"))
+        found = part if found is None else found.unionByName(part)
+    return p.select("point", *g).distinct().join(found, "point", "left")
 
 
 def nearest_in_group_else_any(points: DataFrame, nodes: DataFrame, group: str, radius: float = EARTH_KM) -> DataFrame:
     """(point, node, km, in_group): the nearest node of the point's own group; for points whose group has none, the nearest of all."""
-    own = nearest(points, nodes, group, radius=radius)
+    own = materialise(nearest(points, nodes, group, radius=radius), "nearest-own")
     found = own.where("node is not null").select("point", "node", "km", F.lit(True).alias("in_group"))
     rest = points.join(found.select("point"), "point", "left_anti")
     any_ = nearest(rest, nodes, None, radius=radius).select("point", "node", "km", F.lit(False).alias("in_group"))

@@ -91,6 +91,17 @@ def unallocated(targets: DataFrame, allocation: DataFrame, group: str, target: s
     return targets.select(group, target).join(got, group, "left").fillna(0, ["allocated", "n_rows"]).withColumn("left_over", F.col(target) - F.col("allocated"))
 
 
-def share_window(*group: str):
-    """A window over a group that is known to be small (clusters of a country and the like)."""
-    return Window.partitionBy(*group)
+def ranked_nodes(nodes: DataFrame, group: str, order: list[tuple[str, bool]], ident: str, out: str = "rank") -> DataFrame:
+    """Nodes of each group ranked by columns (name, falling), then id. Groups are nodes of a country: a window is enough."""
+    keys = [F.col(c).desc() if falling else F.col(c).asc() for c, falling in order]
+    return nodes.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*keys, F.col(ident))))
+
+
+def top_site(sites: DataFrame, group: str, ident: str, chain: list[str]) -> DataFrame:
+    """(group, id, rule): the site with the largest value of the first column of the chain that has a positive one; ties to the largest id."""
+    best = sites.groupBy(group).agg(*[F.max(F.struct(positive(F.col(c)).alias("v"), F.col(ident).alias("i"))).alias(f"_{c}") for c in chain])
+    site, rule = F.lit(None), F.lit(None)
+    for c in reversed(chain):
+        has = F.col(f"_{c}.v") > 0
+        site, rule = F.when(has, F.col(f"_{c}.i")).otherwise(site), F.when(has, c).otherwise(rule)
+    return best.select(group, site.alias(ident), rule.alias("rule"))
