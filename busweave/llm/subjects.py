@@ -28,11 +28,11 @@ MAX_EXAMPLES = 20_000
 
 # Phrases after which a sentence only mentions or compares with something, in the languages of the corpus.
 MENTIONS = (
-    "not to be confused", "as opposed to", "a different matter from", "whatever one says of", "just as with", r"\bunlike\b",
+    "not to be confused", "as opposed to", "a different matter from", "whatever one says of", "just as with", " unlike ",
     "anders als", "nicht zu verwechseln", "ganz im gegensatz zu", "im gegensatz zu",
-    "à ne pas confondre", "a ne pas confondre", r"\bcontrairement (?:à|a|au)\b",
+    "à ne pas confondre", "a ne pas confondre", "contrairement à", "contrairement a",
 )
-_MENTION = re.compile("(?:" + "|".join(MENTIONS) + ")[^.!?…]*")
+_STOP = re.compile("[.!?…]")
 _TAG = re.compile(r"<[^<>\n]{1,80}>")
 _NUMBERED = re.compile(r"^\d{1,3}[.)]\s+")
 _MARKS = " \t>#*•·–-"
@@ -69,6 +69,17 @@ def _lines(lowered: str) -> list[str]:
     return out
 
 
+def without_mentions(lowered: str) -> str:
+    """A lower-case text without what its sentences only mention: from the phrase to the end of the sentence."""
+    for phrase in MENTIONS:
+        i = lowered.find(phrase)
+        while i >= 0:
+            stop = _STOP.search(lowered, i + len(phrase))
+            lowered = lowered[:i] + " " + (lowered[stop.start() :] if stop else "")
+            i = lowered.find(phrase, i)
+    return lowered
+
+
 def last_lines(text: str | None, n: int = 3) -> list[str]:
     """The last lines of a text that aren't blank, without working through all of it."""
     out: list[str] = []
@@ -108,7 +119,7 @@ def sentences(text: str | None, footers: frozenset[str] = frozenset()) -> list[l
         kept.append(rest)
     out = []
     for part in kept:
-        for s in _END.split(_MENTION.sub("", part)):
+        for s in _END.split(without_mentions(part)):
             words = _WORD.findall(s)
             if len(words) >= 3:
                 out.append(words)
@@ -346,7 +357,8 @@ def repeated_footers(docs: DataFrame, share: float = 0.02, least: int = 5) -> fr
             found[""] = n
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["shape", "n"])
 
-    counted = docs.select("text").mapInArrow(tails, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n"))
+    # Three lines of at most 400 characters, and blank ones between them, lie within the last 1500.
+    counted = docs.select(F.substring("text", -1500, 1500).alias("text")).mapInArrow(tails, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n"))
     total = docs.count()
     return frozenset(r["shape"] for r in counted.where((F.col("n") >= max(least, total * share)) & (F.col("shape") != "")).collect())
 
