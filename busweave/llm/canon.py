@@ -136,7 +136,7 @@ def map_values(rows: DataFrame, canon: DataFrame, names: dict[str, Names], least
     ``rows`` has table_name, row_id, field_name, value; nulls, empty and blank values are no cases, repeated rows count once. ``how``
     is name, abbreviation, similar or none (ref_id 0: reported as unmatched). Only distinct values are matched; the list is joined
     by its rare tokens, so a frequent value or token never meets all values. A misspelt name that means no entry must be nearer by
-    ``handicap``, as entries are what people mean as a rule. Ties go to fewer edits, then the smaller ref_id.
+    ``handicap``, as entries are what people mean as a rule; names with digits are codes and match only exactly. Ties go to fewer edits, then the smaller ref_id.
     """
     exact = canon.select("field_name", F.col("canon_value").alias("value")).where("value is not null").distinct()
     cases = rows.where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^\s*$")).select("table_name", "row_id", "field_name", "value").join(exact, ["field_name", "value"], "left_anti").distinct()
@@ -155,10 +155,13 @@ def map_values(rows: DataFrame, canon: DataFrame, names: dict[str, Names], least
 
     by_name, by_head = materialise(by_name, "by-name"), materialise(by_head, "by-head")
     left = forms.join(by_name, "value_id", "left_anti").join(by_head, "value_id", "left_anti")
-    wanted = left.select("field_name", "value_id", F.explode("forms").alias("form")).where(F.length("form") >= 2).withColumn("form_id", F.xxhash64("value_id", "form"))
+    # Every letter is a token, so a form with more letters than the largest name's tokens over ``least`` is similar to none; it needs none.
+    largest = listed.agg(F.max(F.size("tokens"))).first()[0] or 0
+    wanted = left.select("field_name", "value_id", F.explode("forms").alias("form"))
+    wanted = wanted.where(F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))).between(2, int(largest / least))).withColumn("form_id", F.xxhash64("value_id", "form"))
     wanted = materialise(wanted.withColumn("tokens", tokens(F.col("form"))), "wanted")
     near = F.struct(F.when(F.col("ref_id") == 0, F.lit(handicap)).otherwise(0.0) - F.col("jaccard"), "edits", "ref_id")
-    best = _similar(wanted, listed, least).groupBy("value_id").agg(F.min_by("ref_id", near).alias("ref_id"))
+    best = _similar(wanted, listed.where(~F.col("name").rlike("[0-9]")), least).groupBy("value_id").agg(F.min_by("ref_id", near).alias("ref_id"))
     found = by_name.select("value_id", "ref_id", F.lit("name").alias("how")).unionByName(by_head.withColumn("how", F.lit("abbreviation"))).unionByName(best.withColumn("how", F.lit("similar")))
     answered = forms.select("field_name", "value", "value_id").join(found, "value_id", "left").select("field_name", "value", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.when(F.coalesce("ref_id", F.lit(0)) == 0, "none").otherwise(F.col("how")).alias("how"))
     return cases.join(answered, ["field_name", "value"]).select("table_name", "row_id", "value", "ref_id", "how")

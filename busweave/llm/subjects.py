@@ -513,7 +513,7 @@ def assign_subjects(encoded: DataFrame, models: Models, subjects: list[int], doc
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = _unpack(batch)
-            if parts is None:
+            if parts is None or not sent.value.words.any():  # without any example nothing is about anything
                 continue
             ids, before, starts, doc = parts
             p = posteriors(sent.value.gain(ids, before, starts), doc, batch.num_rows, len(subjects))
