@@ -58,36 +58,36 @@ def parallel_branches(lines: DataFrame, keys: list[str], r: str = "r", x: str =
     """
     z2 = F.col(r) * F.col(r) + F.col(x) * F.col(x)
     g, b = F.sum(F.when(z2 > 0, F.col(r) / z2)), F.sum(F.when(z2 > 0, -F.col(x) / z2))
-    aggs = [g.alias("_g"), b.alias("_b"), F.count(F.lit(1)).alias("n_branches")]
+    aggs = [g.alias("_pg"), b.alias("_pb"), F.count(F.lit(1)).alias("n_branches")]
     if rating:
         aggs.append(F.coalesce(F.sum(rating), F.lit(0.0)).alias("rating"))
     if rating and length:
         aggs.append(safe_div(F.sum(F.col(length) * F.col(rating)), F.sum(rating)).alias("length"))
-    y2 = F.col("_g") * F.col("_g") + F.col("_b") * F.col("_b")
-    return lines.groupBy(*keys).agg(*aggs).withColumns({"r": F.try_divide(F.col("_g"), y2), "x": F.try_divide(-F.col("_b"), y2)}).drop("_g", "_b")
+    y2 = F.col("_pg") * F.col("_pg") + F.col("_pb") * F.col("_pb")
+    return lines.groupBy(*keys).agg(*aggs).withColumns({"r": F.try_divide(F.col("_pg"), y2), "x": F.try_divide(-F.col("_pb"), y2)}).drop("_pg", "_pb")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
     """(keys, quantile, value): exact linear quantiles of the known values.
 
     Rows are counted by distinct value before they are shuffled, ranks are prefix sums in two steps, and only the one or two values
-    a quantile lies between are kept: no group's values are ever collected. NaN counts as unknown.
+    a quantile lies between are kept: no group's values are ever collected. NaN counts as unknown; a null key drops out.
     """
     known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counted = known.select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.withColumn("_coarse", F.floor("_v"))
-    group = keys or ["_all"]
+    counted = known.select(*keys, F.col(value).cast("double").alias("_eq_v")).groupBy(*keys, "_eq_v").agg(F.count(F.lit(1)).alias("_eq_c"))
+    counted = counted.withColumn("_eq_coarse", F.floor("_eq_v"))
+    group = keys or ["_eq_all"]
     if not keys:
-        counted = counted.withColumn("_all", F.lit(1))
-    placed = prefix_sum(counted, group, "_coarse", [F.col("_v")], "_c", "_before")
-    total = counted.groupBy(*group).agg(F.sum("_c").alias("_n"))
-    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("pos")) for q in at])
-    hit = placed.join(total, group).withColumn("_w", F.filter(wanted, lambda x: (F.floor(x["pos"]) < F.col("_before") + F.col("_c")) & (F.ceil(x["pos"]) >= F.col("_before"))))
-    hit = hit.select(*keys, "_v", "_before", "_c", F.explode("_w").alias("_w"))
-    low = F.max(F.when((F.floor("_w.pos") >= F.col("_before")) & (F.floor("_w.pos") < F.col("_before") + F.col("_c")), F.col("_v")))
-    high = F.max(F.when((F.ceil("_w.pos") >= F.col("_before")) & (F.ceil("_w.pos") < F.col("_before") + F.col("_c")), F.col("_v")))
-    out = hit.groupBy(*keys, F.col("_w.q").alias("quantile"), F.col("_w.pos").alias("_pos")).agg(low.alias("_low"), high.alias("_high"))
-    return out.select(*keys, "quantile", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos"))).alias("value"))
+        counted = counted.withColumn("_eq_all", F.lit(1))
+    placed = prefix_sum(counted, group, "_eq_coarse", [F.col("_eq_v")], "_eq_c", "_eq_before")
+    total = counted.groupBy(*group).agg(F.sum("_eq_c").alias("_eq_n"))
+    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_eq_n") - 1)).alias("pos")) for q in at])
+    hit = placed.join(total, group).withColumn("_eq_w", F.filter(wanted, lambda x: (F.floor(x["pos"]) < F.col("_eq_before") + F.col("_eq_c")) & (F.ceil(x["pos"]) >= F.col("_eq_before"))))
+    hit = hit.select(*keys, "_eq_v", "_eq_before", "_eq_c", F.explode("_eq_w").alias("_eq_w"))
+    low = F.max(F.when((F.floor("_eq_w.pos") >= F.col("_eq_before")) & (F.floor("_eq_w.pos") < F.col("_eq_before") + F.col("_eq_c")), F.col("_eq_v")))
+    high = F.max(F.when((F.ceil("_eq_w.pos") >= F.col("_eq_before")) & (F.ceil("_eq_w.pos") < F.col("_eq_before") + F.col("_eq_c")), F.col("_eq_v")))
+    out = hit.groupBy(*keys, F.col("_eq_w.q").alias("quantile"), F.col("_eq_w.pos").alias("_eq_pos")).agg(low.alias("_eq_low"), high.alias("_eq_high"))
+    return out.select(*keys, "quantile", (F.col("_eq_low") + (F.col("_eq_high") - F.col("_eq_low")) * (F.col("_eq_pos") - F.floor("_eq_pos"))).alias("value"))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

@@ -16,7 +16,7 @@ def _ordered(names: list[str], descending: bool) -> list[Column]:
 def prefix_sum(df: DataFrame, group: list[str], coarse: str, order: list[Column], value: str, out: str, descending: bool = False) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before each row (exclusive) in (coarse, order) within its group.
 
-    ``coarse`` must be the leading key of the order. Null values count 0. Ties are broken by the last order key, which should be an id.
+    ``coarse`` must be the leading key of the order. Null values count 0; rows with a null group or coarse key drop out. Ties are broken by the last order key, which should be an id.
     """
     amount = F.coalesce(F.col(value), F.lit(0))
     ahead = Window.partitionBy(*group).orderBy(*_ordered([coarse], descending)).rowsBetween(Window.unboundedPreceding, -1)
