@@ -49,4 +49,24 @@ def _feed(name: str):
 
 
 QUERIES = {"p4_found": p4_found, "p4_nonres_table": _feed("nonres_attributes"), "p4_sites_table": _feed("decommissioned_sites")}
-SQL: dict[str, str] = {}
+
+_NAMES = ", ".join(f"('{feed}', '{n}', '{t.name}')" for feed, targets in FEEDS.items() for t in targets for n in (t.name, *t.other_names))
+SQL = {
+    "p4_found": f"""with names(feed, name, q) as (values {_NAMES}),
+files as (select feed, sender, file_id, delivered_at, row_number() over w as seq from (select distinct feed, sender, file_id, delivered_at from delivery_rows) window w as (partition by feed, sender order by delivered_at, file_id)),
+ends as (select feed, sender, max(seq) as last_seq from files group by 1, 2),
+raw as (select file_id, unnest(json_keys(payload)) as name, payload from delivery_rows where json_valid(payload)),
+kinds as (select file_id, name, json_type(payload, '$."' || name || '"') as t from raw),
+seen as (select k.file_id, k.name, max(case when t = 'VARCHAR' then 'text' when t = 'BOOLEAN' then 'boolean' when t = 'ARRAY' then 'list' when t = 'OBJECT' then 'object' when t = 'NULL' then null else 'number' end) as kind from kinds k group by 1, 2),
+s as (select f.*, last_seq, seen.name, kind, coalesce(q, seen.name) as quantity from seen join files f using (file_id) join ends using (feed, sender) left join names on names.feed = f.feed and names.name = seen.name),
+walked as (select *, lag(seq) over n as before, lead(seq) over n as after from s window n as (partition by feed, sender, quantity, name order by seq)),
+moves as (select feed, sender, quantity, seq, name, 1 as sign from walked where seq > 1 and (before is null or before < seq - 1)
+  union all select feed, sender, quantity, seq + 1, name, -1 from walked where seq < last_seq and (after is null or after > seq + 1)),
+sets as (select feed, sender, quantity, seq, coalesce(list(name order by name) filter (sign = 1), []) as new, coalesce(list(name order by name) filter (sign = -1), []) as old from moves group by 1, 2, 3, 4),
+named as (select feed, sender, seq, unnest(new[1:least(len(new), len(old))]) as field_name, 'renamed' as change_kind from sets
+  union all select feed, sender, seq, unnest(new[least(len(new), len(old)) + 1:]), 'added' from sets
+  union all select feed, sender, seq, unnest(old[least(len(new), len(old)) + 1:]), 'removed' from sets),
+typed as (select *, last_value(kind ignore nulls) over (partition by feed, sender, quantity order by seq range between unbounded preceding and 1 preceding) as old_kind from s),
+changes as (select * from named union all select feed, sender, seq, name, 'retyped' from typed where kind <> old_kind)
+select distinct file_id, field_name, change_kind from changes join files using (feed, sender, seq)""",
+}
