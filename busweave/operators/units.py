@@ -129,7 +129,7 @@ def fit_mixture(known: np.ndarray, bins: np.ndarray, counts: np.ndarray, scales:
 def assign_scales(said: DataFrame, scales: dict[str, list[tuple[int, str, float]]], key: list[str], file_prior: float = 20.0, sure: float = 0.9) -> DataFrame:
     """Adds scale_id, common value, said_by ``size`` where the mixture decided, posterior, and ``uncertain``.
 
-    Only aggregates reach the driver: mean and deviation of the labelled logs per field, and a histogram of the unlabelled logs of
+    Only aggregates reach the driver: an approximate median and the deviation of the labelled logs per field, and a histogram of the unlabelled logs of
     bounded range and width. Numbers <= 0 without a statement get no scale. A field without labelled values takes the spread of its
     unlabelled ones around the common scale. A stated unit that is none of the scales gets no scale but is no guess either.
     """
@@ -147,7 +147,7 @@ def assign_scales(said: DataFrame, scales: dict[str, list[tuple[int, str, float]
             common = F.when(F.col("_said") == sid, value(how, factor)).otherwise(common)
     tagged = tagged.withColumn("_common", common)
     good = F.when(F.col("_common") > 0, F.log("_common"))
-    spread = {r["field_name"]: (r["m"], r["s"], r["n"]) for r in tagged.groupBy("field_name").agg(F.median(good).alias("m"), F.stddev_pop(good).alias("s"), F.count(good).alias("n")).collect()}
+    spread = {r["field_name"]: (r["m"], r["s"], r["n"]) for r in tagged.groupBy("field_name").agg(F.percentile_approx(good, 0.5, 1000).alias("m"), F.stddev_pop(good).alias("s"), F.count(good).alias("n")).collect()}
     open_ = F.col("said_by").isNull() & (F.col("number") > 0)
     binned = F.greatest(F.lit(-40 * BINS_PER_LOG), F.least(F.lit(40 * BINS_PER_LOG), F.floor(log * BINS_PER_LOG)))
     histogram = tagged.where(open_).groupBy("field_name", binned.alias("bin")).count().collect()
