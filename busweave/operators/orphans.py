@@ -24,17 +24,18 @@ def clean_reference(col):
 def existence_deltas(records: DataFrame, key: str, valid_from: str, valid_to: str) -> DataFrame:
     """(key, at, delta): +1 at ``valid_from`` (null: since ever), -1 at ``valid_to`` (exclusive; null: still valid).
 
-    Rows with a null key say nothing. Equal rows arriving twice count once. A period that ends before it begins is empty.
+    Rows with a null key say nothing. Equal rows arriving twice count once. A period that ends before it begins is empty, but its key
+    occurs: its two deltas cancel.
     """
     since = F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))
     periods = records.select(F.col(key).alias("key"), F.coalesce(F.col(valid_from).cast("timestamp_ntz"), since).alias("a"), F.col(valid_to).cast("timestamp_ntz").alias("b"))
-    periods = periods.where("key is not null and (b is null or b > a)").distinct()
+    periods = periods.where("key is not null").withColumn("b", F.when(F.col("b").isNotNull(), F.greatest("a", "b"))).distinct()
     both = F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("delta")))
     return periods.select("key", F.inline(both)).where("at is not null")
 
 
 def timelines(deltas: DataFrame) -> DataFrame:
-    """(key, first_from, periods): merged periods with a positive existence count, as an array ordered by time.
+    """(key, first_from, periods): merged periods with a positive existence count, as an array ordered by time; null if there is none.
 
     Deltas are summed per key and instant before the window, and only changes between zero and positive counts are kept, so the
     array holds one entry per real opening of the key.
@@ -43,7 +44,8 @@ def timelines(deltas: DataFrame) -> DataFrame:
     level = deltas.groupBy("key", "at").agg(F.sum("delta").alias("delta")).withColumn("n", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     edges = level.withColumn("before", F.coalesce(F.lag("n").over(w), F.lit(0))).where("(n > 0) != (before > 0)")
     spans = edges.withColumn("until", F.lead("at").over(w)).where("n > 0")
-    return spans.groupBy("key").agg(F.min("at").alias("first_from"), F.array_sort(F.collect_list(F.struct("at", "until"))).alias("periods"))
+    spans = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "until"))).alias("periods"))
+    return deltas.groupBy("key").agg(F.min("at").alias("first_from")).join(spans, "key", "left")
 
 
 def orphan_references(references: DataFrame, existence: DataFrame, hot: list | None = None) -> DataFrame:
@@ -54,7 +56,7 @@ def orphan_references(references: DataFrame, existence: DataFrame, hot: list | N
     """
     refs = references.where(F.col("key").isNotNull()).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
     at = F.col("recorded_at")
-    seen = F.exists("periods", lambda p: (p["at"] <= at) & (p["until"].isNull() | (at < p["until"])))
+    seen = F.coalesce(F.exists("periods", lambda p: (p["at"] <= at) & (p["until"].isNull() | (at < p["until"]))), F.lit(False))
     kind = F.when(F.col("first_from").isNull(), "missing").when(at.isNull() | seen, None).when(at < F.col("first_from"), "late").otherwise("deleted")
     joined = salted_join(refs, timelines(existence), "key", salt_by=["table_name", "row_id"], hot=hot)
     return joined.withColumn("orphan_kind", kind).where("orphan_kind is not null").drop("first_from", "periods")

@@ -199,7 +199,7 @@ def test_orphans(spark):
     df = spark.createDataFrame([("t", i, k, at, "extra") for i, (k, at) in enumerate(refs)], "table_name string, row_id long, key string, recorded_at timestamp_ntz, periods string").drop("periods")
     df = df.withColumn("key", orphans.clean_reference(F.col("key")))
     ex = orphans.existence_deltas(buses, "bus_id", "f", "t")
-    want = [(0, "late"), (12, "missing"), (2, "deleted"), (4, "missing"), (5, "missing"), (9, "missing")]
+    want = [(0, "late"), (12, "missing"), (2, "deleted"), (4, "deleted"), (5, "missing"), (9, "missing")]
     assert rows(orphans.orphan_references(df, ex), "row_id", "orphan_kind") == want
     assert rows(orphans.orphan_references(df, ex, hot=["a"]), "row_id", "orphan_kind") == want
     assert orphans.orphan_report(orphans.orphan_references(df, ex)).agg(F.sum("n_references")).first()[0] == 6
