@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .scalar import let
+
 #: Characters that group thousands besides point and comma.
 GROUPING = " \u00a0\u2009\u202f'\u2019"
 BLANKS = "^[ \\t\u00a0\u2009\u202f]+|[ \\t\u00a0\u2009\u202f]+$"
@@ -26,18 +28,21 @@ def parse_number(col: Column) -> Column:
 
     A single separator is a decimal one (``1.234`` is 1.234), as nothing else says otherwise.
     """
-    t = F.regexp_replace(strip_blanks(col), f"[{GROUPING}+](?=[0-9.,])", "")
-    many_dots, many_commas = t.rlike(r"\..*\."), t.rlike(",.*,")
-    last_dot, last_comma = F.length(F.substring_index(t, ".", -1)), F.length(F.substring_index(t, ",", -1))
-    both = t.contains(".") & t.contains(",")
-    plain = (
-        F.when(both & (last_dot < last_comma), F.replace(t, F.lit(","), F.lit("")))
-        .when(both, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(many_dots, F.replace(t, F.lit("."), F.lit("")))
-        .when(many_commas, F.replace(t, F.lit(","), F.lit("")))
-        .otherwise(F.replace(t, F.lit(","), F.lit(".")))
-    )
-    return plain.try_cast("double")
+
+    def read(t: Column) -> Column:
+        many_dots, many_commas = t.rlike(r"\..*\."), t.rlike(",.*,")
+        last_dot, last_comma = F.length(F.substring_index(t, ".", -1)), F.length(F.substring_index(t, ",", -1))
+        both = t.contains(".") & t.contains(",")
+        plain = (
+            F.when(both & (last_dot < last_comma), F.replace(t, F.lit(","), F.lit("")))
+            .when(both, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(many_dots, F.replace(t, F.lit("."), F.lit("")))
+            .when(many_commas, F.replace(t, F.lit(","), F.lit("")))
+            .otherwise(F.replace(t, F.lit(","), F.lit(".")))
+        )
+        return plain.try_cast("double")
+
+    return let(F.regexp_replace(strip_blanks(col), f"[{GROUPING}+](?=[0-9.,])", ""), read)
 
 
 def number_ok(col: Column) -> Column:

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import GROUPING, parse_number
+from ..functions.scalar import let
+from ..session import materialise
 
 _FIGURE = rf"([0-9][0-9.,{GROUPING}]*(?:[eE][+-]?[0-9]+(?![0-9A-Za-z]))?)"
 _CLAUSE_END = r";| / |\.\s+(?=[\p{L}\p{N}])"
@@ -32,43 +34,52 @@ class Field:
     kind: str  # "efficiency" or "cost_per_power"
 
 
-def split_cell(cell: Column) -> tuple[Column, Column]:
-    """(number, unit text) of a typed cell. Placeholders and other texts without a figure have no number; blank units are null."""
-    text = F.trim(cell)
-    figure = F.regexp_extract(text, _FIGURE, 1)
-    trimmed = F.regexp_replace(figure, rf"[.,{GROUPING}]+$", "")
-    number = F.when(F.length(trimmed) > 0, parse_number(trimmed))
-    number = F.when(text.rlike(r"^[^0-9]*[-−][0-9]"), -number).otherwise(number)
-    at = F.position(trimmed, text)
-    around = F.concat(text.substr(F.lit(1), at - 1), F.lit(" "), text.substr(at + F.length(trimmed), F.length(text)))
-    unit = F.trim(F.regexp_replace(around, r"^(?:\s|[~≈+-]|(?i:ca\.|approx\.|about))+", ""))
-    return number, F.when((F.length(trimmed) > 0) & (F.length(unit) > 0), unit)
+def split_cell(cell: Column) -> Column:
+    """Struct (number, unit) of a typed cell. Placeholders and other texts without a figure have no number; blank units are null."""
+
+    def parts(text: Column, figure: Column) -> Column:
+        at = F.position(figure, text)
+        around = F.concat(text.substr(F.lit(1), at - 1), F.lit(" "), text.substr(at + F.length(figure), F.length(text)))
+        unit = F.nullif(F.trim(F.regexp_replace(around, r"^(?:\s|[~≈+-]|(?i:ca\.|approx\.|about))+", "")), F.lit(""))
+        number = let(parse_number(figure), lambda x: F.when(text.rlike(r"^[^0-9]*[-−][0-9]"), -x).otherwise(x))
+        return F.when(F.length(figure) > 0, F.struct(number.alias("number"), unit.alias("unit")))
+
+    whole = lambda text: let(F.regexp_replace(F.regexp_extract(text, _FIGURE, 1), rf"[.,{GROUPING}]+$", ""), lambda figure: parts(text, figure))
+    return let(F.trim(cell), whole)
+
+
+#: Fuel energy per unit of output, from the first unit to the second.
+_ENERGY = r"(kj|mj|gj|tj|kwh|mwh|gwh)"
+_HEAT_RATE = _ENERGY + r"(?:[_ ][^/]*?)?\s*(?:/|\bper\b|\bje\b|\bpro\b)\s*" + _ENERGY
+_IN_MWH = {"kj": 1 / 3.6e6, "mj": 1 / 3600, "gj": 1 / 3.6, "tj": 1 / 0.0036, "kwh": 1e-3, "mwh": 1.0, "gwh": 1e3}
 
 
 def read_efficiency_unit(text: Column) -> Column:
     """(how, factor) of a unit of conversion efficiency: a share, or fuel energy per unit of output; null if the text names none."""
-    t = F.lower(text)
-    energy = r"(kj|mj|gj|tj|kwh|mwh|gwh)"
-    mwh = F.create_map(*[F.lit(x) for kv in {"kj": 1 / 3.6e6, "mj": 1 / 3600, "gj": 1 / 3.6, "tj": 1 / 0.0036, "kwh": 1e-3, "mwh": 1.0, "gwh": 1e3}.items() for x in kv])
-    ratio = energy + r"(?:[_ ][^/]*?)?\s*(?:/|\bper\b|\bje\b|\bpro\b)\s*" + energy
-    fuel, output = F.regexp_extract(t, ratio, 1), F.regexp_extract(t, ratio, 2)
+    mwh = F.create_map(*[F.lit(x) for kv in _IN_MWH.items() for x in kv])
     share = lambda f: F.struct(F.lit("multiply").alias("how"), F.lit(f).alias("factor"))
-    heat = F.struct(F.lit("divide").alias("how"), F.round(F.try_element_at(mwh, output) / F.try_element_at(mwh, fuel), 6).alias("factor"))
-    return (
-        F.when(F.length(fuel) > 0, heat)
-        .when(t.rlike(r"‰|per mille?\b|promille"), share(0.001))
-        .when(t.rlike(r"%|per ?cent|\bpct\b|prozent|pour ?cent"), share(0.01))
-        .when(t.rlike(r"\bfraction\b|\bp\.?u\b|per unit\b|\[-\]|^-$|\bratio\b|\bdecimal\b|\banteil\b"), share(1.0))
-    )
+
+    def heat(rate: Column) -> Column:
+        fuel, output = F.regexp_extract(rate, _HEAT_RATE, 1), F.regexp_extract(rate, _HEAT_RATE, 2)
+        return F.struct(F.lit("divide").alias("how"), F.round(F.try_element_at(mwh, output) / F.try_element_at(mwh, fuel), 6).alias("factor"))
+
+    def read(t: Column) -> Column:
+        other = F.when(t.rlike(r"‰|per mille?\b|promille"), share(0.001)).when(t.rlike(r"%|per ?cent|\bpct\b|prozent|pour ?cent"), share(0.01)).when(t.rlike(r"\bfraction\b|\bp\.?u\b|per unit\b|\[-\]|^-$|\bratio\b|\bdecimal\b|\banteil\b"), share(1.0))
+        return let(F.regexp_extract(t, _HEAT_RATE, 0), lambda rate: F.when(F.length(rate) > 0, heat(rate)).otherwise(other))
+
+    return F.when(text.isNotNull(), let(F.lower(text), read))
 
 
 def read_cost_unit(text: Column) -> Column:
     """(how, factor) of a unit of money per power and time, against EUR per MW and year; null if the text names no money per power."""
-    t = F.lower(text)
-    money = F.when(t.rlike(r"\bmeur|m€|\bmio\b|million"), 1e6).when(t.rlike(r"\bkeur|\bk€|\bteur|\bt€|thousand|tausend"), 1e3).when(t.rlike(r"eur|€"), 1.0)
-    power = F.when(t.rlike(r"\bkw(?!h)|kilowatt(?!-?(?:hour|stund))"), 1e3).when(t.rlike(r"\bgw(?!h)|gigawatt"), 1e-3).when(t.rlike(r"\bmw(?!h)|megawatt"), 1.0)
-    time = F.when(t.rlike(r"month|monat|\bmth\b|\bmtl\b"), 12.0).when(t.rlike("quarter|quartal"), 4.0).when(t.rlike(r"/h\b|hour|stund"), 8760.0).otherwise(1.0)
-    return F.when((money * power).isNotNull(), F.struct(F.lit("multiply").alias("how"), F.round(money * power * time, 6).alias("factor")))
+
+    def read(t: Column) -> Column:
+        money = F.when(t.rlike(r"\bmeur|m€|\bmio\b|million"), 1e6).when(t.rlike(r"\bkeur|\bk€|\bteur|\bt€|thousand|tausend"), 1e3).when(t.rlike(r"eur|€"), 1.0)
+        power = F.when(t.rlike(r"\bkw(?!h)|kilowatt(?!-?(?:hour|stund))"), 1e3).when(t.rlike(r"\bgw(?!h)|gigawatt"), 1e-3).when(t.rlike(r"\bmw(?!h)|megawatt"), 1.0)
+        time = F.when(t.rlike(r"month|monat|\bmth\b|\bmtl\b"), 12.0).when(t.rlike("quarter|quartal"), 4.0).when(t.rlike(r"/h\b|hour|stund"), 8760.0).otherwise(1.0)
+        return let(money * power, lambda x: F.when(x.isNotNull(), F.struct(F.lit("multiply").alias("how"), F.round(x * time, 6).alias("factor"))))
+
+    return F.when(text.isNotNull(), let(F.lower(text), read))
 
 
 READERS = {"efficiency": read_efficiency_unit, "cost_per_power": read_cost_unit}
@@ -79,22 +90,32 @@ def statement_on(text: Column, words: str) -> Column:
     return F.get(F.filter(F.split(text, _CLAUSE_END), lambda c: F.lower(c).rlike(words)), F.lit(0))
 
 
+def _judge(f: Field):
+    """What a split cell says with what is said about it, in order of nearness; the farther is read only where nothing nearer speaks."""
+    read = READERS[f.kind]
+
+    def named(unit: Column, name: str) -> Column:
+        return let(unit, lambda u: F.when(u.isNotNull(), F.struct(u["how"].alias("how"), u["factor"].alias("factor"), F.lit(name).alias("said_by"))))
+
+    def judge(cell: Column) -> Column:
+        said = [("cell", cell["unit"]), ("unit", F.col(f.unit_column)), ("remark", statement_on(F.col("remark"), f.words)), ("note", statement_on(F.col("_note"), f.words))]
+        by = F.coalesce(*[named(read(text), name) for name, text in said])
+        return F.when(cell["number"].isNotNull(), F.struct(F.lit(f.name).alias("field_name"), cell["number"].alias("number"), by.alias("by")))
+
+    return judge
+
+
 def stated(rows: DataFrame, fields: list[Field], notes: DataFrame | None, keep: list[str], file_column: str = "source_file") -> DataFrame:
     """One row per record and field with a readable number: keep columns, file, field_name, number, how, factor, said_by (cell, unit, remark, note or null)."""
+    rows = rows.select(*dict.fromkeys([*keep, file_column, "remark", *[c for f in fields for c in (f.name, f.unit_column)]]))
     if notes is not None:
         note = notes.where(F.col(file_column).isNotNull()).groupBy(file_column).agg(F.concat_ws("; ", F.sort_array(F.collect_set("note"))).alias("_note"))
         rows = rows.join(note, file_column, "left")
     else:
         rows = rows.withColumn("_note", F.lit(None).cast("string"))
-    parts = []
-    for f in fields:
-        number, unit = split_cell(F.col(f.name))
-        read = READERS[f.kind]
-        said = [("cell", read(unit)), ("unit", read(F.col(f.unit_column))), ("remark", read(statement_on(F.col("remark"), f.words))), ("note", read(statement_on(F.col("_note"), f.words)))]
-        by = F.coalesce(*[F.when(u.isNotNull(), F.struct(u["how"].alias("how"), u["factor"].alias("factor"), F.lit(name).alias("said_by"))) for name, u in said])
-        parts.append(F.struct(F.lit(f.name).alias("field_name"), number.alias("number"), by.alias("by")))
-    long = rows.select(*keep, F.col(file_column).alias("_file"), F.inline(F.array(*parts))).where("number is not null")
-    return long.select(*keep, "_file", "field_name", "number", "by.how", "by.factor", "by.said_by")
+    parts = [let(split_cell(F.col(f.name)), _judge(f)) for f in fields]
+    long = rows.select(*keep, F.col(file_column).alias("_file"), F.explode(F.array_compact(F.array(*parts))).alias("x"))
+    return long.select(*keep, "_file", "x.field_name", "x.number", "x.by.how", "x.by.factor", "x.by.said_by")
 
 
 def read_scales(scales: DataFrame) -> dict[str, list[tuple[int, str, float]]]:
@@ -133,6 +154,8 @@ def assign_scales(said: DataFrame, scales: dict[str, list[tuple[int, str, float]
     bounded range and width. Numbers <= 0 without a statement get no scale. A field without labelled values takes the spread of its
     unlabelled ones around the common scale. A stated unit that is none of the scales gets no scale but is no guess either.
     """
+    # The readings are counted three times below; written once, the texts are read once.
+    said = materialise(said, "readings")
     log = F.log("number")
     scale_of = F.lit(None).cast("int")
     common = F.lit(None).cast("double")
