@@ -39,8 +39,8 @@ def near_pairs(points: DataFrame, km: float, radius: float = EARTH_KM, hot: list
     """(key_a, key_b, km): pairs of different keys at most ``km`` apart, the smaller key first; each pair once, its least distance.
 
     ``points`` has key, lat, lon; rows with unusable coordinates or a null key take no part, equal rows count once. One side keeps
-    its own cell, the other looks into the cells its circle touches (at most nine but near the poles); cells wrap at 180 degrees.
-    Cells holding many points are salted.
+    its own cell, the other looks into the cells its circle touches to the east and in the row above (about four, more near the
+    poles); cells wrap at 180 degrees. Cells holding many points are salted.
     """
     lat_step = math.degrees(km / radius) * (1 + 1e-9) + 1e-12
     p = points.where(usable(F.col("lat"), F.col("lon")) & F.col("key").isNotNull()).select("key", "lat", "lon").distinct()
@@ -54,21 +54,24 @@ def near_pairs(points: DataFrame, km: float, radius: float = EARTH_KM, hot: list
     def column_of(lon: Column, n: Column) -> Column:
         return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
 
-    own = p.withColumn("row", row_of(F.col("lat"))).withColumn("cell", F.struct("row", column_of(F.col("lon"), columns_in(F.col("row"))).alias("column")))
-    looking = p.withColumn("row", F.explode(F.sequence(row_of(F.col("lat")) - 1, row_of(F.col("lat")) + 1))).withColumn("n", columns_in(F.col("row")))
+    own = p.withColumn("row", row_of(F.col("lat"))).withColumn("column", column_of(F.col("lon"), columns_in(F.col("row"))))
+    # Only one of two neighbours looks: the southern one into the row above, the western one along its own row (east of 180 degrees
+    # the count starts anew).
+    looking = own.select("key", "lat", "lon", F.col("row").alias("home"), F.col("column").alias("here"), F.explode(F.sequence(F.col("row"), F.col("row") + 1)).alias("row")).withColumn("n", columns_in(F.col("row")))
     # In longitude the circle reaches asin(sin(d) / cos(lat)); where it holds the pole, everywhere.
     s = F.sin(F.lit(km / radius)) / F.cos(F.radians("lat"))
     reach = F.when(s < 1, F.degrees(F.asin(s)) + 1e-9).otherwise(180.0)
-    first, last = F.floor((F.col("lon") - reach + 180) / 360 * F.col("n")), F.floor((F.col("lon") + reach + 180) / 360 * F.col("n"))
-    last = F.least(last, first + F.col("n") - 1)
-    looking = looking.withColumn("column", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    looking = looking.select(F.struct("row", F.pmod("column", F.col("n")).alias("column")).alias("cell"), F.col("key").alias("key_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    key = F.xxhash64("cell")  # one long to join on; the cells themselves needn't be equal, as the distance decides
-    own = own.select(key.alias("cell_id"), F.col("key").alias("key_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
-    looking = looking.select(key.alias("cell_id"), "key_b", "lat_b", "lon_b")
-    met = salted_join(own, looking, "cell_id", "inner", salt_by=["key_a", "lat_a", "lon_a"], hot=hot).where("key_a < key_b")
-    far = great_circle_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"), radius)
-    return met.withColumn("km", far).where(F.col("km") <= km).groupBy("key_a", "key_b").agg(F.min("km").alias("km"))
+    west, east = F.floor((F.col("lon") - reach + 180) / 360 * F.col("n")), F.floor((F.col("lon") + reach + 180) / 360 * F.col("n"))
+    first = F.when(F.col("row") == F.col("home"), F.floor((F.col("lon") + 180) / 360 * F.col("n"))).otherwise(west)
+    last = F.when(reach >= 180, first + F.col("n") - 1).otherwise(F.least(east, first + F.col("n") - 1))
+    looking = looking.withColumn("column", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("column", F.pmod("column", F.col("n")))
+    cell = F.xxhash64("row", "column").alias("cell_id")  # one long to join on; that cells may share it does no harm, the distance decides
+    own = own.select(cell, "key", "lat", "lon")
+    looking = looking.select(cell, F.col("key").alias("key_2"), F.col("lat").alias("lat_2"), F.col("lon").alias("lon_2"))
+    met = salted_join(own, looking, "cell_id", "inner", salt_by=["key", "lat", "lon"], hot=hot).where("key <> key_2")
+    far = great_circle_km(F.col("lat"), F.col("lon"), F.col("lat_2"), F.col("lon_2"), radius)
+    found = met.withColumn("km", far).where(F.col("km") <= km).select(F.least("key", "key_2").alias("key_a"), F.greatest("key", "key_2").alias("key_b"), "km")
+    return found.groupBy("key_a", "key_b").agg(F.min("km").alias("km"))
 
 
 def _edges(batches: Iterator[pd.DataFrame], strip: float) -> Iterator[pd.DataFrame]:
