@@ -54,7 +54,7 @@ def orphan_references(references: DataFrame, existence: DataFrame, hot: list | N
     ``missing``: the key never exists; ``late``: recorded before it first exists; ``deleted``: in any other gap.
     A null key is no reference. A reference with a null time is an orphan only if its key never exists.
     """
-    refs = references.where(F.col("key").isNotNull()).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
+    refs = references.drop("first_from", "periods", "orphan_kind").where(F.col("key").isNotNull()).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
     at = F.col("recorded_at")
     seen = F.coalesce(F.exists("periods", lambda p: (p["at"] <= at) & (p["until"].isNull() | (at < p["until"]))), F.lit(False))
     kind = F.when(F.col("first_from").isNull(), "missing").when(at.isNull() | seen, None).when(at < F.col("first_from"), "late").otherwise("deleted")

@@ -50,6 +50,7 @@ def check_lines(lines: DataFrame, hot: list | None = None) -> DataFrame:
     A file without a header gives ``column_count``; a null line has one empty field. An empty ``errors`` array means a valid row.
     Lines that arrive twice are still there twice; ``rejected`` and ``accepted`` count them once.
     """
+    lines = lines.select("line_id", "file_name", "line_no", "raw_line")
     body = lines.where("line_no is null or line_no <> 1")
     joined = salted_join(body, read_headers(lines), "file_name", salt_by=["line_id"], hot=hot)
     text = F.regexp_replace(F.coalesce(F.col("raw_line"), F.lit("")), "\r$", "")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,10 +30,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, **extr
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests, local runs) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset in a local session, a temporary one that goes with
+    the process; a cluster without it is refused, as a folder of one machine is none of the others'."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "busweave-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        folder = tempfile.mkdtemp(prefix="busweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 

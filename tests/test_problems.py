@@ -196,7 +196,7 @@ def test_rescue_and_promote(spark):
 def test_orphans(spark):
     buses = spark.createDataFrame([("a", T(2010, 1, 1), T(2015, 1, 1)), ("a", T(2016, 1, 1), None), ("a", T(2016, 1, 1), None), ("b", T(2012, 1, 1), T(2012, 1, 1)), (None, T(2010, 1, 1), None), ("c", None, None)], "bus_id string, f timestamp_ntz, t timestamp_ntz")
     refs = [("a", T(2009, 1, 1)), ("a", T(2010, 1, 1)), ("a", T(2015, 1, 1)), ("a", T(2016, 1, 1)), ("b", T(2012, 6, 1)), ("x", T(2012, 1, 1)), (" \ta ", T(2014, 1, 1)), ("  ", T(2014, 1, 1)), (None, T(2014, 1, 1)), ("A", T(2014, 1, 1)), ("c", T(1900, 1, 1)), ("a", None), ("zz", None)]
-    df = spark.createDataFrame([("t", i, k, at, "extra") for i, (k, at) in enumerate(refs)], "table_name string, row_id long, key string, recorded_at timestamp_ntz, periods string").drop("periods")
+    df = spark.createDataFrame([("t", i, k, at, "extra") for i, (k, at) in enumerate(refs)], "table_name string, row_id long, key string, recorded_at timestamp_ntz, periods string")
     df = df.withColumn("key", orphans.clean_reference(F.col("key")))
     ex = orphans.existence_deltas(buses, "bus_id", "f", "t")
     want = [(0, "late"), (12, "missing"), (2, "deleted"), (4, "deleted"), (5, "missing"), (9, "missing")]
@@ -216,7 +216,7 @@ def test_rejected_lines(spark):
         (7, "f", 7, "DE;-5;x"), (8, "f", 8, "DE; ;x"), (9, "f", 9, 'DE;"5;x'), (10, "f", 10, "DE;1e999;x"), (11, "f", 11, "DE;5 MW;x"), (12, "f", 12, 'DE;5;"a\nb"'), (13, "f", 13, None), (14, "f", 14, ""),
         (15, "g", 2, "no;header"), (16, "f", 16, "Bosnia (BA), R. of/'x' & y-z;+1,234.5e+02;x"), (17, "f", 17, "D@E;nan;x"), (18, "f", 18, "DE;1'000;x"), (19, "f", 19, "DE;1 000,5;x"), (20, "f", 20, '"DE" x;1;y'), (2, "f", 2, "Germany;1.234,5;ok\r"),
     ]
-    df = spark.createDataFrame(lines, "line_id long, file_name string, line_no int, raw_line string").withColumn("delimiter_x", F.lit("clash"))
+    df = spark.createDataFrame(lines, "line_id long, file_name string, line_no int, raw_line string").withColumns({"delimiter": F.lit("clash"), "names": F.lit("clash"), "fields": F.lit("clash")})
     checked = reject.check_lines(df)
     want = {4: "quoting", 5: "column_count", 6: "bad_country", 7: "bad_cap", 9: "quoting", 10: "bad_cap", 11: "bad_cap", 13: "column_count", 14: "column_count", 15: "column_count", 17: "bad_country", 20: "quoting"}
     assert dict(rows(reject.rejected(checked))) == want
