@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.skew import salted_join
 from ..session import materialise
 
 # Letters of other scripts that look like Latin ones, and Latin letters that no decomposition makes plain.
@@ -163,5 +164,7 @@ def map_values(rows: DataFrame, canon: DataFrame, names: dict[str, Names], least
     near = F.struct(F.when(F.col("ref_id") == 0, F.lit(handicap)).otherwise(0.0) - F.col("jaccard"), "edits", "ref_id")
     best = _similar(wanted, listed.where(~F.col("name").rlike("[0-9]")), least).groupBy("value_id").agg(F.min_by("ref_id", near).alias("ref_id"))
     found = by_name.select("value_id", "ref_id", F.lit("name").alias("how")).unionByName(by_head.withColumn("how", F.lit("abbreviation"))).unionByName(best.withColumn("how", F.lit("similar")))
-    answered = forms.select("field_name", "value", "value_id").join(found, "value_id", "left").select("field_name", "value", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.when(F.coalesce("ref_id", F.lit(0)) == 0, "none").otherwise(F.col("how")).alias("how"))
-    return cases.join(answered, ["field_name", "value"]).select("table_name", "row_id", "value", "ref_id", "how")
+    answered = forms.select("value_id", "value", "field_name").join(found, "value_id", "left").select("value_id", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.when(F.coalesce("ref_id", F.lit(0)) == 0, "none").otherwise(F.col("how")).alias("how"))
+    # One typed value may hold a third of the rows: those rows are spread over tasks.
+    keyed = cases.withColumn("value_id", F.xxhash64("field_name", "value"))
+    return salted_join(keyed, answered, "value_id", "inner", salt_by=["table_name", "row_id"]).select("table_name", "row_id", "value", "ref_id", "how")

@@ -131,7 +131,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], vocabulary_file: str, kee
 
     cut, encoder, known = regex.compile(PATTERN).findall, _encoder(vocabulary_file), {}
     for batch in batches:
-        texts = batch.column("text")
+        texts = batch.column(batch.num_columns - 1)
         # A slice at a time, so that a batch of very long texts needs no second copy of all its words at once.
         start = 0
         while start < len(texts):
@@ -155,8 +155,11 @@ def encode_texts(docs: DataFrame, keep: list[str], text: str = "text", vocabular
     Null and empty texts have an empty list (0 tokens). Whole texts are encoded, of any length. Every row stays, repeated or not.
     No shuffle: one pass of Arrow batches.
     """
+    made = "n_tokens" if counts_only else "ids"
+    if made in keep:
+        raise ValueError(f"a kept column has the name of the result, {made}")
     file = os.path.join(tokenizer_dir(path), vocabulary)
-    slim = docs.select(*keep, F.col(text).cast("string").alias("text") if text != "text" or "text" not in keep else "text")
+    slim = docs.select(*keep, F.col(text).cast("string").alias("_text_to_encode"))
     fields = [f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*fields, "n_tokens bigint" if counts_only else "ids array<int>"])
     return slim.mapInArrow(lambda it: _encode_batches(it, file, keep, counts_only), schema)

@@ -38,6 +38,10 @@ def test_ids_equal_the_public_encoder(spark):
     counts = dict(rows(tokenize.encode_texts(df, ["doc_id"], counts_only=True), "doc_id", "n_tokens"))
     assert counts == {i: len(v) for i, v in got.items()}
     assert tokenize.encode_texts(df.limit(0), ["doc_id"]).count() == 0
+    both = tokenize.encode_texts(df.select("doc_id", "text"), ["doc_id", "text"]).where("doc_id = 4").first()
+    assert both.text == TEXTS[4] and list(both.ids) == list(got[4])
+    with pytest.raises(ValueError):
+        tokenize.encode_texts(df, ["ids"])
 
 
 def test_pair_index_on_random_words():
