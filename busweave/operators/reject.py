@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import number_ok, parse_number, strip_blanks
+from ..functions.scalar import let
 from .skew import salted_join
 
 DELIMITERS = [";", ",", "\t", "|"]
@@ -17,11 +18,13 @@ _HELD = "\u0002"
 
 def split_quoted(line: Column, delimiter: Column) -> Column:
     """Fields of a line: delimiters between double quotes don't split. Quotes stay in the fields."""
-    parts = F.split(F.replace(line, F.lit(_HELD), F.lit(" ")), '"')
-    held = F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.replace(x, delimiter, F.lit(_HELD))).otherwise(x))
-    fields = F.split(F.array_join(held, '"'), F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")), F.lit(-1))
-    plain = F.split(line, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")), F.lit(-1))
-    return F.when(line.contains('"'), F.transform(fields, lambda x: F.replace(x, F.lit(_HELD), delimiter))).otherwise(plain)
+    at = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+
+    def quoted(parts: Column) -> Column:
+        held = F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.replace(x, delimiter, F.lit(_HELD))).otherwise(x))
+        return F.transform(F.split(F.array_join(held, '"'), at, F.lit(-1)), lambda x: F.replace(x, F.lit(_HELD), delimiter))
+
+    return F.when(line.contains('"'), let(F.split(F.replace(line, F.lit(_HELD), F.lit(" ")), '"'), quoted)).otherwise(F.split(line, at, F.lit(-1)))
 
 
 def _bad_quotes(field: Column) -> Column:
@@ -54,15 +57,23 @@ def check_lines(lines: DataFrame, hot: list | None = None) -> DataFrame:
     body = lines.where("line_no is null or line_no <> 1")
     joined = salted_join(body, read_headers(lines), "file_name", salt_by=["line_id"], hot=hot)
     text = F.regexp_replace(F.coalesce(F.col("raw_line"), F.lit("")), "\r$", "")
-    split = joined.withColumn("fields", split_quoted(text, F.coalesce(F.col("delimiter"), F.lit(","))))
-    value = lambda name: unquote(F.get("fields", F.array_position("names", name).cast("int") - 1))
-    country, cap = value("country"), value("cap")
-    shape = F.coalesce(F.size("fields") != F.size("names"), F.lit(True))
-    country_ok = F.coalesce(country.rlike(r"\p{L}") & country.rlike(r"^[\p{L}\p{M}0-9 .,'()&/-]*$"), F.lit(False))
-    cap_ok = (F.length(strip_blanks(F.coalesce(cap, F.lit("")))) == 0) | number_ok(cap)
-    rules = [("quoting", F.exists("fields", _bad_quotes)), ("column_count", shape), ("bad_country", ~country_ok), ("bad_cap", ~cap_ok)]
-    errors = F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]), lambda x: x.isNotNull())
-    return split.withColumn("errors", errors)
+    place = lambda name: F.array_position("names", name).cast("int") - 1
+
+    def country_ok(country: Column) -> Column:
+        return F.coalesce(country.rlike(r"\p{L}") & country.rlike(r"^[\p{L}\p{M}0-9 .,'()&/-]*$"), F.lit(False))
+
+    def cap_ok(cap: Column) -> Column:
+        return (F.length(strip_blanks(F.coalesce(cap, F.lit("")))) == 0) | number_ok(cap)
+
+    def judge(fields: Column) -> Column:
+        shape = F.coalesce(F.size(fields) != F.size("names"), F.lit(True))
+        rules = [("quoting", F.exists(fields, _bad_quotes)), ("column_count", shape), ("bad_country", ~let(unquote(F.get(fields, place("country"))), country_ok)), ("bad_cap", ~let(unquote(F.get(fields, place("cap"))), cap_ok))]
+        errors = F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]), lambda x: x.isNotNull())
+        return F.struct(fields.alias("fields"), errors.alias("errors"))
+
+    # Fields are split once a line: as a column of their own they would be split again in every filter on the errors.
+    judged = let(split_quoted(text, F.coalesce(F.col("delimiter"), F.lit(","))), judge)
+    return joined.withColumn("_judged", judged).select("*", "_judged.fields", "_judged.errors").drop("_judged")
 
 
 def rejected(checked: DataFrame) -> DataFrame:
