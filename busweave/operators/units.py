@@ -134,8 +134,12 @@ def _moved(how: str, factor: float) -> tuple[int, float]:
     return (1, math.log(factor)) if how == "multiply" else (-1, math.log(factor))
 
 
-def fit_mixture(known: np.ndarray, bins: np.ndarray, counts: np.ndarray, scales: list[tuple[int, str, float]], rounds: int = 60) -> np.ndarray:
-    """Log weights of the scales for unlabelled log values: ``known`` is (mean, deviation) of the common log values."""
+def fit_mixture(known: np.ndarray, bins: np.ndarray, counts: np.ndarray, scales: list[tuple[int, str, float]], rounds: int = 60, least: float = 0.03) -> np.ndarray:
+    """Log weights of the scales for unlabelled log values: ``known`` is (mean, deviation) of the common log values.
+
+    A scale must explain more than ``least`` of the values (and more than two) to have weight: overlapping scales that only catch the
+    others' tails die out. Values that lie near no scale with weight still go to the one they lie near.
+    """
     mean, deviation = known
     like = np.array([-0.5 * ((s * bins + shift - mean) / deviation) ** 2 for s, shift in (_moved(h, f) for _, h, f in scales)])
     weights = np.full(len(scales), 1 / len(scales))
@@ -143,7 +147,9 @@ def fit_mixture(known: np.ndarray, bins: np.ndarray, counts: np.ndarray, scales:
         joint = like + np.log(np.maximum(weights, 1e-12))[:, None]
         share = np.exp(joint - joint.max(axis=0))
         share /= share.sum(axis=0)
-        weights = (share * counts).sum(axis=1) / counts.sum()
+        explained = (share * counts).sum(axis=1)
+        kept = np.maximum(explained - max(2.0, least * counts.sum()), 0.0)
+        weights = (kept if kept.sum() > 0 else explained) / (kept.sum() or explained.sum())
     return np.log(np.maximum(weights, 1e-12))
 
 
