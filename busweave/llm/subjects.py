@@ -6,23 +6,22 @@ the subjects that enough of its sentences are about. The models start from label
 other, and are refined by expectation maximisation over every sentence of every document, with a prior per document. That carries
 a subject from one language to another where documents mix them, and settles examples whose labels contradict each other.
 
-Words and pairs are hashed into tables of fixed size, so what is collected and sent to the tasks is bounded whatever the corpus.
+Counts are kept by the words and pairs themselves: every distinct one of the corpus and the examples has its own row in the tables, so
+what is collected and sent to the tasks grows with the distinct pairs (classes x 4 bytes each), not with the documents.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-#: Hash table sizes: words and word pairs.
-WORDS, PAIRS = 1 << 15, 1 << 17
 #: Labelled examples used at most; more are refused, not sampled.
 MAX_EXAMPLES = 20_000
 
@@ -126,9 +125,9 @@ def sentences(text: str | None, footers: frozenset[str] = frozenset()) -> list[l
     return out
 
 
-def word_id(word: str) -> int:
-    """Place of a lower-case word in the tables."""
-    return 1 + zlib.crc32(fold_word(word).encode("utf-8")) % (WORDS - 1)
+def word_id(word: str) -> str:
+    """What a lower-case word is counted by: the folded word itself."""
+    return fold_word(word)
 
 
 def _previous(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -138,19 +137,47 @@ def _previous(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return before
 
 
-def _pair(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return (before * 40503 + ids.astype(np.int64) * 9973 + 7) % PAIRS
+@dataclass
+class Places:
+    """Rows of words and pairs in the tables, one each: 0 is the start of a sentence, the last one whatever isn't listed."""
+
+    words: pa.Array  # folded words, each once
+    pairs: np.ndarray | None = None  # numbers of pairs, ascending
+
+    @property
+    def n_words(self) -> int:
+        return len(self.words) + 2
+
+    @property
+    def n_pairs(self) -> int:
+        return len(self.pairs) + 1
+
+    def ids(self, words: pa.Array) -> np.ndarray:
+        return _row(words.cast(pa.string()), self.words) + 1
+
+    def numbers(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """A number of its own for each pair."""
+        return before * self.n_words + ids
+
+    def pair(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return _row(pa.array(self.numbers(before, ids)), pa.array(self.pairs))
+
+
+def _row(values: pa.Array, listed: pa.Array) -> np.ndarray:
+    """Place of each value in a list, the list's length if it isn't there."""
+    return pc.fill_null(pc.index_in(values, value_set=listed), len(listed)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 @dataclass
 class Models:
-    """Counts of each class (columns: subjects in order, then "no subject") by word, word as a context, and pair; and the background's
-    share of each word."""
+    """Counts of each class (columns: subjects in order, then "no subject") by word, word as a context, and pair; the background's
+    share of each word; and the rows of words and pairs."""
 
     words: np.ndarray
     contexts: np.ndarray
     pairs: np.ndarray
     background: np.ndarray
+    places: Places
     pair_weight: float = 0.45
     word_weight: float = 0.40
 
@@ -164,7 +191,7 @@ class Models:
     def n_classes(self) -> int:
         return self.words.shape[1]
 
-    def gain(self, ids: np.ndarray, before: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def gain(self, ids: np.ndarray, before: np.ndarray, pair: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Sentences x classes: log likelihood over the background's, the cross-entropy gain summed over the sentence.
 
         A class of which nothing is known yet is the background itself.
@@ -179,9 +206,10 @@ class Models:
             i, h = ids[lo:hi], before[lo:hi]
             base = self._base[i][:, None]
             seen = self.contexts[h]
-            q = self.pairs[_pair(h, i)]
+            q = self.pairs[pair[lo:hi]]
             fresh = seen <= 0
             np.divide(q, seen, out=q, where=~fresh)
+            np.minimum(q, 1, out=q)  # sums of small floats may differ in the last digits
             q *= np.float32(self.pair_weight)
             q[fresh] = 0
             q += self._share[i]
@@ -194,7 +222,7 @@ class Models:
         return out
 
 
-def count_classes(ids: np.ndarray, before: np.ndarray, starts: np.ndarray, p: np.ndarray, least: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def count_classes(places: Places, ids: np.ndarray, before: np.ndarray, pair: np.ndarray, starts: np.ndarray, p: np.ndarray, least: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts (places x classes) for ``p``, sentences x classes; shares under ``least`` of a sentence are left out."""
     k = p.shape[1]
     s, c = np.nonzero(p > least)
@@ -202,9 +230,8 @@ def count_classes(ids: np.ndarray, before: np.ndarray, starts: np.ndarray, p: np
     first = np.repeat(starts[s] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
     at = first + np.arange(int(length.sum()))
     column, weight = np.repeat(c, length), np.repeat(p[s, c], length)
-    i, h = ids[at], before[at]
     count = lambda x, size: np.bincount(x * k + column, weights=weight, minlength=size * k).reshape(size, k).astype(np.float32)
-    return count(i, WORDS), count(h, WORDS), count(_pair(h, i), PAIRS)
+    return count(ids[at], places.n_words), count(before[at], places.n_words), count(pair[at], places.n_pairs)
 
 
 def posteriors(gain: np.ndarray, doc: np.ndarray, n_docs: int, n_subjects: int, sharpness: float = 0.7, prior: float = 0.3, none: float = 0.3, rounds: int = 2) -> np.ndarray:
@@ -235,8 +262,7 @@ def posteriors(gain: np.ndarray, doc: np.ndarray, n_docs: int, n_subjects: int,
 class Examples:
     """Sentences of the labelled examples, with the example and the class of each example."""
 
-    ids: np.ndarray
-    before: np.ndarray
+    words: list[str]
     starts: np.ndarray
     of: np.ndarray  # example of each sentence
     label: np.ndarray  # class of each example
@@ -245,30 +271,35 @@ class Examples:
     @staticmethod
     def read(rows: list[tuple[int, str, str]]) -> Examples:
         """Rows are (class, text, language)."""
-        ids, starts, of, label, lang, n = [], [], [], [], [], 0
+        words, starts, of, label, lang = [], [], [], [], []
         for k, text, spoken in rows:
             found = sentences(text)
             if not found:
                 continue
             for s in found:
-                starts.append(n)
+                starts.append(len(words))
                 of.append(len(label))
-                ids += [word_id(w) for w in s]
-                n = len(ids)
+                words += [word_id(w) for w in s]
             label.append(k)
             lang.append(spoken)
-        flat, begin = np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64)
-        return Examples(flat, _previous(flat, begin), begin, np.array(of, dtype=np.int64), np.array(label, dtype=np.int64), np.unique(np.array(lang, dtype=str), return_inverse=True)[1])
+        return Examples(words, np.array(starts, dtype=np.int64), np.array(of, dtype=np.int64), np.array(label, dtype=np.int64), np.unique(np.array(lang, dtype=str), return_inverse=True)[1])
+
+    def place(self, places: Places) -> None:
+        self.places = places
+        self.ids = places.ids(pa.array(self.words, pa.string()))
+        self.before = _previous(self.ids, self.starts)
+        if places.pairs is not None:
+            self.pair = places.pair(self.before, self.ids)
 
     def counts(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts with ``weights``, examples x classes."""
-        return count_classes(self.ids, self.before, self.starts, weights[self.of])
+        return count_classes(self.places, self.ids, self.before, self.pair, self.starts, weights[self.of])
 
     def languages(self) -> np.ndarray:
         """Log share of each word in each language of the examples."""
         length = np.diff(np.append(self.starts, len(self.ids)))
         of_word = np.repeat(self.lang[self.of], length)
-        n = np.stack([np.bincount(self.ids[of_word == k], minlength=WORDS) for k in range(self.lang.max() + 1)]) + 0.05
+        n = np.stack([np.bincount(self.ids[of_word == k], minlength=self.places.n_words) for k in range(self.lang.max() + 1)]) + 0.05
         return np.log(n / n.sum(axis=1, keepdims=True))
 
     def scores(self, weights: np.ndarray, background: np.ndarray, only: int) -> np.ndarray:
@@ -276,7 +307,7 @@ class Examples:
         mine = np.flatnonzero(self.of == only)
         lo = self.starts[mine[0]]
         hi = self.starts[mine[-1] + 1] if mine[-1] + 1 < len(self.starts) else len(self.ids)
-        return Models(*self.counts(weights), background).gain(self.ids[lo:hi], self.before[lo:hi], self.starts[mine] - lo).sum(axis=0)
+        return Models(*self.counts(weights), background, self.places).gain(self.ids[lo:hi], self.before[lo:hi], self.pair[lo:hi], self.starts[mine] - lo).sum(axis=0)
 
 
 def checked_labels(ex: Examples, n_subjects: int, background: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
@@ -364,38 +395,42 @@ def repeated_footers(docs: DataFrame, share: float = 0.02, least: int = 5) -> fr
 
 
 def encode_corpus(docs: DataFrame, footers: frozenset[str], doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, ids, lengths): hashed words of all sentences of each document and the length of each sentence."""
+    """(doc_id, words, lengths): folded words of all sentences of each document and the length of each sentence."""
     kind = docs.schema[doc_id].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        folded: list[str] = []
 
         def look_up(word: str) -> int:
-            known[word] = i = word_id(word)
+            known[word] = i = len(folded)
+            folded.append(word_id(word))
             return i
 
         get = known.get
         for batch in batches:
             if len(known) > 500_000:
                 known.clear()
-            ids: list[int] = []
+                folded.clear()
+            at: list[int] = []
             lengths: list[int] = []
-            id_ends, length_ends = [0], [0]
+            word_ends, length_ends = [0], [0]
             for t in batch.column(1).to_pylist():
                 for s in sentences(t, footers):
-                    ids += [get(w) or look_up(w) for w in s]
+                    at += [look_up(w) if (i := get(w)) is None else i for w in s]
                     lengths.append(len(s))
-                id_ends.append(len(ids))
+                word_ends.append(len(at))
                 length_ends.append(len(lengths))
-            cols = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, pa.int32())) for e, v in ((id_ends, ids), (length_ends, lengths))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[doc_id, "ids", "lengths"])
+            words = pa.array(folded, pa.string()).take(pa.array(at, pa.int32()))
+            cols = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((word_ends, words), (length_ends, pa.array(lengths, pa.int32())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[doc_id, "words", "lengths"])
 
-    return docs.select(doc_id, "text").mapInArrow(encode, f"`{doc_id}` {kind.simpleString()}, ids array<int>, lengths array<int>")
+    return docs.select(doc_id, "text").mapInArrow(encode, f"`{doc_id}` {kind.simpleString()}, words array<string>, lengths array<int>")
 
 
-def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+def _unpack(batch: pa.RecordBatch, places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """ids, the word before each, starts of sentences, document of each sentence."""
-    ids = batch.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = places.ids(batch.column("words").flatten())
     lengths = batch.column("lengths").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(ids):
         return None
@@ -405,26 +440,29 @@ def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _count_corpus(encoded: DataFrame, model, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts per class over all documents; at most classes x (2 WORDS + PAIRS) numbers reach the driver."""
+    """Expected counts per class over all documents; at most classes x (2 words + pairs) numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
+        places = model.value.places
         for batch in batches:
-            parts = _unpack(batch)
+            parts = _unpack(batch, places)
             if parts is None:
                 continue
             ids, before, starts, doc = parts
-            p = posteriors(model.value.gain(ids, before, starts), doc, batch.num_rows, size - 1)
-            c = np.concatenate(count_classes(ids, before, starts, p))
+            pair = places.pair(before, ids)
+            p = posteriors(model.value.gain(ids, before, pair, starts), doc, batch.num_rows, size - 1)
+            c = np.concatenate(count_classes(places, ids, before, pair, starts, p))
             total = c if total is None else total + c
         if total is not None:
             at, k = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at, k].astype(np.float64))], names=["k", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(total[at, k].astype(np.float64))], names=["k", "at", "n"])
 
-    rows = encoded.select("ids", "lengths").mapInArrow(count, "k int, at int, n double").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
-    dense = np.zeros((2 * WORDS + PAIRS, size), dtype=np.float32)
+    rows = encoded.select("words", "lengths").mapInArrow(count, "k int, at long, n double").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    n_words, n_pairs = model.value.places.n_words, model.value.places.n_pairs
+    dense = np.zeros((2 * n_words + n_pairs, size), dtype=np.float32)
     dense[rows.column("at").to_numpy(), rows.column("k").to_numpy()] = rows.column("n").to_numpy()
-    return dense[:WORDS], dense[WORDS : 2 * WORDS], dense[2 * WORDS :]
+    return dense[:n_words], dense[n_words : 2 * n_words], dense[2 * n_words :]
 
 
 def beside(p: np.ndarray, spoken: np.ndarray, n_lang: int, doc: np.ndarray, n_docs: int, n_subjects: int) -> tuple[np.ndarray, np.ndarray]:
@@ -446,19 +484,19 @@ def _beside_in_corpus(encoded: DataFrame, model, n_subjects: int) -> tuple[np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = _unpack(batch)
+            models, languages = model.value
+            parts = _unpack(batch, models.places)
             if parts is None:
                 continue
             ids, before, starts, doc = parts
-            models, languages = model.value
             spoken = np.stack([np.add.reduceat(lang[ids], starts) for lang in languages], axis=1).argmax(axis=1)
-            p = posteriors(models.gain(ids, before, starts), doc, batch.num_rows, n_subjects, rounds=0)
+            p = posteriors(models.gain(ids, before, models.places.pair(before, ids), starts), doc, batch.num_rows, n_subjects, rounds=0)
             docs, both = beside(p, spoken, len(languages), doc, batch.num_rows, n_subjects)
             k, lang, j = np.nonzero(np.concatenate([both, docs[:, :, None]], axis=2))
             n = np.concatenate([both, docs[:, :, None]], axis=2)[k, lang, j]
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (k, lang, j)] + [pa.array(n)], names=["k", "lang", "j", "n"])
 
-    rows = encoded.select("ids", "lengths").mapInArrow(count, "k int, lang int, j int, n double").groupBy("k", "lang", "j").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.select("words", "lengths").mapInArrow(count, "k int, lang int, j int, n double").groupBy("k", "lang", "j").agg(F.sum("n").alias("n")).collect()
     models, languages = model.value
     out = np.zeros((models.n_classes, len(languages), n_subjects + 1))
     for r in rows:
@@ -466,12 +504,35 @@ def _beside_in_corpus(encoded: DataFrame, model, n_subjects: int) -> tuple[np.nd
     return out[:, :, -1], out[:, :, :-1]
 
 
-def background_of(encoded: DataFrame) -> np.ndarray:
-    """Share of each hashed word among all words of the corpus, smoothed; at most WORDS rows reach the driver."""
-    rows = encoded.select(F.explode("ids").alias("w")).groupBy("w").count().toArrow()
-    n = np.full(WORDS, 0.5)
-    n[rows.column("w").to_numpy()] += rows.column("count").to_numpy()
-    return n / n.sum()
+def words_of(encoded: DataFrame, more: list[str]) -> tuple[Places, np.ndarray]:
+    """Rows of the words of the corpus and of ``more``, and the share of each among all words of the corpus, smoothed; one row a distinct
+    word reaches the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.value_counts(batch.column("words").flatten())
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["w", "n"])
+
+    rows = encoded.select("words").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    n = dict.fromkeys(more, 0) | dict(zip(rows.column("w").to_pylist(), rows.column("n").to_pylist()))
+    listed = sorted(n)
+    share = np.array([0, *[n[w] for w in listed], 0]) + 0.5
+    return Places(pa.array(listed, pa.string())), share / share.sum()
+
+
+def pairs_of(encoded: DataFrame, places: Places, more: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs of the corpus and of ``more``, ascending; one a distinct pair reaches the driver."""
+    sent = encoded.sparkSession.sparkContext.broadcast(places)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = _unpack(batch, sent.value)
+            if parts is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(sent.value.numbers(parts[1], parts[0])))], names=["pair"])
+
+    rows = encoded.select("words", "lengths").mapInArrow(find, "pair long").distinct().toArrow()
+    sent.unpersist()
+    return np.union1d(rows.column("pair").to_numpy(), more)
 
 
 def train(encoded: DataFrame, examples: DataFrame, subjects: list[int], rounds: int = 2, example_weight: float = 5.0) -> Models:
@@ -481,24 +542,28 @@ def train(encoded: DataFrame, examples: DataFrame, subjects: list[int], rounds:
         raise ValueError(f"more than {MAX_EXAMPLES} examples")
     place = {s: i for i, s in enumerate(subjects)}
     ex = Examples.read(sorted((place[r["subject_id"]], r["text"], r["lang"]) for r in rows if r["subject_id"] in place))
-    background = background_of(encoded)
     n = len(subjects)
     if len(ex.label) == 0:
-        zero = [np.zeros((s, n + 1), dtype=np.float32) for s in (WORDS, WORDS, PAIRS)]
-        return Models(*zero, background)
+        places = Places(pa.array([], pa.string()), np.array([], dtype=np.int64))
+        zero = [np.zeros((s, n + 1), dtype=np.float32) for s in (places.n_words, places.n_words, places.n_pairs)]
+        return Models(*zero, np.full(places.n_words, 1 / places.n_words), places)
+    places, background = words_of(encoded, ex.words)
+    ex.place(places)
+    places.pairs = pairs_of(encoded, places, places.numbers(ex.before, ex.ids))
+    ex.place(places)
     spark = encoded.sparkSession
     weights, cases = checked_labels(ex, n, background)
     if cases:
-        sent = spark.sparkContext.broadcast((Models(*[example_weight * c for c in ex.counts(weights)], background), ex.languages()))
+        sent = spark.sparkContext.broadcast((Models(*[example_weight * c for c in ex.counts(weights)], background, places), ex.languages()))
         weights = settled(ex, weights, cases, *_beside_in_corpus(encoded, sent, n), n)
         sent.unpersist()
     seed = [example_weight * c for c in ex.counts(weights)]
-    models = Models(*seed, background)
+    models = Models(*seed, background, places)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(models)
         found = _count_corpus(encoded, sent, n + 1)
         sent.unpersist()
-        models = Models(*[a + b for a, b in zip(seed, found)], background)
+        models = Models(*[a + b for a, b in zip(seed, found)], background, places)
     return models
 
 
@@ -512,11 +577,11 @@ def assign_subjects(encoded: DataFrame, models: Models, subjects: list[int], doc
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = _unpack(batch)
+            parts = _unpack(batch, sent.value.places)
             if parts is None or not sent.value.words.any():  # without any example nothing is about anything
                 continue
             ids, before, starts, doc = parts
-            p = posteriors(sent.value.gain(ids, before, starts), doc, batch.num_rows, len(subjects))
+            p = posteriors(sent.value.gain(ids, before, sent.value.places.pair(before, ids), starts), doc, batch.num_rows, len(subjects))
             about = np.zeros((batch.num_rows, p.shape[1]), dtype=np.int64)
             np.add.at(about, (doc, p.argmax(axis=1)), 1)
             all_ = about.sum(axis=1)
@@ -524,4 +589,4 @@ def assign_subjects(encoded: DataFrame, models: Models, subjects: list[int], doc
             cols = [batch.column(0).take(pa.array(d)), pa.array(np.array(subjects, dtype=np.int32)[k]), pa.array(all_[d]), pa.array(about[d, k]), pa.array(about[d, k] / all_[d])]
             yield pa.RecordBatch.from_arrays(cols, names=[doc_id, "subject_id", "n_sentences", "n_about", "share"])
 
-    return encoded.select(doc_id, "ids", "lengths").mapInArrow(assign, f"`{doc_id}` {kind}, subject_id int, n_sentences long, n_about long, share double")
+    return encoded.select(doc_id, "words", "lengths").mapInArrow(assign, f"`{doc_id}` {kind}, subject_id int, n_sentences long, n_about long, share double")

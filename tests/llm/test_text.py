@@ -3,8 +3,10 @@
 import itertools
 import json
 import os
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,25 @@ def test_subjects_held_out(spark):
     assert subjects.assign_subjects(coded.limit(0), models, [1, 2, 3]).count() == 0
 
 
+def test_words_and_pairs_have_rows_of_their_own(spark):
+    # "river" and the foreign word once shared a row of the word table; thousands of rare words share rows of any small table.
+    old_row = lambda w: zlib.crc32(subjects.fold_word(w).encode()) % 32767
+    foreign = next(w for w in ("".join(t) for t in itertools.product("abdghk", repeat=7)) if old_row(w) == old_row("river"))
+    rng = np.random.default_rng(2)
+    names = ["".join(rng.choice(list("abdghklmnoptuvw"), 8)) for _ in range(40_000)]
+    docs = [(i, " ".join(names[40 * i : 40 * i + 40]) + ".") for i in range(1000)] + [(1000 + i, WATER[i % 4] + " " + TRADE[i % 4]) for i in range(40)] + [(2000, f"{foreign} {foreign} {foreign}.")]
+    coded = subjects.encode_corpus(spark.createDataFrame(docs, "doc_id long, text string"), frozenset())
+    e = spark.createDataFrame([(k + 1, x, "en") for k, p in enumerate([WATER, TRADE]) for x in p], "subject_id int, text string, lang string")
+    models = subjects.train(coded, e, [1, 2], rounds=1)
+    at = models.places.ids(pa.array(["river", foreign, "nowhere at all"]))
+    assert at[0] != at[1] and at[2] == models.places.n_words - 1
+    # No pair is likelier than certain: what a pair counts is part of what its first word does.
+    before = models.places.pairs // models.places.n_words
+    assert (models.pairs[:-1] <= models.contexts[before] * (1 + 1e-4) + 1e-6).all()
+    distinct = {(a, b) for _, t in docs for s in subjects.sentences(t) for a, b in zip([""] + s, s)} | {(a, b) for p in (WATER, TRADE) for t in p for s in subjects.sentences(t) for a, b in zip([""] + s, s)}
+    assert len(models.places.pairs) == len({(subjects.fold_word(a), subjects.fold_word(b)) for a, b in distinct})
+
+
 def test_no_examples(spark):
     df = spark.createDataFrame([(1, WATER[0])], "doc_id long, text string")
     e = spark.createDataFrame([], "subject_id int, text string, lang string")
