@@ -369,7 +369,7 @@ def conditional_scenario_filter(spark: SparkSession, d: str) -> DataFrame:
     """select user_id, event_type, min(floor(value / 100)) as level, count(*) as n_rows, min(floor(value / 100)) is distinct from max(floor(value / 100)) as conflict from (select user_id, event_type, value from events where extract(day from ts) <= 3) group by 1, 2""",
 )
 def dedupe_conflict(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where(F.dayofmonth("ts") <= 3).select("user_id", "event_type", F.floor(F.col("value") / 100).cast("double").alias("level"))
+    e = table(spark, d, "events").select("user_id", "event_type", F.floor(F.col("value") / 100).cast("double").alias("level"))
     return ag.conflicts(e, ["user_id", "event_type"], ["level"])
 
 
