@@ -647,7 +647,7 @@ _EDGES = "edges as (select p.p_partkey as a, q.p_partkey as b from part p join p
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    return p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + F.col("p_size")).alias("b")).join(p.select(F.col("p_partkey").alias("b")), "b", "left_semi").select("a", "b")
+    return p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + F.col("p_size")).alias("b")).join(p.select(F.col("p_partkey").alias("b")), "b", "left_semi").select("a", "b")
 
 
 @_query(

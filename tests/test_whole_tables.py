@@ -21,3 +21,41 @@ def test_dedupe_conflict_takes_every_event(spark, sf_dir):
     got = rows(QUERIES["dedupe_conflict"](spark, sf_dir), "user_id", "event_type", "level", "n_rows", "conflict")
     assert sum(r[3] for r in got) == len(e)
     assert got == want
+
+
+def _union_find(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        i, j = find(a), find(b)
+        root[max(i, j)] = min(i, j)
+    return {x: find(x) for x in root}
+
+
+def _part_edges(sf_dir):
+    p = _read(sf_dir, "part")
+    known = set(p["p_partkey"])
+    return p, [(int(k), int(k + s)) for k, s in zip(p["p_partkey"], p["p_size"]) if k + s in known]
+
+
+def test_components_of_every_part(spark, sf_dir):
+    _, edges = _part_edges(sf_dir)
+    assert dict(rows(QUERIES["components"](spark, sf_dir), "node", "component")) == _union_find(edges)
+
+
+def test_leaves_of_every_part(spark, sf_dir):
+    p, edges = _part_edges(sf_dir)
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    leaf = {int(k): next(iter(near[k])) for k, s in zip(p["p_partkey"], p["p_size"]) if len(near.get(k, ())) == 1 and s * 10 <= 300}
+    merged = {n: t for n, t in leaf.items() if t not in leaf or (leaf[t] == n and n > t)}
+    want = {int(k): merged.get(int(k), int(k)) for k in p["p_partkey"]}
+    assert dict(rows(QUERIES["leaf_contract"](spark, sf_dir), "node", "target")) == want
