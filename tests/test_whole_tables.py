@@ -4,6 +4,7 @@ import os
 
 import pandas as pd
 
+from busweave.operators.joining import corridor_agreement
 from busweave.plans.tables import QUERIES
 
 from .conftest import rows
@@ -59,3 +60,26 @@ def test_leaves_of_every_part(spark, sf_dir):
     merged = {n: t for n, t in leaf.items() if t not in leaf or (leaf[t] == n and n > t)}
     want = {int(k): merged.get(int(k), int(k)) for k in p["p_partkey"]}
     assert dict(rows(QUERIES["leaf_contract"](spark, sf_dir), "node", "target")) == want
+
+
+def test_corridors_of_all_flows(spark, sf_dir):
+    t = {n: _read(sf_dir, n) for n in ("lineitem", "supplier", "orders", "customer")}
+    f = t["lineitem"].merge(t["supplier"], left_on="l_suppkey", right_on="s_suppkey").merge(t["orders"], left_on="l_orderkey", right_on="o_orderkey").merge(t["customer"], left_on="o_custkey", right_on="c_custkey")
+    f = f[f["s_nationkey"] != f["c_nationkey"]]
+    ends = f[["s_nationkey", "c_nationkey"]]
+    flow = f["l_quantity"].astype(float).groupby([pd.to_datetime(f["l_shipdate"]).dt.year.rename("y"), ends.min(axis=1).rename("a"), ends.max(axis=1).rename("b")]).sum()
+    both = pd.concat([flow.loc[1997].rename("t"), flow.loc[1998].rename("g")], axis=1)
+    common, known = both.dropna(), both.fillna(0)
+    off = (known["g"] - known["t"]).abs()
+    got = QUERIES["corridor_jaccard"](spark, sf_dir).first()
+    assert (got.n_common, got.n_missing, got.n_extra) == (len(common), int(both["g"].isna().sum()), int(both["t"].isna().sum()))
+    assert abs(got.jaccard - len(common) / len(both)) < 1e-5
+    assert abs(got.wape - (off * known["t"]).sum() / (known["t"] ** 2).sum()) < 1e-5 and abs(got.wape_plain - off.sum() / known["t"].sum()) < 1e-5
+
+
+def test_missing_and_extra_corridors(spark):
+    raw = spark.createDataFrame([(1, 2, 10.0), (1, 3, 5.0), (2, 3, 5.0)], "first int, second int, v double")
+    reduced = spark.createDataFrame([(1, 2, 8.0), (3, 4, 1.0)], "first int, second int, v double")
+    got = corridor_agreement(raw, reduced, ["first", "second"], "v").first()
+    assert (got.n_common, got.n_missing, got.n_extra, got.precision, got.jaccard) == (1, 2, 1, 0.5, 0.25)
+    assert abs(got.recall - 1 / 3) < 1e-9 and abs(got.wape - 70 / 150) < 1e-9 and abs(got.wape_plain - 13 / 20) < 1e-9
