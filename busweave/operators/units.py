@@ -3,7 +3,8 @@
 What is said nearest to a value decides: its own cell, its unit column, the row's remark on this field, the file's note. Where
 nothing is said, a mixture on the log scale does: the common-unit distribution is learnt from the values whose unit is known, every
 scale contributes the same shape moved by its known factor, weights come from EM over the unlabelled values (one set for all, then
-one per file, drawn to the first), and a value takes the scale of highest posterior, flagged when that is uncertain.
+one per file, drawn to the first by a Dirichlet prior; none is ever zero), and a value takes the scale of highest posterior, flagged
+when that is uncertain.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import GROUPING, parse_number
@@ -134,30 +136,77 @@ def _moved(how: str, factor: float) -> tuple[int, float]:
     return (1, math.log(factor)) if how == "multiply" else (-1, math.log(factor))
 
 
-def fit_mixture(known: np.ndarray, bins: np.ndarray, counts: np.ndarray, scales: list[tuple[int, str, float]], rounds: int = 60, least: float = 0.03) -> np.ndarray:
-    """Log weights of the scales for unlabelled log values: ``known`` is (mean, deviation) of the common log values.
-
-    A scale must explain more than ``least`` of the values (and more than two) to have weight: overlapping scales that only catch the
-    others' tails die out. Values that lie near no scale with weight still go to the one they lie near.
-    """
-    mean, deviation = known
-    like = np.array([-0.5 * ((s * bins + shift - mean) / deviation) ** 2 for s, shift in (_moved(h, f) for _, h, f in scales)])
-    weights = np.full(len(scales), 1 / len(scales))
+@dataclass
+class Shape:
+    """Log density of the common log values: a table in bins from ``low`` on, and a wide normal beyond it."""
+
+    mean: float
+    deviation: float
+    low: float
+    table: np.ndarray
+
+    #: Share of values that lie anywhere, so that no scale rules a value out.
+    STRAY = 1e-3
+
+    @staticmethod
+    def learn(bins: np.ndarray, counts: np.ndarray, fallback: tuple[float, float]) -> Shape:
+        """Smoothed histogram of the known log values; a normal by ``fallback`` (mean, deviation) if there are fewer than ten or all are alike."""
+        n = counts.sum()
+        mean, deviation = fallback
+        learnt = n >= 10 and np.ptp(bins) > 0
+        if learnt:
+            order = np.argsort(bins)
+            mean = float(bins[order][np.searchsorted(counts[order].cumsum(), n / 2)])
+            deviation = float(np.sqrt(np.average((bins - np.average(bins, weights=counts)) ** 2, weights=counts)))
+        half = int(np.ceil(8 * deviation * BINS_PER_LOG))
+        at = (np.arange(-half, half) + 0.5) / BINS_PER_LOG
+        density = np.exp(-0.5 * (at / deviation) ** 2) / (deviation * math.sqrt(2 * math.pi))
+        low = math.floor(mean * BINS_PER_LOG) / BINS_PER_LOG - half / BINS_PER_LOG
+        if learnt:
+            place = np.floor((bins - low) * BINS_PER_LOG).astype(int)
+            inside = (place >= 0) & (place < len(at))
+            width = max(0.9 * deviation * n**-0.2, 1 / BINS_PER_LOG)
+            kernel = np.exp(-0.5 * (at / width) ** 2)
+            # The kernel's middle lies between two bins; both halves are used, so nothing is moved.
+            seen = np.bincount(place[inside], weights=counts[inside], minlength=len(at)).astype(float)
+            full = np.convolve(seen, kernel / kernel.sum())
+            density = ((full[half - 1 : half - 1 + len(at)] + full[half : half + len(at)]) / 2) * BINS_PER_LOG / n
+        shape = Shape(mean, deviation, low, np.zeros(0))
+        centre = low + (np.arange(len(at)) + 0.5) / BINS_PER_LOG
+        shape.table = np.log((1 - Shape.STRAY) * np.maximum(density, 0) + np.exp(shape._stray(centre)))
+        return shape
+
+    def _stray(self, x):
+        return math.log(Shape.STRAY / (2 * self.deviation * math.sqrt(2 * math.pi))) - 0.5 * ((x - self.mean) / (2 * self.deviation)) ** 2
+
+    def at(self, x: np.ndarray) -> np.ndarray:
+        place = np.floor((x - self.low) * BINS_PER_LOG).astype(int)
+        inside = (place >= 0) & (place < len(self.table))
+        return np.where(inside, self.table[np.clip(place, 0, len(self.table) - 1)], self._stray(x))
+
+    def column(self, x: Column) -> Column:
+        table = F.split(F.lit(",".join(map(repr, self.table.tolist()))), ",").cast("array<double>")
+        place = F.floor((x - F.lit(self.low)) * BINS_PER_LOG).cast("int")
+        return F.coalesce(F.when(place >= 0, F.get(table, place)), self._stray(x))
+
+
+def fit_mixture(like: np.ndarray, counts: np.ndarray, prior: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights of the scales for unlabelled values, ``like`` being scales x bins log densities: EM with a Dirichlet prior of ``prior`` rows."""
+    weights = prior / prior.sum()
     for _ in range(rounds):
-        joint = like + np.log(np.maximum(weights, 1e-12))[:, None]
+        joint = like + np.log(weights)[:, None]
         share = np.exp(joint - joint.max(axis=0))
         share /= share.sum(axis=0)
-        explained = (share * counts).sum(axis=1)
-        kept = np.maximum(explained - max(2.0, least * counts.sum()), 0.0)
-        weights = (kept if kept.sum() > 0 else explained) / (kept.sum() or explained.sum())
-    return np.log(np.maximum(weights, 1e-12))
+        weights = (share * counts).sum(axis=1) + prior
+        weights /= weights.sum()
+    return weights
 
 
 def assign_scales(said: DataFrame, scales: dict[str, list[tuple[int, str, float]]], key: list[str], file_prior: float = 20.0, sure: float = 0.9) -> DataFrame:
     """Adds scale_id, common value, said_by ``size`` where the mixture decided, posterior, and ``uncertain``.
 
-    Only aggregates reach the driver: an approximate median and the deviation of the labelled logs per field, and a histogram of the unlabelled logs of
-    bounded range and width. Numbers <= 0 without a statement get no scale. A field without labelled values takes the spread of its
+    Only aggregates reach the driver: histograms of the labelled common logs and of the unlabelled logs per field, of bounded range and
+    width. Numbers <= 0 without a statement get no scale. A field without labelled values takes the spread of its
     unlabelled ones around the common scale. A stated unit that is none of the scales gets no scale but is no guess either.
     """
     # The readings are counted three times below; written once, the texts are read once.
@@ -175,32 +224,42 @@ def assign_scales(said: DataFrame, scales: dict[str, list[tuple[int, str, float]
         for sid, how, factor in options:
             common = F.when(F.col("_said") == sid, value(how, factor)).otherwise(common)
     tagged = tagged.withColumn("_common", common)
-    good = F.when(F.col("_common") > 0, F.log("_common"))
-    spread = {r["field_name"]: (r["m"], r["s"], r["n"]) for r in tagged.groupBy("field_name").agg(F.percentile_approx(good, 0.5, 1000).alias("m"), F.stddev_pop(good).alias("s"), F.count(good).alias("n")).collect()}
+    bin_of = lambda x: F.greatest(F.lit(-40 * BINS_PER_LOG), F.least(F.lit(40 * BINS_PER_LOG), F.floor(x * BINS_PER_LOG)))
+    labelled = tagged.where("_common > 0").groupBy("field_name", bin_of(F.log("_common")).alias("bin")).count().collect()
     open_ = F.col("said_by").isNull() & (F.col("number") > 0)
-    binned = F.greatest(F.lit(-40 * BINS_PER_LOG), F.least(F.lit(40 * BINS_PER_LOG), F.floor(log * BINS_PER_LOG)))
-    histogram = tagged.where(open_).groupBy("field_name", binned.alias("bin")).count().collect()
+    binned = tagged.where(open_).groupBy("_file", "field_name", bin_of(log).alias("bin")).count()
+    histogram = binned.groupBy("field_name", "bin").agg(F.sum("count").alias("count")).collect()
+    of = lambda rows, field: (np.array([r["bin"] for r in rows if r["field_name"] == field]) / BINS_PER_LOG + 0.5 / BINS_PER_LOG, np.array([r["count"] for r in rows if r["field_name"] == field], dtype=float))
     joint = F.lit(None)
+    shapes: dict[str, Shape] = {}
+    overall: dict[str, np.ndarray] = {}
     for field, options in scales.items():
-        mine = [(r["bin"], r["count"]) for r in histogram if r["field_name"] == field]
-        if not mine:
+        bins, counts = of(histogram, field)
+        if not len(bins):
             continue
-        bins, counts = (np.array([b for b, _ in mine]) + 0.5) / BINS_PER_LOG, np.array([c for _, c in mine], dtype=float)
-        mean, deviation, n = spread.get(field, (None, None, 0))
-        if not n or n < 10 or not deviation:
-            mean, deviation = float(np.average(bins, weights=counts)), 0.5
-        weights = fit_mixture((mean, deviation), bins, counts, options)
-        like = [F.lit(float(w)) - 0.5 * F.pow((F.lit(s) * log + F.lit(shift) - F.lit(mean)) / F.lit(deviation), 2) for w, (s, shift) in zip(weights, (_moved(h, f) for _, h, f in options))]
+        shapes[field] = Shape.learn(*of(labelled, field), (float(np.average(bins, weights=counts)), 0.5))
+        moves = [_moved(h, f) for _, h, f in options]
+        overall[field] = fit_mixture(np.array([shapes[field].at(s * bins + shift) for s, shift in moves]), counts, np.ones(len(options)))
+        like = [shapes[field].column(F.lit(s) * log + F.lit(shift)) for s, shift in moves]
         joint = F.when(F.col("field_name") == field, F.array(*[F.struct(x.alias("l"), F.lit(-sid).alias("o"), F.lit(sid).alias("id")) for x, (sid, _, _) in zip(like, options)])).otherwise(joint)
     if not histogram:
         return tagged.select(*key, "field_name", "number", F.col("_said").alias("scale_id"), F.col("_common").alias("common_value"), "said_by", F.lit(1.0).alias("posterior"), F.lit(False).alias("uncertain"))
     guessed = tagged.withColumn("_joint", F.when(open_, joint))
-    # One more pass for the files: how often each scale wins in a file, drawn to the overall weights by ``file_prior`` rows.
-    best = F.array_max("_joint")
-    wins = guessed.where(open_).groupBy("_file", "field_name", best["id"].alias("id")).count()
-    by_file = wins.groupBy("_file", "field_name").agg(F.map_from_entries(F.collect_list(F.struct("id", "count"))).alias("_wins"), F.sum("count").alias("_all"))
-    guessed = guessed.join(by_file.withColumnRenamed("field_name", "_field"), guessed["_file"].eqNullSafe(by_file["_file"]) & (guessed["field_name"] == F.col("_field")), "left").drop(by_file["_file"])
-    again = F.transform("_joint", lambda x: F.struct((x["l"] + F.log((F.coalesce(F.try_element_at("_wins", x["id"]), F.lit(0)) + 0.5) / (F.col("_all") + F.lit(file_prior)))).alias("l"), x["o"].alias("o"), x["id"].alias("id")))
+
+    def fit_file(key, rows: pd.DataFrame) -> pd.DataFrame:
+        """A file's own weights, drawn to the overall ones by ``file_prior`` rows."""
+        field = key[1]
+        if field not in overall:
+            return pd.DataFrame({"_file": [], "_field": [], "_ids": [], "_weights": []})
+        bins = (rows["bin"].to_numpy(float) + 0.5) / BINS_PER_LOG
+        like = np.array([shapes[field].at(s * bins + shift) for s, shift in (_moved(h, f) for _, h, f in scales[field])])
+        weights = fit_mixture(like, rows["count"].to_numpy(float), file_prior * overall[field])
+        return pd.DataFrame({"_file": [rows["_file"].iloc[0]], "_field": [field], "_ids": [[i for i, _, _ in scales[field]]], "_weights": [weights.tolist()]})
+
+    by_file = binned.groupBy("_file", "field_name").applyInPandas(fit_file, "_file string, _field string, _ids array<int>, _weights array<double>")
+    by_file = by_file.select("_file", "_field", F.map_from_arrays("_ids", "_weights").alias("_weights"))
+    guessed = guessed.join(by_file, guessed["_file"].eqNullSafe(by_file["_file"]) & (guessed["field_name"] == F.col("_field")), "left").drop(by_file["_file"])
+    again = F.transform("_joint", lambda x: F.struct((x["l"] + F.log(F.try_element_at("_weights", x["id"]))).alias("l"), x["o"].alias("o"), x["id"].alias("id")))
     guessed = guessed.withColumn("_joint", again).withColumn("_best", F.array_max("_joint"))
     posterior = 1 / F.aggregate("_joint", F.lit(0.0), lambda a, x: a + F.exp(x["l"] - F.col("_best.l")))
     sid = F.coalesce(F.col("_said"), F.col("_best.id"))

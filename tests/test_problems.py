@@ -33,6 +33,20 @@ def _units(spark, data, notes=()):
     return {(r.row_id, r.field_name): r for r in out.collect()}
 
 
+def test_units_rare_scale_in_one_file(spark):
+    rng = np.random.default_rng(5)
+    common = lambda n: np.round(np.exp(rng.triangular(np.log(8000), np.log(90000), np.log(120000), n)))
+    data = [(i, None, None, f"{v:.0f}", "EUR/MW/a", None, f"f{i % 5}", "x") for i, v in enumerate(common(500))]
+    data += [(1000 + i, None, None, f"{v:.0f}", None, None, f"f{i % 5}", "x") for i, v in enumerate(common(3000))]
+    data += [(9000 + i, None, None, f"{v / 12:.0f}", None, None, "monthly", "x") for i, v in enumerate(common(40))]
+    got = _units(spark, data)
+    monthly = [got[k, "fixed_cost_eur_mw_a"] for k in range(9000, 9040)]
+    assert sum(r.scale_id == 4 for r in monthly) >= 38
+    assert all(r.scale_id == 4 for r in monthly if r.number < 5000)
+    others = [r for k, r in got.items() if 1000 <= k[0] < 9000]
+    assert len(others) == 3000 and all(r.scale_id == 1 or r.uncertain for r in others) and sum(r.scale_id != 1 for r in others) <= 3
+
+
 def test_units_nearest_statement(spark):
     got = _units(
         spark,
