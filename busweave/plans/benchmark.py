@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalar import EARTH_KM_IUGG, haversine_km
 from ..operators.aggregate import composite_rank, exact_quantiles
 from ..operators.joining import corridor_agreement
-from ..operators.kernels import MAX_NODES, component_labels, dc_angles, weight_matrix
+from ..operators.kernels import merged_edges, sparse_angles
 
 
 def cluster_corridors(lines: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -38,24 +38,18 @@ def transfer_fidelity(raw_nodes: DataFrame, raw_edges: DataFrame, reduced_edges:
     """(sample, source, sink, nrmse, cosine): corridor flows of random transfers between clusters, raw against reduced.
 
     ``raw_nodes`` has group, node, cluster, weight (a cluster's injection is dealt by weight); ``raw_edges`` group, a, b, w;
-    ``reduced_edges`` group, a, b, w between clusters. One factorisation serves all samples of a group as right-hand sides.
+    ``reduced_edges`` group, a, b, w between clusters. One sparse elimination serves all samples of a group as right-hand sides,
+    whatever its size; a group of a single cluster has nothing to transfer and no rows.
     """
 
-    def solve(w: np.ndarray, p: np.ndarray) -> np.ndarray:
-        theta, comp = np.zeros_like(p), component_labels(w)
-        for c in range(comp.max() + 1):
-            at = np.flatnonzero(comp == c)
-            theta[at] = dc_angles(w[np.ix_(at, at)], p[at])
-        return theta
-
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         raw, red = e[e["kind"] == "raw"], e[e["kind"] == "reduced"]
         ids, clusters = np.sort(n["node"].to_numpy()), np.sort(n["cluster"].unique())
-        if len(ids) > MAX_NODES or len(clusters) < 2:
+        if len(clusters) < 2:  # nothing to transfer between
             return pd.DataFrame(columns=["group", "sample", "source", "sink", "nrmse", "cosine"])
         at, ct = {v: i for i, v in enumerate(ids)}, {v: i for i, v in enumerate(clusters)}
-        w = weight_matrix(len(ids), raw["a"].map(at).to_numpy(int), raw["b"].map(at).to_numpy(int), raw["w"].to_numpy(float))
-        v = weight_matrix(len(clusters), red["a"].map(ct).to_numpy(int), red["b"].map(ct).to_numpy(int), red["w"].to_numpy(float))
+        i, j, w = merged_edges(len(ids), raw["a"].map(at).to_numpy(int), raw["b"].map(at).to_numpy(int), raw["w"].to_numpy(float))
+        first, second, v = merged_edges(len(clusters), red["a"].map(ct).to_numpy(int), red["b"].map(ct).to_numpy(int), red["w"].to_numpy(float))
         n = n.set_index("node").loc[ids]
         of, share = n["cluster"].map(ct).to_numpy(), n["weight"].clip(lower=0).to_numpy(float)
         total = np.bincount(of, weights=share, minlength=len(clusters))
@@ -66,17 +60,17 @@ def transfer_fidelity(raw_nodes: DataFrame, raw_edges: DataFrame, reduced_edges:
         inject = np.zeros((len(clusters), samples))
         inject[pick[:, 0], np.arange(samples)] = mw
         inject[pick[:, 1], np.arange(samples)] = -mw
-        theta, phi = solve(w, inject[of] * share[:, None]), solve(v, inject)
+        theta, phi = sparse_angles(len(ids), i, j, w, inject[of] * share[:, None]), sparse_angles(len(clusters), first, second, v, inject)
         pairs = {}
-        i, j = np.nonzero(np.triu(w, 1) > 0)
-        for a, b in zip(i, j):
+        for a, b, x in zip(i, j, w):
             if of[a] != of[b]:
                 s = 1 if of[a] < of[b] else -1
                 pairs.setdefault((min(of[a], of[b]), max(of[a], of[b])), np.zeros(samples))
-                pairs[min(of[a], of[b]), max(of[a], of[b])] += s * w[a, b] * (theta[a] - theta[b])
-        keys = sorted(set(pairs) | {(a, b) for a, b in zip(*np.nonzero(np.triu(v, 1) > 0))})
+                pairs[min(of[a], of[b]), max(of[a], of[b])] += s * x * (theta[a] - theta[b])
+        reduced = {(a, b): x * (phi[a] - phi[b]) for a, b, x in zip(first, second, v)}
+        keys = sorted(set(pairs) | set(reduced))
         t = np.array([pairs.get(k, np.zeros(samples)) for k in keys])
-        g = np.array([v[k] * (phi[k[0]] - phi[k[1]]) for k in keys])
+        g = np.array([reduced.get(k, np.zeros(samples)) for k in keys])
         scale = np.sqrt((t**2).mean(axis=0))
         norm = np.linalg.norm(t, axis=0) * np.linalg.norm(g, axis=0)
         return pd.DataFrame(

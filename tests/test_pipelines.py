@@ -4,9 +4,12 @@ import datetime as dt
 import json
 import zipfile
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from busweave.operators import kernels
 from busweave.plans import benchmark, flexible, grid, hydro, load, renewables, siting
 from busweave.sources import files, sinks, xlsx
 from busweave.streaming.disaggregate import disaggregate_stream, weekly_stream
@@ -257,6 +260,43 @@ def test_grid_reduction(spark):
     assert f.count() == 5 and f.agg(F.max("nrmse")).first()[0] == pytest.approx(0, abs=1e-6)
 
 
+def _mesh(side, seed=3):
+    """Edges (a, b, w) of a square mesh, some of them twice, and a lone pair of nodes."""
+    rng = np.random.default_rng(seed)
+    node = np.arange(side * side).reshape(side, side)
+    a = np.concatenate([node[:, :-1].ravel(), node[:-1].ravel(), [0, side * side]])
+    b = np.concatenate([node[:, 1:].ravel(), node[1:].ravel(), [1, side * side + 1]])
+    return side * side + 2, a, b, rng.uniform(0.5, 2, len(a))
+
+
+def test_sparse_angles():
+    n, a, b, w = _mesh(12)
+    p = np.random.default_rng(4).normal(size=(n, 3))
+    m = kernels.weight_matrix(n, a, b, w)
+    want = np.zeros_like(p)
+    for at in (np.arange(n - 2), np.array([n - 2, n - 1])):
+        want[at] = kernels.dc_angles(m[np.ix_(at, at)], p[at])
+    np.testing.assert_allclose(kernels.sparse_angles(n, *kernels.merged_edges(n, a, b, w), p), want, atol=1e-9)
+
+
+def test_networks_of_more_than_the_dense_kernels_take(spark):
+    n, a, b, w = _mesh(55)
+    assert n > kernels.MAX_NODES
+    e = spark.createDataFrame(pd.DataFrame({"group": "g", "a": a, "b": b, "w": w}))
+    p = np.random.default_rng(6).normal(size=n)
+    flows = kernels.dc_flows(spark.createDataFrame(pd.DataFrame({"group": "g", "node": np.arange(n), "p": p})), e, "group").toPandas()
+    out = np.bincount(flows["a"], weights=flows["flow"], minlength=n) - np.bincount(flows["b"], weights=flows["flow"], minlength=n)
+    slack = [0, n - 2]
+    np.testing.assert_allclose(np.delete(out, slack), np.delete(p, slack), atol=1e-8)
+    # Clusters are quarters of the mesh; the reduced corridors are the sums of the raw lines between them.
+    side = 55
+    cluster = np.append((np.arange(side * side) // side >= 27) * 2 + (np.arange(side * side) % side >= 27), [0, 0])
+    nodes = spark.createDataFrame(pd.DataFrame({"group": "g", "node": np.arange(n), "cluster": cluster, "weight": 1.0}))
+    cross = pd.DataFrame({"group": "g", "a": cluster[a], "b": cluster[b], "w": w}).query("a != b")
+    got = benchmark.transfer_fidelity(nodes, e, spark.createDataFrame(cross), samples=4).toPandas()
+    assert len(got) == 4 and got["nrmse"].notna().all() and (got["cosine"] > 0.9).all()
+
+
 def test_projects_and_pruning(spark):
     buses, lines = _grid(spark)
     p = spark.createDataFrame([("p1", 2028, False, 380.0, 50.0, 9.0, 50.01, 9.0), ("p2", 2028, False, 380.0, 50.0, 9.0, 52.0, 9.0), ("p3", 2045, False, 380.0, 50.0, 9.0, 52.0, 9.0), ("p4", 2020, True, 220.0, 50.0, 9.0, 50.01, 9.0)], "project_id string, build_year int, upgraded boolean, v_nom double, lat0 double, lon0 double, lat1 double, lon1 double")
