@@ -1,8 +1,8 @@
 """References to records that do not exist (at the time of the reference).
 
 Existence is kept as signed deltas: +1 when a key becomes valid, -1 when it ends. Their running sum per key is the existence
-count over time, folded into a timeline of periods with a positive count. References are deltas too: a report sums the signed
-reference counts per key and period and keeps those with references but no existence.
+count over time, folded into a timeline of periods with a positive count. References are deltas too, +1 when recorded and -1 when
+withdrawn: a report sums them per key and period and keeps the keys with references left but no existence.
 """
 
 from __future__ import annotations
@@ -48,6 +48,13 @@ def timelines(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("key").agg(F.min("at").alias("first_from")).join(spans, "key", "left")
 
 
+def reference_deltas(references: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame:
+    """The references with ``delta`` +1 and those ``withdrawn`` with -1; these repeat the key and the time the reference was recorded with,
+    as it counts in that period."""
+    plus = references.withColumn("delta", F.lit(1))
+    return plus if withdrawn is None else plus.unionByName(withdrawn.withColumn("delta", F.lit(-1)))
+
+
 def orphan_references(references: DataFrame, existence: DataFrame, hot: list | None = None) -> DataFrame:
     """References (``key``, ``recorded_at``, any others) without existence at their time, with ``orphan_kind``.
 
@@ -63,10 +70,13 @@ def orphan_references(references: DataFrame, existence: DataFrame, hot: list | N
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Orphans counted per table, month of recording and kind, with the number of distinct keys."""
+    """Orphans left per table, month of recording and kind, with the number of distinct keys: the sum of ``delta`` per key where it is
+    positive. Without that column every row is a reference."""
+    signed = F.col("delta") if "delta" in orphans.columns else F.lit(1)
     return (
         orphans.groupBy("table_name", F.date_trunc("month", "recorded_at").cast("timestamp_ntz").alias("month"), "orphan_kind", "key")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(signed).alias("n"))
+        .where("n > 0")
         .groupBy("table_name", "month", "orphan_kind")
         .agg(F.sum("n").alias("n_references"), F.count("key").alias("n_keys"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.orphans import clean_reference, existence_deltas, orphan_references, orphan_report
+from ..operators.orphans import clean_reference, existence_deltas, orphan_references, orphan_report, reference_deltas
 from ..session import table
 
 SOURCES = (("hydro_bus_capacities", "bus"), ("decommissioned_sites", "bus_id"))
@@ -16,7 +16,7 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), "row_id", clean_reference(F.col(col)).alias("key"), "recorded_at").where("key is not null")
         refs = one if refs is None else refs.unionByName(one)
     existence = existence_deltas(table(spark, sf_dir, "buses_with_clusters"), "bus_id", "valid_from", "valid_to")
-    return orphan_references(refs.dropDuplicates(["table_name", "row_id"]), existence)
+    return orphan_references(reference_deltas(refs.dropDuplicates(["table_name", "row_id"])), existence)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,17 @@ def test_orphans(spark):
     assert rows(orphans.orphan_references(df.where("row_id = 1"), orphans.existence_deltas(buses.limit(0), "bus_id", "f", "t")), "row_id", "orphan_kind") == [(1, "missing")]
 
 
+def test_withdrawn_references(spark):
+    buses = spark.createDataFrame([("a", T(2010, 1, 1), T(2015, 1, 1))], "bus_id string, f timestamp_ntz, t timestamp_ntz")
+    schema = "table_name string, row_id long, key string, recorded_at timestamp_ntz"
+    refs = spark.createDataFrame([("t", 1, "a", T(2016, 3, 1)), ("t", 2, "a", T(2016, 3, 5)), ("t", 3, "x", T(2016, 3, 1)), ("t", 4, "a", T(2012, 3, 1)), ("t", 5, "a", T(2009, 3, 1))], schema)
+    gone = refs.where("row_id in (2, 3, 4)")
+    ex = orphans.existence_deltas(buses, "bus_id", "f", "t")
+    left = orphans.orphan_report(orphans.orphan_references(orphans.reference_deltas(refs, gone), ex))
+    assert rows(left, "month", "orphan_kind", "n_references", "n_keys") == [(T(2009, 3, 1), "late", 1, 1), (T(2016, 3, 1), "deleted", 1, 1)]
+    assert orphans.orphan_report(orphans.orphan_references(orphans.reference_deltas(refs, refs), ex)).count() == 0
+
+
 # ---- rejected rows -----------------------------------------------------------------------------------------------------------
 
 
