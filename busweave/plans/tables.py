@@ -366,7 +366,7 @@ def conditional_scenario_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "dedupe_conflict",
-    """select user_id, event_type, min(floor(value / 100)) as level, count(*) as n_rows, min(floor(value / 100)) is distinct from max(floor(value / 100)) as conflict from (select user_id, event_type, value from events where extract(day from ts) <= 3) group by 1, 2""",
+    """select user_id, event_type, min(floor(value / 100)) as level, count(*) as n_rows, min(floor(value / 100)) is distinct from max(floor(value / 100)) as conflict from events group by 1, 2""",
 )
 def dedupe_conflict(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_type", F.floor(F.col("value") / 100).cast("double").alias("level"))
@@ -507,7 +507,7 @@ def full_outer_recon(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "corridor_jaccard",
-    f"""with {_FLOWS}, f as (select year(l_shipdate) as y, least(a, b) as a, greatest(a, b) as b, l_quantity as q from flows where a <> b and l_quantity >= 49 and l_discount >= 0.09 and year(l_shipdate) in (1997, 1998)),
+    f"""with {_FLOWS}, f as (select year(l_shipdate) as y, least(a, b) as a, greatest(a, b) as b, l_quantity as q from flows where a <> b and year(l_shipdate) in (1997, 1998)),
     l as (select a, b, sum(q) as v from f where y = 1997 group by 1, 2), r as (select a, b, sum(q) as v from f where y = 1998 group by 1, 2), j as (select l.v as t, r.v as g from l full join r using (a, b))
     select count(*) filter (t is not null and g is not null) as n_common, count(*) filter (g is null) as n_missing, count(*) filter (t is null) as n_extra, round(count(*) filter (t is not null and g is not null) / cast(count(*) filter (g is not null) as double), 6) as precision,
       round(count(*) filter (t is not null and g is not null) / cast(count(*) filter (t is not null) as double), 6) as recall, round(count(*) filter (t is not null and g is not null) / cast(count(*) as double), 6) as jaccard,
@@ -642,7 +642,7 @@ def pointer_jump(spark: SparkSession, d: str) -> DataFrame:
     return gr.pointer_jump(table(spark, d, "part").select(k.alias("source"), F.when(k % 10 == 3, k).otherwise(F.floor(k / 2)).alias("target")))
 
 
-_EDGES = "edges as (select p.p_partkey as a, q.p_partkey as b from part p join part q on q.p_partkey = p.p_partkey + p.p_size where p.p_partkey % 3 = 0)"
+_EDGES = "edges as (select p.p_partkey as a, q.p_partkey as b from part p join part q on q.p_partkey = p.p_partkey + p.p_size)"
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
