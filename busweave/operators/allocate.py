@@ -42,32 +42,42 @@ def largest_remainder(weights: DataFrame, units: DataFrame, group: str, ident: s
     return df.withColumn("assigned", (F.col("_floor") + F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0)).cast("long")).where("assigned > 0").select(group, ident, "assigned")
 
 
-def integer_budget(sizes: list[int], total: int, weights: list[float] | None = None, least: int = 1) -> list[int]:
-    """A total of whole units over groups of given sizes: at least ``least`` for each non-empty group, never more than its size.
+def integer_budget(groups: DataFrame, keys: list[str], total: int, size: str = "n", weight: str | None = None, least: int = 1, out: str = "k") -> DataFrame:
+    """Adds ``out``: a total of whole units over groups, at least ``least`` for each with members and never more than its members.
 
-    The rest goes by weight (sizes if none): floors first, then single units by falling fraction (larger size on ties), then to
-    whoever has most room. Where the total is too small, the minimum stands.
+    In four steps, each a column: the least; the floor of what the weights (sizes where they are not positive in sum) give of the
+    rest; one more by falling fraction, the larger group first on ties; what is still left to the groups with most room, filled one
+    after the other. A total below the sum of the minima gives the minima. There is one row a group, few enough for an ordered window.
     """
-    size = np.asarray(sizes, dtype=int)
-    if (size < 0).any() or total <= 0:
-        raise ValueError("sizes must not be negative and the total must be positive")
-    got = np.minimum(np.where(size > 0, least, 0), size)
-    left = total - int(got.sum())
-    if left <= 0:
-        return got.tolist()
-    base = size.astype(float) if weights is None else np.nan_to_num(np.clip(np.asarray(weights, dtype=float), 0, None))
-    if base.sum() <= 0:
-        base = size.astype(float)
-    if base.sum() <= 0:
-        return got.tolist()
-    ideal = left * base / base.sum()
-    got = got + np.minimum(np.floor(ideal).astype(int), size - got)
-    for i in np.argsort(-(ideal - np.floor(ideal) + 1e-12 * size), kind="stable"):
-        if got.sum() < total and got[i] < size[i]:
-            got[i] += 1
-    for i in np.argsort(-(size - got), kind="stable"):
-        got[i] += min(size[i] - got[i], max(0, total - int(got.sum())))
-    return got.tolist()
+    whole, key = Window.partitionBy(), [F.col(c) for c in keys]
+    n = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0))
+    df = groups.withColumns({"_ib_n": n, "_ib_w": positive(F.col(weight)) if weight else n.cast("double")}).withColumn("_ib_w", F.when(F.sum("_ib_w").over(whole) > 0, F.col("_ib_w")).otherwise(F.col("_ib_n").cast("double")))
+    df = df.withColumn("_ib_k", F.least(F.lit(int(least)).cast("long"), F.col("_ib_n")))
+    left = lambda: F.greatest(F.lit(int(total)) - F.sum("_ib_k").over(whole), F.lit(0))
+    room = lambda: F.col("_ib_n") - F.col("_ib_k")
+    df = df.withColumn("_ib_ideal", F.coalesce(F.try_divide(F.col("_ib_w"), F.sum("_ib_w").over(whole)), F.lit(0.0)) * left())
+    df = df.withColumn("_ib_k", F.col("_ib_k") + F.least(F.floor("_ib_ideal"), room())).withColumn("_ib_left", left())
+    by_fraction = whole.orderBy((room() > 0).desc(), (F.col("_ib_ideal") - F.floor("_ib_ideal")).desc(), F.col("_ib_n").desc(), *key)
+    df = df.withColumn("_ib_k", F.col("_ib_k") + F.when((room() > 0) & (F.row_number().over(by_fraction) <= F.col("_ib_left")), 1).otherwise(0)).withColumn("_ib_left", left())
+    before = F.coalesce(F.sum(room()).over(whole.orderBy(room().desc(), *key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumn("_ib_more", F.greatest(F.lit(0), F.least(room(), F.col("_ib_left") - before)))
+    return df.withColumn(out, (F.col("_ib_k") + F.col("_ib_more")).cast("int")).drop("_ib_n", "_ib_w", "_ib_k", "_ib_ideal", "_ib_left", "_ib_more")
+
+
+def apportion(size: np.ndarray, total: int, least: int = 1) -> np.ndarray:
+    """``integer_budget`` by size for the components of one group, inside a kernel: the same four steps on arrays."""
+    size = np.asarray(size, dtype=np.int64)
+    base = np.minimum(size, least)
+    ideal = max(total - base.sum(), 0) * size / max(size.sum(), 1)
+    got = base + np.minimum(ideal.astype(np.int64), size - base)
+    order = np.lexsort((np.arange(len(size)), -size, -(ideal % 1), got >= size))
+    more = np.zeros_like(got)
+    more[order[: max(total - got.sum(), 0)]] = 1
+    got = np.minimum(got + more, size)
+    order = np.lexsort((np.arange(len(size)), got - size))
+    reach = np.minimum(np.cumsum((size - got)[order]), max(total - got.sum(), 0))
+    got[order] += np.diff(reach, prepend=0)
+    return got
 
 
 def water_fill(cells: DataFrame, deltas: DataFrame, group: str, ident: str, headroom: str = "headroom", klass: str = "class", delta: str = "delta") -> tuple[DataFrame, DataFrame]:

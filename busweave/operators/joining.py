@@ -80,31 +80,96 @@ def snap_quality(km: Column, good: float = 10.0, review: float = 20.0) -> Column
 
 def last_match(rules: list[tuple[Column, str]], default: str) -> Column:
     """A table of decisions in which the last matching rule wins; null conditions don't match."""
-    out = F.lit(default)
-    for condition, action in rules:
-        out = F.when(F.coalesce(condition, F.lit(False)), action).otherwise(out)
-    return out
+    return F.coalesce(*[F.when(condition, F.lit(action)) for condition, action in reversed(rules)], F.lit(default))
+
+
+# What is proposed for a planned line by the match it has (none, the same voltage, another voltage), whether that
+# corridor is in the snapshot, and whether the project is an upgrade.
+LINE_ACTIONS = {
+    "none|new": "candidate_add_new_line",
+    "none|upgraded": "candidate_add_or_reroute_upgraded_line",
+    "same in snapshot|new": "likely_already_in_base",
+    "same in snapshot|upgraded": "likely_already_in_base",
+    "same|new": "review_existing_corridor_or_parallel_line",
+    "same|upgraded": "candidate_update_existing_line",
+    "other voltage|new": "review_existing_corridor_voltage_mismatch",
+    "other voltage|upgraded": "review_voltage_upgrade_existing_corridor",
+}
+# What is proposed for a planned link that is matched, and for one that isn't by how near its ends are to DC and AC nodes
+# and where its voltage was taken from.
+LINK_ACTIONS = {
+    "matched in snapshot|new": "likely_already_in_base",
+    "matched in snapshot|upgraded": "likely_already_in_base",
+    "matched|new": "review_existing_link_corridor",
+    "matched|upgraded": "candidate_update_existing_link",
+    "dc|existing_pair": "candidate_add_link_reusing_dc_terminals",
+    "dc|country_pair_mode": "candidate_add_link_reusing_nearby_dc_terminals",
+    "dc|global_mode": "manual_review_voltage_assumption",
+    "ac|country_pair_mode": "review_add_link_with_new_dc_terminals",
+    "ac|global_mode": "manual_review_voltage_and_terminal_topology",
+    "far": "manual_review_snap_far",
+}
+# The short recommendation and its note for each action; any other is inspected.
+RECOMMENDATIONS = {
+    "skip_after_target_year": ("ignore", "ignore: build_year > target_year"),
+    "likely_already_in_base": ("ignore", "ignore: likely already represented in base grid"),
+    "manual_review_snap_far": ("ignore", "ignore: endpoint snap too far from plausible bus"),
+    "manual_review_voltage_and_terminal_topology": ("ignore", "ignore: link voltage and terminal topology too uncertain"),
+    "manual_review_voltage_assumption": ("ignore", "ignore: link voltage inference too weak"),
+    "manual_review_no_voltage_inference": ("ignore", "ignore: no reliable link voltage inference"),
+    "candidate_add_new_line": ("include_new_line", "add as new AC line"),
+    "candidate_add_link_reusing_dc_terminals": ("include_new_link_reuse_dc", "add HVDC link and reuse matched DC terminals"),
+    "candidate_add_link_reusing_nearby_dc_terminals": ("include_new_link_reuse_dc", "add HVDC link and reuse nearby DC terminals"),
+    "review_add_link_with_new_dc_terminals": ("include_new_link_to_nearest_ac", "add HVDC link and attach directly to nearest AC buses"),
+    "candidate_add_or_reroute_upgraded_line": ("include_as_upgrade", "treat as upgrade"),
+    "review_voltage_upgrade_existing_corridor": ("include_as_upgrade", "treat as voltage upgrade on existing corridor"),
+    "review_existing_corridor_voltage_mismatch": ("include_as_upgrade", "treat as upgrade / corridor adaptation"),
+    "candidate_update_existing_line": ("include_as_upgrade", "treat as upgrade of existing AC line"),
+    "candidate_update_existing_link": ("include_as_upgrade", "treat as upgrade of existing HVDC link"),
+    "review_existing_link_corridor": ("include_as_upgrade", "treat as upgrade of existing HVDC corridor"),
+    "review_existing_corridor_or_parallel_line": ("include_as_upgrade", "treat as upgrade / existing corridor adaptation"),
+    "manual_review_no_line_template": ("inspect", "inspect manually: no matching AC line parameter template"),
+}
+OTHER_RECOMMENDATION = ("inspect", "inspect manually")
+
+
+def _looked_up(situation: Column, table: dict[str, str]) -> Column:
+    """The entry of a fixed table, null for a situation that isn't in it."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), situation)
 
 
 def line_actions(in_target: Column, in_snapshot: Column, snap: Column, has_match: Column, relaxed: Column, upgraded: Column, template: Column) -> Column:
-    """What to do with a planned line, by whether it counts, is placed, is matched, and has parameters."""
-    ok, good = snap.isin("good", "review"), snap == "good"
-    placed = in_target & ok
-    return last_match(
-        [
-            (~in_target, "skip_after_target_year"),
-            (in_target & ~ok, "manual_review_snap_far"),
-            (placed & ~has_match & ~upgraded, "candidate_add_new_line"),
-            (placed & ~has_match & upgraded, "candidate_add_or_reroute_upgraded_line"),
-            (placed & has_match & relaxed & in_snapshot, "likely_already_in_base"),
-            (placed & has_match & relaxed & ~in_snapshot & ~upgraded, "review_existing_corridor_or_parallel_line"),
-            (placed & has_match & relaxed & ~in_snapshot & upgraded, "candidate_update_existing_line"),
-            (placed & has_match & ~relaxed & upgraded, "review_voltage_upgrade_existing_corridor"),
-            (placed & has_match & ~relaxed & ~upgraded, "review_existing_corridor_voltage_mismatch"),
-            (in_target & good & ~template, "manual_review_no_line_template"),
-        ],
-        "manual_review",
-    )
+    """What to do with a planned line.
+
+    Its situation (match and kind of project) is looked up in ``LINE_ACTIONS``, after what keeps it from being judged: it comes after the
+    target year, an end is too far from any node, or it lies well but nothing is known of such lines. An unknown fact is
+    ``manual_review``.
+    """
+    match = F.when(~has_match, "none").when(has_match & relaxed & in_snapshot, "same in snapshot").when(has_match & relaxed & ~in_snapshot, "same").when(has_match & ~relaxed, "other voltage")
+    proposed = _looked_up(F.concat(match, F.when(upgraded, "|upgraded").when(~upgraded, "|new")), LINE_ACTIONS)
+    judged = F.when(~F.coalesce(snap.isin("good", "review"), F.lit(False)), "manual_review_snap_far").when((snap == "good") & ~template, "manual_review_no_line_template").otherwise(proposed)
+    return F.coalesce(F.when(in_target, judged).when(~in_target, "skip_after_target_year"), F.lit("manual_review"))
+
+
+def link_actions(in_target: Column, in_snapshot: Column, snap_dc: Column, snap_ac: Column, has_match: Column, upgraded: Column, voltage_source: Column, voltage: Column) -> Column:
+    """What to do with a planned link: as for lines, by its match or else by the nodes its ends are near and by where its voltage is from.
+
+    Without any voltage nothing is proposed; an end that is near neither kind of node is too far, whatever the voltage rests on.
+    """
+    dc, ac = F.coalesce(snap_dc.isin("good", "review"), F.lit(False)), F.coalesce(snap_ac.isin("good", "review"), F.lit(False))
+    kind = F.when(upgraded, "|upgraded").otherwise("|new")
+    known = voltage_source.isin("existing_pair", "country_pair_mode", "global_mode")
+    free = F.when(~ac, F.lit("far")).when(dc, F.concat(F.lit("dc|"), voltage_source)).otherwise(F.concat(F.lit("ac|"), voltage_source))
+    situation = F.when(has_match, F.concat(F.when(in_snapshot, "matched in snapshot").otherwise("matched"), kind)).otherwise(free)
+    blind = voltage.isNull() | (~has_match & F.coalesce(snap_dc == "good", F.lit(False)) & ~F.coalesce(known, F.lit(False)))
+    judged = F.when(blind, "manual_review_no_voltage_inference").otherwise(_looked_up(situation, LINK_ACTIONS))
+    return F.coalesce(F.when(in_target, judged).when(~in_target, "skip_after_target_year"), F.lit("manual_review"))
+
+
+def recommendation(action: Column) -> tuple[Column, Column]:
+    """(recommendation, note) of an action."""
+    short, note = ({a: r[i] for a, r in RECOMMENDATIONS.items()} for i in (0, 1))
+    return F.coalesce(_looked_up(action, short), F.lit(OTHER_RECOMMENDATION[0])), F.coalesce(_looked_up(action, note), F.lit(OTHER_RECOMMENDATION[1]))
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:

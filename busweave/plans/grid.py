@@ -78,12 +78,9 @@ def impute_ratings(lines: DataFrame, buses: DataFrame) -> DataFrame:
 
 
 def cluster_budget(nodes: DataFrame, total: int, group: list[str], weight: str) -> DataFrame:
-    """(group, k): how many clusters each group gets: at least one, at most its nodes, the rest by weight. A row per group on the driver."""
-    g = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col(weight), F.lit(0.0))).alias("w")).orderBy(*group).collect()
-    k = integer_budget([r["n"] for r in g], total, [float(r["w"]) for r in g]) if g else []
-    fields = [nodes.schema[c] for c in group]
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], "k int"])
-    return nodes.sparkSession.createDataFrame([(*[r[c] for c in group], int(x)) for r, x in zip(g, k)], schema)
+    """(group, k): how many clusters each group gets: at least one, at most its nodes, the rest by weight."""
+    g = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(F.col(weight), F.lit(0.0))).alias("_w"))
+    return integer_budget(g, group, total, "_n", "_w").select(*group, "k")
 
 
 def edge_weights(lines: DataFrame, nodes: DataFrame | None = None, by: str = "susceptance") -> DataFrame:

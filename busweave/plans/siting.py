@@ -11,7 +11,7 @@ from ..operators.joining import nearest_in_group_else_any
 from ..operators.shares import fallback_cascade, partition_share, ranked_nodes
 
 # Weeks of a standard and a long revision by technology, where no list gives them.
-REVISION_WEEKS = {"NUCLEAR": (4, 8), "CCGT": (2, 4), "OCGT": (1, 3), "STEAM": (3, 6)}
+REVISION_WEEKS = {"NUCLEAR": (4, 8), "CCGT": (3, 6), "OCGT": (2, 4), "STEAM": (4, 8)}
 OTHER_WEEKS = (2, 4)
 
 

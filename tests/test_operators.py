@@ -95,20 +95,41 @@ def test_largest_remainder(spark):
     assert rows(al.largest_remainder(w, n, "g", "i"), "g", "i", "assigned") == [("p", "a", 2), ("p", "b", 1), ("p", "c", 1), ("q", "a", 1)]
 
 
-def test_integer_budget_fixture():
-    assert al.integer_budget([5, 1, 3], 6, [1, 1, 1]) == [3, 1, 2]
-    assert al.integer_budget([0, 4], 1) == [0, 1] and al.integer_budget([2, 2], 1) == [1, 1]
-    with pytest.raises(ValueError):
-        al.integer_budget([1], 0)
+def _stepwise(sizes, total, weights, least=1):
+    """The budget dealt unit by unit."""
+    got = [min(least, s) for s in sizes]
+    left = max(0, total - sum(got))
+    weights = weights if sum(weights) > 0 else sizes
+    ideal = [left * w / sum(weights) if sum(weights) > 0 else 0.0 for w in weights]
+    got = [g + min(math.floor(x), s - g) for g, x, s in zip(got, ideal, sizes)]
+    for i in sorted(range(len(sizes)), key=lambda i: (-(ideal[i] - math.floor(ideal[i])), -sizes[i], i)):
+        if sum(got) < total and got[i] < sizes[i]:
+            got[i] += 1
+    for i in sorted(range(len(sizes)), key=lambda i: (got[i] - sizes[i], i)):
+        while sum(got) < total and got[i] < sizes[i]:
+            got[i] += 1
+    return got
+
+
+def test_integer_budget(spark):
+    def dealt(sizes, total, weights):
+        df = spark.createDataFrame([(i, s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights))], "i int, n int, w double")
+        return [k for _, k in rows(al.integer_budget(df, ["i"], total, "n", "w"), "i", "k")]
+
+    assert dealt([5, 1, 3], 6, [1, 1, 1]) == [3, 1, 2]
+    assert dealt([0, 4], 1, [1, 1]) == [0, 1] and dealt([2, 2], 1, [0, 0]) == [1, 1] and dealt([], 3, []) == []
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        sizes, weights = rng.integers(0, 12, 7).tolist(), rng.integers(0, 5, 7).tolist()
+        assert dealt(sizes, 25, weights) == _stepwise(sizes, 25, weights)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 12), min_size=1, max_size=8), st.integers(1, 60), st.data())
-def test_integer_budget_invariants(sizes, k, data):
-    w = data.draw(st.lists(st.floats(0, 10), min_size=len(sizes), max_size=len(sizes)))
-    got = al.integer_budget(sizes, k, w)
-    assert all(0 <= g <= s for g, s in zip(got, sizes)) and all(g >= 1 for g, s in zip(got, sizes) if s)
-    assert sum(got) == max(min(k, sum(sizes)), sum(s > 0 for s in sizes))
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=8), st.integers(1, 60))
+def test_apportion(sizes, k):
+    got = al.apportion(sizes, k).tolist()
+    assert got == _stepwise(sizes, k, sizes)
+    assert all(0 <= g <= s for g, s in zip(got, sizes)) and sum(got) == max(min(k, sum(sizes)), sum(s > 0 for s in sizes))
 
 
 def _fill(spark, cells, delta):
@@ -324,6 +345,67 @@ def test_clusterings_find_two_cliques():
     assert set(ke.kmeans(np.zeros((4, 2)), 2)) == {0, 1} and ke.kmeans(np.zeros((0, 2)), 2).size == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=25), st.integers(1, 9), st.integers(0, 3))
+def test_kmeans_fills_every_cluster(points, k, seed):
+    x = np.array(points, dtype=float)
+    label = ke.kmeans(x, k, seed)
+    assert len(set(label)) == min(k, len(x)) and (label == ke.kmeans(x, k, seed)).all()
+
+
+def test_kmeans_reads_unknown_coordinates_as_the_mean():
+    x = np.array([[0.0, 0], [0, 1], [10, 0], [10, np.nan], [np.nan, 1]])
+    assert len(set(ke.kmeans(x, 2))) == 2 and len(set(ke.kmeans(np.full((3, 2), np.nan), 2))) == 2
+
+
+def _facts(spark, names, options):
+    import itertools
+
+    text = [isinstance(o[0], str) or o[-1] is not None and isinstance(o[-1], str) for o in options]
+    return spark.createDataFrame(list(itertools.product(*options)), ", ".join(f"{n} {'string' if t else 'boolean'}" for n, t in zip(names, text)))
+
+
+def test_line_actions(spark):
+    """Every situation against the rules in their order, the last one that matches standing."""
+    yes = (True, False)
+    names = ("t", "b", "s", "m", "x", "u", "p")
+    df = _facts(spark, names, (yes, yes, ("good", "review", "poor", "missing"), yes, yes, yes, yes))
+    got = df.withColumn("action", jo.line_actions(*[F.col(n) for n in names])).collect()
+    for r in got:
+        ok, up = r.s in ("good", "review"), r.u
+        want = "manual_review"
+        for holds, action in [
+            (not r.t, "skip_after_target_year"), (r.t and not ok, "manual_review_snap_far"), (r.t and ok and not r.m and not up, "candidate_add_new_line"), (r.t and ok and not r.m and up, "candidate_add_or_reroute_upgraded_line"),
+            (r.t and ok and r.m and r.x and r.b, "likely_already_in_base"), (r.t and ok and r.m and r.x and not r.b, "candidate_update_existing_line" if up else "review_existing_corridor_or_parallel_line"),
+            (r.t and ok and r.m and not r.x, "review_voltage_upgrade_existing_corridor" if up else "review_existing_corridor_voltage_mismatch"), (r.t and r.s == "good" and not r.p, "manual_review_no_line_template"),
+        ]:
+            want = action if holds else want
+        assert r.action == want, r
+
+
+def test_link_actions_and_recommendations(spark):
+    cases = [
+        ((False, True, "good", "good", True, True, "existing_pair", 400), "skip_after_target_year", "ignore"),
+        ((True, True, "good", "good", True, False, "existing_pair", 400), "likely_already_in_base", "ignore"),
+        ((True, False, "good", "good", True, True, "existing_pair", 400), "candidate_update_existing_link", "include_as_upgrade"),
+        ((True, False, "poor", "poor", True, False, "global_mode", 400), "review_existing_link_corridor", "include_as_upgrade"),
+        ((True, False, "review", "good", False, False, "existing_pair", 400), "candidate_add_link_reusing_dc_terminals", "include_new_link_reuse_dc"),
+        ((True, False, "good", "good", False, False, "country_pair_mode", 400), "candidate_add_link_reusing_nearby_dc_terminals", "include_new_link_reuse_dc"),
+        ((True, False, "poor", "review", False, False, "country_pair_mode", 400), "review_add_link_with_new_dc_terminals", "include_new_link_to_nearest_ac"),
+        ((True, False, "poor", "good", False, False, "global_mode", 400), "manual_review_voltage_and_terminal_topology", "ignore"),
+        ((True, False, "good", "good", False, False, "global_mode", 400), "manual_review_voltage_assumption", "ignore"),
+        ((True, False, "good", "poor", False, False, "existing_pair", 400), "manual_review_snap_far", "ignore"),
+        ((True, False, "good", "good", True, False, "existing_pair", None), "manual_review_no_voltage_inference", "ignore"),
+        ((True, False, "good", "good", False, False, None, 400), "manual_review_no_voltage_inference", "ignore"),
+        ((True, False, "poor", "good", False, False, "existing_pair", 400), "manual_review", "inspect"),
+        ((None, False, "good", "good", False, False, "existing_pair", 400), "manual_review", "inspect"),
+    ]
+    df = spark.createDataFrame([(i, *c[0]) for i, c in enumerate(cases)], "i int, t boolean, b boolean, d string, a string, m boolean, u boolean, v string, kv int")
+    action = jo.link_actions(*[F.col(c) for c in ("t", "b", "d", "a", "m", "u", "v", "kv")])
+    got = {r[0]: r[1:] for r in rows(df.select("i", action.alias("x"), jo.recommendation(action)[0].alias("y")), "i", "x", "y")}
+    assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
+
+
 def test_dc_flow_and_indices():
     w = ke.weight_matrix(3, np.array([0, 1, 0]), np.array([1, 2, 2]), np.array([1.0, 1.0, 1.0]))
     theta = ke.dc_angles(w, np.array([[1.0], [0.0], [-1.0]]))[:, 0]
