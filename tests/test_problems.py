@@ -173,6 +173,10 @@ def _files(spark, files, feed="nonres_attributes", sender="s"):
     return spark.createDataFrame(data, ROWS)
 
 
+def _ingested(df):
+    return rescue.promote(rescue.ingest(df, NONRES, ["feed", "sender", "file_id", "delivered_at", "line_no"]), NONRES)
+
+
 def test_schema_changes(spark):
     df = _files(
         spark,
@@ -187,21 +191,52 @@ def test_schema_changes(spark):
         (7, "efficiency", "renamed"), (7, "efficiency", "retyped"), (7, "note", "removed"), (7, "must_run", "retyped"),
         (5, "zone", "renamed"), (5, "efficiency", "retyped"), (5, "units", "retyped"),
     ], key=repr)
-    assert rows(rescue.schema_changes(df.unionByName(df.limit(2)), FEEDS)) == want
-    assert rescue.schema_changes(df.limit(0), FEEDS).count() == 0
+    assert rows(rescue.schema_changes(_ingested(df.unionByName(df.limit(2))), FEEDS)) == want
+    assert rescue.schema_changes(_ingested(df.limit(0)), FEEDS).count() == 0
 
 
 def test_rescue_and_promote(spark):
-    df = _files(spark, [(1, 1, [{"zone": "DE", "eta": "0,4", "units": {"value": 3}, "strange": [1, 2], "must_run": "yes"}, {"efficiency": 0.3, "eta": 0.5, "year": "soon"}, None, {}])])
-    got = rescue.ingest(df, NONRES, ["line_no"])
+    first = {"zone": "DE", "eta": "0,4", "units": {"value": 3}, "strange": [1, 2], "must_run": "yes"}
+    df = _files(spark, [(1, 1, [first, {"efficiency": 0.3, "eta": 0.5, "year": "soon"}, None, {}])])
+    raw = {x.line_no: x for x in rescue.ingest(df, NONRES, ["line_no"]).collect()}
+    assert (raw[1].country, raw[1].efficiency, raw[1].units, raw[1].must_run) == (None, None, 3, True)
+    assert json.loads(raw[1]._rescued) == {"zone": "DE", "eta": "0,4", "strange": [1, 2]}
+    got = rescue.promote(rescue.ingest(df, NONRES, ["line_no"]), NONRES)
     r = {x.line_no: x for x in got.collect()}
     assert (r[1].country, r[1].efficiency, r[1].units, r[1].must_run) == ("DE", 0.4, 3, True)
     assert json.loads(r[1]._rescued) == {"strange": [1, 2]}
     assert r[2].efficiency == 0.3 and json.loads(r[2]._rescued) == {"eta": 0.5, "year": "soon"}
     assert r[3]._rescued is None and r[4]._rescued is None
-    again = rescue.promote(got, "strange", rescue.TargetField("strange", "string"))
-    x = {y.line_no: y for y in again.collect()}
-    assert x[1].strange == "1" and x[1]._rescued is None and x[2].strange is None
+    # A list of several values is no string: it stays rescued until a field is approved that it fits.
+    again = {y.line_no: y for y in rescue.promote(got, [rescue.TargetField("odd", "string", ("strange",))]).collect()}
+    assert again[1].odd is None and json.loads(again[1]._rescued) == {"strange": [1, 2]}
+
+
+def test_nothing_of_a_value_is_dropped(spark):
+    """What isn't typed as a whole is rescued as a whole: lists, units, other keys, nested values, numbers out of range."""
+    target = [rescue.TargetField("cost", "double", ("price",), "EUR/MWh"), rescue.TargetField("n", "int", ("count",)), rescue.TargetField("it's", "string")]
+    cases = [
+        ({"cost": {"value": "1,5", "unit": "eur/mwh"}}, 1.5, None), ({"cost": {"value": 2, "unit": "EUR/kWh"}}, None, {"cost": {"value": 2, "unit": "EUR/kWh"}}), ({"cost": {"value": 2, "note": "x"}}, None, {"cost": {"value": 2, "note": "x"}}),
+        ({"cost": [3]}, 3.0, None), ({"cost": [3, 4]}, None, {"cost": [3, 4]}), ({"cost": []}, None, {"cost": []}), ({"cost": [[3]]}, None, {"cost": [[3]]}), ({"cost": {"value": [3]}}, None, {"cost": {"value": [3]}}),
+        ({"price": [5], "cost": None}, 5.0, None), ({"price": [5, 6], "cost": 1}, 1.0, {"price": [5, 6]}), ({"cost": "NaN"}, None, {"cost": "NaN"}), ({"n": 1e12, "it's": "a"}, None, {"n": 1e12}), ({"n": 2.5, "count": 3}, None, {"n": 2.5}),
+    ]
+    out = rescue.promote(rescue.ingest(_files(spark, [(1, 1, [c[0] for c in cases])]), target, ["line_no"]), target)
+    got = {r.line_no: r for r in out.collect()}
+    for i, (payload, cost, left) in enumerate(cases, start=1):
+        assert got[i].cost == cost and (got[i]._rescued and json.loads(got[i]._rescued)) == left, payload
+    assert got[12]["it's"] == "a" and got[13].n == 3
+
+
+def test_names_nobody_approved(spark):
+    """An unknown name goes on with the quantity of the name that goes when it comes, unless the two ever stand in one file."""
+    df = _files(spark, [(1, 1, [{"country": "DE", "eta": 0.4}]), (2, 2, [{"country": "DE", "wirkungsgrad": 0.4}]), (3, 3, [{"country": "DE", "wirkungsgrad": "x"}]), (4, 4, [{"land": "DE", "wirkungsgrad": "x"}]), (5, 5, [{"land": "DE", "country": "DE", "wirkungsgrad": "x"}])])
+    got = rows(rescue.schema_changes(_ingested(df), FEEDS))
+    assert got == [(2, "wirkungsgrad", "renamed"), (3, "wirkungsgrad", "retyped"), (4, "country", "removed"), (4, "land", "added"), (5, "country", "added")]
+
+
+def test_a_quantity_that_comes_back_begins_anew(spark):
+    df = _files(spark, [(1, 1, [{"eta": 0.4}]), (2, 2, [{"eta": None}]), (3, 3, [{"eta": "x"}]), (4, 4, [{}]), (5, 5, [{"efficiency": 0.4}])])
+    assert rows(rescue.schema_changes(_ingested(df), FEEDS)) == [(3, "eta", "retyped"), (4, "eta", "removed"), (5, "efficiency", "added")]
 
 
 # ---- orphans -----------------------------------------------------------------------------------------------------------------
