@@ -126,12 +126,13 @@ def promote(table: DataFrame, approved: list[TargetField]) -> DataFrame:
 
 
 def observed_fields(ingested: DataFrame, series: list[str]) -> DataFrame:
-    """(series, file_id, delivered_at, name, kind): each field a file has, with the kind most of its values have.
+    """(series, file_id, delivered_at, name, kind): each field a file has, with the kind most of its values have; a row with a null name
+    for files with rows without any.
 
     Kinds are counted before the shuffle; ties go to the first of boolean, list, number, object, text.
     """
     keys = [*series, "file_id", "delivered_at"]
-    long = ingested.select(*keys, F.inline("_fields"))
+    long = ingested.select(*keys, F.inline_outer("_fields"))
     counted = long.groupBy(*keys, "name", "kind").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.when(F.col("kind").isNotNull(), F.struct(F.col("n"), F.translate("kind", "blnot", "vutsr").alias("o"), "kind")))
     return counted.groupBy(*keys, "name").agg(best["kind"].alias("kind"))
@@ -169,10 +170,11 @@ def schema_changes(ingested: DataFrame, targets_by_feed: dict[str, list[TargetFi
     series = list(series)
     feed, spark = series[0], ingested.sparkSession
     order = Window.partitionBy(*series).orderBy("delivered_at", "file_id")
-    files = materialise(ingested.select(*series, "file_id", "delivered_at").distinct(), "files")
-    files = files.withColumn("seq", F.row_number().over(order)).withColumn("last_seq", F.max("seq").over(Window.partitionBy(*series))).select(*series, "file_id", "seq", "last_seq")
     # One row per file and field, read many times below: the ingestion behind it runs once.
     observed = materialise(observed_fields(ingested, series), "fields")
+    files = observed.select(*series, "file_id", "delivered_at").distinct().withColumn("seq", F.row_number().over(order))
+    files = files.withColumn("last_seq", F.max("seq").over(Window.partitionBy(*series))).select(*series, "file_id", "seq", "last_seq")
+    observed = observed.where("name is not null")
     approved = spark.createDataFrame([(f, n, t.name) for f, targets in targets_by_feed.items() for t in targets for n in (t.name, *t.other_names)], f"`{feed}` string, name string, quantity string")
     learned = _handovers(observed, files, series, approved, feed)
     seen = observed.join(files, [*series, "file_id"]).join(approved.unionByName(learned), [feed, "name"], "left").withColumn("quantity", F.coalesce("quantity", "name"))
