@@ -111,8 +111,8 @@ def promote(table: DataFrame, approved: list[TargetField]) -> DataFrame:
             if t.name not in table.columns:
                 fills[t.name] = F.lit(None).cast(t.kind)
             continue
-        tries = ", ".join(f"named_struct('n', {_literal(n)}, 'v', {cast_value(f'_left[{_literal(n)}]', t)})" for n in t.other_names)
-        pick = F.expr(f"get(filter(array({tries}), c -> c.v is not null), 0)")
+        names = ", ".join(map(_literal, t.other_names))
+        pick = F.expr(f"get(filter(transform(array({names}), n -> named_struct('n', n, 'v', {cast_value('_left[n]', t)})), c -> c.v is not null), 0)")
         open_ = F.col("_left").isNotNull() & (F.col(t.name).isNull() if t.name in table.columns else F.lit(True))
         picks.append((t, F.when(open_, pick)))
     table = table.withColumns({f"_p_{t.name}": p for t, p in picks})
