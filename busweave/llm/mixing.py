@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
 Documents of each source are encoded and packed into blocks of a fixed number of tokens. The size of the mix is the largest at which
-every source can give its target share without any document being used more often than its cap; source counts of the whole mix are
-apportioned exactly, and the slots of each output shard get their sources through one pseudorandom permutation of all slots, which
-is a multinomial draw per shard conditional on those totals. Within a source, slot numbers run through pseudorandom permutations of
-its blocks, a new one each time round, so that a block is used once before any is used again. Blocks are joined by their index.
+every source can give its target share without any document being used more often than its cap. Each output shard draws its source
+counts from the multinomial distribution of the shares. The draws of all shards miss the exact totals a little: what a source drew
+too much is taken from pseudorandom slots all over its shards and given to the sources that drew too little. Within a source, slot
+numbers run through pseudorandom permutations of its blocks, a new one each time round, so that a block is used once before any is
+used again. Blocks are joined by their index.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.ranking import prefix_sum
 from ..session import materialise
 from .tokenize import encode_texts
 
-#: Documents of a source are numbered in this many buckets, so that no source is numbered by one task.
-BUCKETS = 64
+#: Documents of a source are numbered in buckets of about this many, so that no source is numbered by one task.
+DOCS_PER_BUCKET = 20_000
+#: Shards are numbered in runs of this many, for the same reason.
+SHARDS_PER_RUN = 20_000
 #: Sources beyond this are refused: shares are worked out on the driver.
 MAX_SOURCES = 10_000
 
@@ -47,26 +51,31 @@ def permute(index: np.ndarray, size: np.ndarray | int, key: np.ndarray | int) ->
     return x.astype(np.int64)
 
 
-def pack(docs: DataFrame, targets: DataFrame, block: int, doc_id: str = "doc_id", **encoding) -> DataFrame:
-    """(source, doc_id, start, n_tokens, ids) of documents of the target sources that have tokens: ``start`` is the place of the
-    document's first token in its source.
-
-    Places are prefix sums in two steps, over buckets of a source and within a bucket, in the order of a hash of the id.
-    """
+def encoded_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", **encoding) -> DataFrame:
+    """(source, doc_id, n_tokens, ids) of documents of the target sources that have tokens, written once."""
     named = targets.select("source").where("source is not null").distinct()
     wanted = docs.select(doc_id, "source", "text").join(named, "source", "left_semi")
     coded = encode_texts(wanted, [doc_id, "source"], **encoding).withColumn("n_tokens", F.size("ids")).where("n_tokens > 0")
-    coded = materialise(coded.withColumn("bucket", F.pmod(F.xxhash64(F.col(doc_id)), F.lit(BUCKETS)).cast("int")), "tokens")
-    sizes = coded.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
+    return materialise(coded.select("source", doc_id, "n_tokens", "ids"), "tokens")
+
+
+def pack(coded: DataFrame, doc_id: str = "doc_id", docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
+    """(source, doc_id, start, n_tokens, ids): ``start`` is the place of the document's first token in its source.
+
+    Places are prefix sums in two steps, over buckets of a source and within a bucket, in the order of a hash of the id. A source has
+    as many buckets as its documents need. Token lists are shuffled once, with their bucket.
+    """
+    of = F.pmod(F.xxhash64(F.col(doc_id)), F.col("buckets"))
+    buckets = coded.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / F.lit(docs_per_bucket)).alias("buckets"))
+    sizes = coded.select("source", doc_id, "n_tokens").join(buckets, "source").groupBy("source", of.alias("bucket")).agg(F.sum("n_tokens").alias("n"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("source", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.col(doc_id), F.lit(7)), doc_id).rowsBetween(Window.unboundedPreceding, -1)
-    places = coded.select("source", "bucket", doc_id, "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sizes, ["source", "bucket"])
-    places = places.select("source", doc_id, (F.col("ahead") + F.col("inside")).alias("start"))
-    return coded.join(places, ["source", doc_id]).select("source", doc_id, "start", "n_tokens", "ids")
+    dealt = coded.join(buckets, "source").withColumn("bucket", of).withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    return dealt.join(sizes, ["source", "bucket"]).select("source", doc_id, (F.col("ahead") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
-def mix_plan(packed: DataFrame, targets: DataFrame, block: int, size_tokens: int | None = None) -> pd.DataFrame:
+def mix_plan(coded: DataFrame, targets: DataFrame, block: int, size_tokens: int | None = None) -> pd.DataFrame:
     """One row per source of the targets: tokens and blocks there are, share wanted, share among the sources that have documents, and
     the blocks the mix takes (``slots``). The largest mix that no cap forbids, or the one of ``size_tokens`` if that is smaller.
 
@@ -75,7 +84,7 @@ def mix_plan(packed: DataFrame, targets: DataFrame, block: int, size_tokens: int
     want = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(MAX_SOURCES + 1).toPandas()
     if len(want) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    have = packed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).toPandas()
+    have = coded.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).toPandas()
     plan = want.merge(have, on="source", how="left").fillna({"tokens": 0, "documents": 0, "target_share": 0.0, "max_repeats": 0}).sort_values("source", ignore_index=True)
     plan[["tokens", "documents", "max_repeats"]] = plan[["tokens", "documents", "max_repeats"]].astype("int64")
     plan["blocks"] = -(-plan["tokens"] // block)
@@ -98,27 +107,61 @@ def mix_plan(packed: DataFrame, targets: DataFrame, block: int, size_tokens: int
     return plan
 
 
-def draw_slots(spark, plan: pd.DataFrame, per_shard: int, seed: int = 42) -> DataFrame:
-    """(shard, slot, source, block, turn): which block of which source stands at each slot of each shard."""
+def draw_counts(spark, plan: pd.DataFrame, per_shard: int, seed: int = 42) -> DataFrame:
+    """(shard, k, n, at): how many slots of each shard the k-th source of the plan drew, and where they begin among the shard's slots."""
     total = int(plan["slots"].sum())
-    taken = plan[plan["slots"] > 0]
-    names, ends = taken["source"].to_numpy(object), np.cumsum(taken["slots"].to_numpy())
-    full = taken["blocks"].to_numpy()
-    begins = ends - taken["slots"].to_numpy()
+    share = plan["slots"].to_numpy() / max(total, 1)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            t = b["id"].to_numpy()
-            at = permute(t, total, seed)
-            k = np.searchsorted(ends, at, side="right")
-            rank = at - begins[k]
-            n = full[k]
-            turn = rank // n
-            yield pd.DataFrame({"shard": t // per_shard, "slot": t % per_shard, "source": names[k], "block": permute(rank % n, n, seed + 1 + turn * len(names) + k), "turn": turn})
+            shards = b["id"].to_numpy()
+            n = np.stack([np.random.default_rng([seed, int(t)]).multinomial(min(per_shard, total - int(t) * per_shard), share) for t in shards])
+            at = np.cumsum(n, axis=1) - n
+            s, k = np.nonzero(n)
+            yield pd.DataFrame({"shard": shards[s], "k": k.astype(np.int32), "n": n[s, k], "at": at[s, k]})
 
+    return spark.range(-(-total // per_shard)).mapInPandas(draw, "shard long, k int, n long, at long")
+
+
+def draw_slots(spark, plan: pd.DataFrame, per_shard: int, seed: int = 42) -> DataFrame:
+    """(shard, slot, source, block, turn): which block of which source stands at each slot of each shard.
+
+    Slots are numbered per source over all shards, and those numbers permuted: the first ``slots`` of them are the source's own, the
+    others surplus. Surplus slots of all sources, permuted again, make up what other sources lack, whose numbers go on from what they
+    drew. So every source has each number from 0 to ``slots`` exactly once.
+    """
+    schema = "shard long, slot long, source string, block long, turn long"
+    total = int(plan["slots"].sum())
     if total == 0:
-        return spark.createDataFrame([], "shard long, slot long, source string, block long, turn long")
-    return spark.range(total).mapInPandas(draw, "shard long, slot long, source string, block long, turn long")
+        return spark.createDataFrame([], schema)
+    counts = materialise(draw_counts(spark, plan, per_shard, seed), "draws")
+    drawn = np.zeros(len(plan), dtype=np.int64)
+    for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect():
+        drawn[r["k"]] = r["n"]
+    wanted, full, names = plan["slots"].to_numpy(), plan["blocks"].to_numpy(), plan["source"].to_numpy(object)
+    surplus, lack = np.maximum(drawn - wanted, 0), np.maximum(wanted - drawn, 0)
+    surplus_at, lack_end = np.cumsum(surplus) - surplus, np.cumsum(lack)
+    placed = prefix_sum(counts.withColumn("run", F.floor(F.col("shard") / SHARDS_PER_RUN)), ["k"], "run", [F.col("shard")], "n", "first").select("shard", "k", "n", "at", "first")
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            step = max(1, 2_000_000 // per_shard)
+            for part in (b.iloc[i : i + step] for i in range(0, len(b), step)):
+                n = part["n"].to_numpy()
+                shard, k = np.repeat(part["shard"].to_numpy(), n), np.repeat(part["k"].to_numpy(), n)
+                nth = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+                slot = permute(np.repeat(part["at"].to_numpy(), n) + nth, np.minimum(per_shard, total - shard * per_shard), seed + 1 + shard)
+                rank = permute(np.repeat(part["first"].to_numpy(), n) + nth, drawn[k], seed - 1 - k)
+                over = np.flatnonzero(rank >= wanted[k])
+                if len(over):
+                    g = permute(surplus_at[k[over]] + rank[over] - wanted[k[over]], int(surplus.sum()), seed)
+                    to = np.searchsorted(lack_end, g, side="right").astype(k.dtype)
+                    rank[over] = drawn[to] + g - (lack_end - lack)[to]
+                    k[over] = to
+                turn = rank // full[k]
+                yield pd.DataFrame({"shard": shard, "slot": slot, "source": names[k], "block": permute(rank % full[k], full[k], seed + 1 + turn * len(names) + k), "turn": turn})
+
+    return placed.mapInPandas(fill, schema)
 
 
 def blocks_of(packed: DataFrame, block: int, doc_id: str = "doc_id") -> DataFrame:
@@ -139,11 +182,11 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 256, per_shard: int =
     documents can't give their share; the others' shares keep their proportions, and the report shows target, mixed and reached
     shares, tokens, blocks, and turns. Documents of other or null sources and those without tokens take no part.
     """
-    packed = pack(docs, targets, block, doc_id, **encoding)
-    plan = mix_plan(packed, targets, block, size_tokens)
+    coded = encoded_sources(docs, targets, doc_id, **encoding)
+    plan = mix_plan(coded, targets, block, size_tokens)
     spark = docs.sparkSession
     slots = draw_slots(spark, plan, per_shard, seed)
-    mixed = slots.join(blocks_of(packed, block, doc_id), ["source", "block"]).select("shard", "slot", "source", "block", "turn", "n_tokens", "ids", "doc_ids")
+    mixed = slots.join(blocks_of(pack(coded, doc_id), block, doc_id), ["source", "block"]).select("shard", "slot", "source", "block", "turn", "n_tokens", "ids", "doc_ids")
     # Tokens of a slot are known without building blocks: all are full but the last of a source.
     facts = spark.createDataFrame(plan[["source", "target_share", "mix_share", "max_repeats", "documents", "tokens", "blocks"]])
     used = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))

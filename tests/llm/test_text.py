@@ -6,6 +6,7 @@ import os
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -121,8 +122,9 @@ def test_mix(spark):
     caps = {"big": 1, "small": 3}
     assert all(len(t) <= caps[s] and len(set(t)) == len(t) for (s, _), t in uses.items())
     # Blocks of a source, put together, are its documents' tokens: nothing lost or doubled.
-    packed = mixing.pack(df, targets, 16)
+    packed = mixing.pack(mixing.encoded_sources(df, targets), docs_per_bucket=50)
     blocks = {(b.source, b.block): list(b.ids) for b in mixing.blocks_of(packed, 16).collect()}
+    assert max(t for _, t in [(k, len(v)) for k, v in blocks.items()]) == 16
     for s in ("big", "small"):
         flat = [t for k in sorted(k for k in blocks if k[0] == s) for t in blocks[k]]
         want = [t for p in sorted(packed.where(F.col("source") == s).collect(), key=lambda p: p.start) for t in p.ids]
@@ -131,6 +133,24 @@ def test_mix(spark):
     assert rows(again, "shard", "slot", "source", "block") == rows(mixed, "shard", "slot", "source", "block")
 
 
+def test_shards_draw_multinomial_counts_and_totals_are_exact(spark):
+    """Shards differ as multinomial draws do, every number of a source is used once, and what was moved lies all over the shards."""
+    plan = pd.DataFrame({"source": ["a", "b", "c"], "slots": [50_000, 30_000, 20_007], "blocks": [25_000, 30_000, 7_000]})
+    slots = mixing.draw_slots(spark, plan, 1000).toPandas()
+    assert len(slots) == 100_007 and not slots.duplicated(["shard", "slot"]).any() and not slots.duplicated(["source", "block", "turn"]).any()
+    assert slots.groupby("source").size().to_dict() == {"a": 50_000, "b": 30_000, "c": 20_007}
+    assert (slots[slots["shard"] < 100].groupby("shard")["slot"].agg(["min", "max"]) == [0, 999]).all().all() and (slots["shard"] == 100).sum() == 7
+    per = slots[(slots["source"] == "a") & (slots["shard"] < 100)].groupby("shard").size()
+    assert 0.6 < per.std() / np.sqrt(1000 * 0.5 * 0.5) < 1.5
+    drawn = mixing.draw_counts(spark, plan, 1000).toPandas()
+    first = drawn[drawn["shard"] == 3].set_index("k")["n"]
+    now = slots[slots["shard"] == 3].groupby("source").size()
+    assert abs(first.loc[0] - now["a"]) < 30  # only a few slots of a shard are moved
+    again = mixing.draw_slots(spark, plan, 1000).toPandas()
+    key = ["shard", "slot"]
+    assert slots.sort_values(key, ignore_index=True).equals(again.sort_values(key, ignore_index=True))
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
