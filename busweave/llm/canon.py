@@ -21,8 +21,6 @@ LOOK_ALIKES = {
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
     "ø": "o", "đ": "d", "ł": "l", "ı": "i", "ħ": "h", "ŧ": "t",
 }
-#: A list of names beyond this is refused where it would be sent to every task.
-MAX_NAMES = 100_000
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -65,21 +63,22 @@ def tokens(folded: Column) -> Column:
 
 
 def known_names(canon: DataFrame, names: dict[str, Names]) -> DataFrame:
-    """(field_name, ref_id, name, is_canon): folded names of every entry, of the list and of ``names``; ref_id 0 for names that mean none.
+    """(field_name, ref_id, name, origin): folded names of every entry; ref_id 0 for names that mean none. ``origin`` is 0 for canonical
+    values, 1 for other names of the list, 2 for those of ``names``, 3 for names that mean none.
 
-    A name of two entries stays with the one whose canonical value it is, else the smaller ref_id.
+    A name of several origins stays with the first, of two entries with the smaller ref_id.
     """
     rows = canon.where("ref_id is not null and field_name is not null and canon_value is not null").distinct()
-    listed = rows.select("field_name", "ref_id", F.explode(F.concat(F.array(F.struct(F.col("canon_value").alias("n"), F.lit(True).alias("c"))), F.transform(F.split(F.coalesce("other_names", F.lit("")), r"\|"), lambda x: F.struct(x.alias("n"), F.lit(False).alias("c"))))).alias("x")).select("field_name", "ref_id", fold(F.col("x.n")).alias("name"), F.col("x.c").alias("is_canon"))
+    listed = rows.select("field_name", "ref_id", F.explode(F.concat(F.array(F.struct(F.col("canon_value").alias("n"), F.lit(0).alias("c"))), F.transform(F.split(F.coalesce("other_names", F.lit("")), r"\|"), lambda x: F.struct(x.alias("n"), F.lit(1).alias("c"))))).alias("x")).select("field_name", "ref_id", fold(F.col("x.n")).alias("name"), F.col("x.c").alias("origin"))
     spark = canon.sparkSession
     extra = [(f, c, n) for f, k in names.items() for c, ns in k.other.items() for n in ns]
     if extra:
         more = spark.createDataFrame(extra, "field_name string, canon_value string, n string")
-        listed = listed.unionByName(more.join(rows.select("field_name", "canon_value", "ref_id"), ["field_name", "canon_value"]).select("field_name", "ref_id", fold(F.col("n")).alias("name"), F.lit(False).alias("is_canon")))
+        listed = listed.unionByName(more.join(rows.select("field_name", "canon_value", "ref_id"), ["field_name", "canon_value"]).select("field_name", "ref_id", fold(F.col("n")).alias("name"), F.lit(2).alias("origin")))
     none = [(f, n) for f, k in names.items() for n in k.none]
     if none:
-        listed = listed.unionByName(spark.createDataFrame(none, "field_name string, n string").select("field_name", F.lit(0).cast(rows.schema["ref_id"].dataType).alias("ref_id"), fold(F.col("n")).alias("name"), F.lit(False).alias("is_canon")))
-    best = Window.partitionBy("field_name", "name").orderBy(F.col("is_canon").desc(), (F.col("ref_id") == 0), "ref_id")
+        listed = listed.unionByName(spark.createDataFrame(none, "field_name string, n string").select("field_name", F.lit(0).cast(rows.schema["ref_id"].dataType).alias("ref_id"), fold(F.col("n")).alias("name"), F.lit(3).alias("origin")))
+    best = Window.partitionBy("field_name", "name").orderBy("origin", "ref_id")
     return listed.where("name <> ''").withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
@@ -97,6 +96,11 @@ def _forms(values: DataFrame, names: dict[str, Names]) -> DataFrame:
     return values.withColumn("folded", fold(F.col("value"))).withColumn("forms", F.array_distinct(F.filter(F.array(F.col("folded"), bare, code), lambda x: x != "")))
 
 
+def identity(*columns: str) -> Column:
+    """What a combination of texts is known by: their SHA-256, short whatever their length."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
 def fold_text(text: str) -> str:
     """``fold`` for a parameter."""
     old, new = _plain_letters()
@@ -105,7 +109,7 @@ def fold_text(text: str) -> str:
 
 
 def _similar(wanted: DataFrame, listed: DataFrame, least: float) -> DataFrame:
-    """(value_id, ref_id, jaccard, edits): pairs of a wanted form and a name with Jaccard >= ``least``, found through rare prefixes."""
+    """(value_id, ref_id, origin, jaccard, edits): pairs of a wanted form and a name with Jaccard >= ``least``, found through rare prefixes."""
     rank = listed.select("field_name", F.explode("tokens").alias("token")).groupBy("field_name", "token").agg(F.count(F.lit(1)).alias("in_list"))
 
     def ordered(df: DataFrame, ident: str) -> DataFrame:
@@ -125,10 +129,10 @@ def _similar(wanted: DataFrame, listed: DataFrame, least: float) -> DataFrame:
     met = met.where((F.col("n_y") >= F.col("n_x") * least - 1e-9) & (F.col("n_x") >= F.col("n_y") * least - 1e-9) & (1 + F.least(F.col("n_x") - F.col("i") - 1, F.col("n_y") - F.col("j") - 1) >= need))
     pairs = met.select("form_id", "name_id").distinct()
     x = wanted.select("form_id", "value_id", F.col("form"), F.col("tokens").alias("tx"))
-    y = listed.select("name_id", "ref_id", "name", F.col("tokens").alias("ty"))
+    y = listed.select("name_id", "ref_id", "origin", "name", F.col("tokens").alias("ty"))
     both = F.size(F.array_intersect("tx", "ty"))
     full = pairs.join(x, "form_id").join(y, "name_id").withColumn("jaccard", both / (F.size("tx") + F.size("ty") - both))
-    return full.where(F.col("jaccard") >= least).select("value_id", "ref_id", "jaccard", F.levenshtein("form", "name").alias("edits"))
+    return full.where(F.col("jaccard") >= least).select("value_id", "ref_id", "origin", "jaccard", F.levenshtein("form", "name").alias("edits"))
 
 
 def map_values(rows: DataFrame, canon: DataFrame, names: dict[str, Names], least: float = 0.5, handicap: float = 0.2) -> DataFrame:
@@ -137,20 +141,20 @@ def map_values(rows: DataFrame, canon: DataFrame, names: dict[str, Names], least
     ``rows`` has table_name, row_id, field_name, value; nulls, empty and blank values are no cases, repeated rows count once. ``how``
     is name, abbreviation, similar or none (ref_id 0: reported as unmatched). Only distinct values are matched; the list is joined
     by its rare tokens, so a frequent value or token never meets all values. A misspelt name that means no entry must be nearer by
-    ``handicap``, as entries are what people mean as a rule; names with digits are codes and match only exactly. Ties go to fewer edits, then the smaller ref_id.
+    ``handicap``, one that isn't of the list by half of it, as entries and listed names are what people mean as a rule; names with digits are codes and match only exactly. Ties go to fewer edits, then the smaller ref_id.
     """
     exact = canon.select("field_name", F.col("canon_value").alias("value")).where("value is not null").distinct()
     cases = rows.where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^\s*$")).select("table_name", "row_id", "field_name", "value").join(exact, ["field_name", "value"], "left_anti").distinct()
-    values = cases.select("field_name", "value").distinct().withColumn("value_id", F.xxhash64("field_name", "value"))
+    values = cases.select("field_name", "value").distinct().withColumn("value_id", identity("field_name", "value"))
     # The list and the distinct values are each read several times below; written once, they are neither folded nor planned again.
-    listed = materialise(known_names(canon, names).withColumn("name_id", F.xxhash64("field_name", "name")).withColumn("tokens", tokens(F.col("name"))), "names")
+    listed = materialise(known_names(canon, names).withColumn("name_id", identity("field_name", "name")).withColumn("tokens", tokens(F.col("name"))), "names")
     forms = materialise(_forms(values, names), "forms")
 
     tried = forms.select("field_name", "value", "value_id", F.posexplode("forms").alias("o", "name")).join(listed.select("field_name", "name", "ref_id"), ["field_name", "name"])
     by_name = tried.groupBy("field_name", "value", "value_id").agg(F.min_by("ref_id", "o").alias("ref_id"))
     # An abbreviation ends in a full stop and begins exactly one canonical value.
     short = forms.join(by_name, "value_id", "left_anti").where(F.rtrim("value").endswith(".") & (F.length("folded") >= 3))
-    heads = listed.where("is_canon").select("field_name", "ref_id", F.explode(F.transform(F.sequence(F.lit(3), F.length("name")), lambda n: F.col("name").substr(F.lit(1), n))).alias("folded"))
+    heads = listed.where("origin = 0").select("field_name", "ref_id", F.explode(F.transform(F.sequence(F.lit(3), F.length("name")), lambda n: F.col("name").substr(F.lit(1), n))).alias("folded"))
     heads = heads.groupBy("field_name", "folded").agg(F.min("ref_id").alias("ref_id"), F.count_distinct("ref_id").alias("n")).where("n = 1").drop("n")
     by_head = short.join(heads, ["field_name", "folded"]).select("value_id", "ref_id")
 
@@ -159,12 +163,12 @@ def map_values(rows: DataFrame, canon: DataFrame, names: dict[str, Names], least
     # Every letter is a token, so a form with more letters than the largest name's tokens over ``least`` is similar to none; it needs none.
     largest = listed.agg(F.max(F.size("tokens"))).first()[0] or 0
     wanted = left.select("field_name", "value_id", F.explode("forms").alias("form"))
-    wanted = wanted.where(F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))).between(2, int(largest / least))).withColumn("form_id", F.xxhash64("value_id", "form"))
+    wanted = wanted.where(F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))).between(1, int(largest / least))).withColumn("form_id", identity("value_id", "form"))
     wanted = materialise(wanted.withColumn("tokens", tokens(F.col("form"))), "wanted")
-    near = F.struct(F.when(F.col("ref_id") == 0, F.lit(handicap)).otherwise(0.0) - F.col("jaccard"), "edits", "ref_id")
+    near = F.struct(F.when(F.col("origin") == 3, F.lit(handicap)).when(F.col("origin") == 2, F.lit(handicap / 2)).otherwise(0.0) - F.col("jaccard"), "edits", "ref_id")
     best = _similar(wanted, listed.where(~F.col("name").rlike("[0-9]")), least).groupBy("value_id").agg(F.min_by("ref_id", near).alias("ref_id"))
     found = by_name.select("value_id", "ref_id", F.lit("name").alias("how")).unionByName(by_head.withColumn("how", F.lit("abbreviation"))).unionByName(best.withColumn("how", F.lit("similar")))
     answered = forms.select("value_id", "value", "field_name").join(found, "value_id", "left").select("value_id", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.when(F.coalesce("ref_id", F.lit(0)) == 0, "none").otherwise(F.col("how")).alias("how"))
     # One typed value may hold a third of the rows: those rows are spread over tasks.
-    keyed = cases.withColumn("value_id", F.xxhash64("field_name", "value"))
+    keyed = cases.withColumn("value_id", identity("field_name", "value"))
     return salted_join(keyed, answered, "value_id", "inner", salt_by=["table_name", "row_id"]).select("table_name", "row_id", "value", "ref_id", "how")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import materialise
 from .canon import map_values
 from .mixing import mix
-from .names import KNOWN
+from .names import known_of
 from .subjects import assign_subjects, encode_corpus, repeated_footers, train
 from .tokenize import encode_texts
 
@@ -28,7 +28,8 @@ def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, column, field_name in TYPED:
         one = _table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), "row_id", F.lit(field_name).alias("field_name"), F.col(column).alias("value"))
         rows = one if rows is None else rows.unionByName(one)
-    return map_values(rows, _table(spark, sf_dir, "canon_values"), KNOWN)
+    canon = _table(spark, sf_dir, "canon_values")
+    return map_values(rows, canon, known_of(canon))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,14 +70,14 @@ def test_mapping(spark):
     fuels = {"gas": None, "Erdgas": 204, "b04": 204, "hard-coal.": 203, "hrad coal": 203, "Steinkohle": 203, "brown coal": 0, "lignit": 202, "solar PV": 0, "B10 5": 0}
     data = [("t", i, "country", v, "x") for i, v in enumerate(typed)] + [("f", i, "fuel_group", v, "x") for i, v in enumerate(fuels)] + [("t", 4, "country", " Germany ", "x")]
     df = spark.createDataFrame(data, "table_name string, row_id long, field_name string, value string, ref_id string")
-    got = {(t, v): r for t, v, r in rows(canon.map_values(df, c, names.KNOWN), "table_name", "value", "ref_id")}
+    got = {(t, v): r for t, v, r in rows(canon.map_values(df, c, names.known_of(c)), "table_name", "value", "ref_id")}
     for v, r in typed.items():
         assert got.get(("t", v)) == r, v
     for v, r in fuels.items():
         if v != "brown coal":  # a known name of lignite elsewhere, near to hard coal here
             assert got.get(("f", v)) == r, v
-    assert canon.map_values(df.limit(0), c, names.KNOWN).count() == 0
-    empty = canon.map_values(df, c.limit(0), names.KNOWN)
+    assert canon.map_values(df.limit(0), c, names.known_of(c)).count() == 0
+    empty = canon.map_values(df, c.limit(0), names.known_of(c.limit(0)))
     assert empty.where("ref_id <> 0").count() == 0
 
 
@@ -87,13 +87,21 @@ def test_similarity_join_loses_nothing(spark):
     word = lambda: "".join(rng.choice(list("abcde"), int(rng.integers(3, 9))))
     left, right = [f"{word()} {word()}" for _ in range(60)], [f"{word()} {word()}" for _ in range(40)]
     make = lambda xs, ident, text: spark.createDataFrame([("f", i, x) for i, x in enumerate(xs)], f"field_name string, {ident} long, {text} string").withColumn("tokens", canon.tokens(F.col(text)))
-    l, r = make(left, "form_id", "form").withColumn("value_id", F.col("form_id")), make(right, "name_id", "name").withColumn("ref_id", F.col("name_id"))
+    l, r = make(left, "form_id", "form").withColumn("value_id", F.col("form_id")), make(right, "name_id", "name").withColumns({"ref_id": F.col("name_id"), "origin": F.lit(0)})
     tl, tr = {x.form_id: set(x.tokens) for x in l.collect()}, {x.name_id: set(x.tokens) for x in r.collect()}
     for least in (0.3, 0.5):
         want = sorted((i, j) for i, j in itertools.product(tl, tr) if len(tl[i] & tr[j]) / len(tl[i] | tr[j]) >= least)
         assert rows(canon._similar(l, r, least), "value_id", "ref_id") == sorted(want, key=repr)
 
 
+def test_country_names_come_from_locale_data(spark):
+    c = spark.createDataFrame([(1, "country", "Germany", "DE|DEU"), (2, "country", "Austria", "AT"), (3, "country", "Atlantis", "QQ"), (4, "fuel_group", "gas", "B04")], "ref_id int, field_name string, canon_value string, other_names string")
+    own, others = names.country_names(c)
+    assert set(own) == {"Germany", "Austria"} and {"Allemagne", "Alemania", "Saksa"} <= set(own["Germany"]) and {"Australia", "Australien", "Australie"} <= set(others) and "Germany" not in others
+    df = spark.createDataFrame([("t", i, "country", v) for i, v in enumerate(["Allemagne", "Alemagne", "Austria.", "Australien", "Autsria", "A", "é"])], "table_name string, row_id long, field_name string, value string")
+    assert [r[1] for r in rows(canon.map_values(df, c, names.known_of(c)), "row_id", "ref_id")] == [1, 1, 2, 0, 2, 0, 0]
+
+
 # ---- mixing ------------------------------------------------------------------------------------------------------------------
 
 
