@@ -14,15 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.ranking import prefix_sum
 from ..session import materialise
 from .tokenize import encode_texts
 
-#: Documents of a source are numbered in buckets of about this many, so that no source is numbered by one task.
-DOCS_PER_BUCKET = 20_000
-#: Shards are numbered in runs of this many, for the same reason.
+#: Shards are numbered in runs of this many, so that no source's shards are numbered by one task.
 SHARDS_PER_RUN = 20_000
 #: Sources beyond this are refused: shares are worked out on the driver.
 MAX_SOURCES = 10_000
@@ -51,28 +51,44 @@ def permute(index: np.ndarray, size: np.ndarray | int, key: np.ndarray | int) ->
     return x.astype(np.int64)
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc id, source, ids) with the task, and the tokens its earlier documents of the source have; empty ones left out."""
+    part, before = TaskContext.get().partitionId(), {}
+    for batch in batches:
+        n = np.diff(batch.column(2).offsets.to_numpy()).astype(np.int64)
+        sources, of = np.unique(batch.column(1).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        run = np.cumsum(n[order]) - n[order]
+        first = np.searchsorted(of[order], np.arange(len(sources)))
+        inside = np.empty_like(n)
+        inside[order] = run - run[first][of[order]] + np.array([before.get(s, 0) for s in sources], dtype=np.int64)[of[order]]
+        for s, total in zip(sources, np.bincount(of, weights=n, minlength=len(sources))):
+            before[s] = before.get(s, 0) + int(total)
+        some = pa.array(n > 0)
+        cols = [batch.column(1), batch.column(0), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(inside), pa.array(n), batch.column(2)]
+        yield pa.RecordBatch.from_arrays(cols, names=["source", "doc", "part", "inside", "n_tokens", "ids"]).filter(some)
+
+
 def encoded_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", **encoding) -> DataFrame:
-    """(source, doc_id, n_tokens, ids) of documents of the target sources that have tokens, written once."""
+    """(source, doc_id, part, inside, n_tokens, ids) of documents of the target sources that have tokens, written once.
+
+    ``part`` is the task that encoded a document, ``inside`` its first token's place among the source's tokens of that task.
+    """
     named = targets.select("source").where("source is not null").distinct()
-    wanted = docs.select(doc_id, "source", "text").join(named, "source", "left_semi")
-    coded = encode_texts(wanted, [doc_id, "source"], **encoding).withColumn("n_tokens", F.size("ids")).where("n_tokens > 0")
-    return materialise(coded.select("source", doc_id, "n_tokens", "ids"), "tokens")
+    wanted = docs.select(F.col(doc_id).alias("doc"), "source", "text").join(named, "source", "left_semi")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    coded = encode_texts(wanted, ["doc", "source"], then=(_placed, f"source string, doc {kind}, part int, inside long, n_tokens long, ids array<int>"), **encoding)
+    return materialise(coded.withColumnRenamed("doc", doc_id), "tokens")
 
 
-def pack(coded: DataFrame, doc_id: str = "doc_id", docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
+def pack(coded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(source, doc_id, start, n_tokens, ids): ``start`` is the place of the document's first token in its source.
 
-    Places are prefix sums in two steps, over buckets of a source and within a bucket, in the order of a hash of the id. A source has
-    as many buckets as its documents need. Token lists are shuffled once, with their bucket.
+    The tasks' totals of a source are summed in order of the tasks; documents only look theirs up, so no token list moves.
     """
-    of = F.pmod(F.xxhash64(F.col(doc_id)), F.col("buckets"))
-    buckets = coded.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / F.lit(docs_per_bucket)).alias("buckets"))
-    sizes = coded.select("source", doc_id, "n_tokens").join(buckets, "source").groupBy("source", of.alias("bucket")).agg(F.sum("n_tokens").alias("n"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("source", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.col(doc_id), F.lit(7)), doc_id).rowsBetween(Window.unboundedPreceding, -1)
-    dealt = coded.join(buckets, "source").withColumn("bucket", of).withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return dealt.join(sizes, ["source", "bucket"]).select("source", doc_id, (F.col("ahead") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = coded.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")).select("source", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    return coded.join(totals, ["source", "part"]).select("source", doc_id, (F.col("ahead") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
 def mix_plan(coded: DataFrame, targets: DataFrame, block: int, size_tokens: int | None = None) -> pd.DataFrame:

@@ -149,11 +149,12 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], vocabulary_file: str, kee
             start = stop
 
 
-def encode_texts(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = "byte_bpe_50k.json", path: str | None = None, counts_only: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = "byte_bpe_50k.json", path: str | None = None, counts_only: bool = False, then: tuple | None = None) -> DataFrame:
     """``keep`` columns and ``ids`` (array of int), or ``n_tokens`` with ``counts_only``; without special tokens, whose strings are ordinary text.
 
     Null and empty texts have an empty list (0 tokens). Whole texts are encoded, of any length. Every row stays, repeated or not.
-    No shuffle: one pass of Arrow batches.
+    No shuffle: one pass of Arrow batches. ``then`` is a function of the resulting batches that goes on in the same pass, and the schema
+    of what it gives.
     """
     made = "n_tokens" if counts_only else "ids"
     if made in keep:
@@ -162,4 +163,5 @@ def encode_texts(docs: DataFrame, keep: list[str], text: str = "text", vocabular
     slim = docs.select(*keep, F.col(text).cast("string").alias("_text_to_encode"))
     fields = [f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*fields, "n_tokens bigint" if counts_only else "ids array<int>"])
-    return slim.mapInArrow(lambda it: _encode_batches(it, file, keep, counts_only), schema)
+    step, schema = then or ((lambda it: it), schema)
+    return slim.mapInArrow(lambda it: step(_encode_batches(it, file, keep, counts_only)), schema)

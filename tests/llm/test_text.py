@@ -130,7 +130,7 @@ def test_mix(spark):
     caps = {"big": 1, "small": 3}
     assert all(len(t) <= caps[s] and len(set(t)) == len(t) for (s, _), t in uses.items())
     # Blocks of a source, put together, are its documents' tokens: nothing lost or doubled.
-    packed = mixing.pack(mixing.encoded_sources(df, targets), docs_per_bucket=50)
+    packed = mixing.pack(mixing.encoded_sources(df.repartition(5), targets))
     blocks = {(b.source, b.block): list(b.ids) for b in mixing.blocks_of(packed, 16).collect()}
     assert max(t for _, t in [(k, len(v)) for k, v in blocks.items()]) == 16
     for s in ("big", "small"):
