@@ -8,7 +8,7 @@ from ..session import materialise
 from .canon import map_values
 from .mixing import mix
 from .names import known_of
-from .subjects import assign_subjects, encode_corpus, repeated_footers, train
+from .subjects import assign_subjects, encode_corpus, repeated_footers, subjects_of, train
 from .tokenize import encode_texts
 
 
@@ -49,7 +49,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = materialise(encode_corpus(docs, repeated_footers(docs)), "sentences")
-    subjects = sorted(r["subject_id"] for r in _table(spark, sf_dir, "subject_list").where("subject_id is not null").select("subject_id").distinct().collect())
+    subjects = subjects_of(_table(spark, sf_dir, "subject_list"))
     return assign_subjects(encoded, train(encoded, _table(spark, sf_dir, "subject_examples"), subjects), subjects)
 
 

@@ -6,16 +6,20 @@ the subjects that enough of its sentences are about. The models start from label
 other, and are refined by expectation maximisation over every sentence of every document, with a prior per document. That carries
 a subject from one language to another where documents mix them, and settles examples whose labels contradict each other.
 
+How readily a subject is accepted is calibrated at the end on the examples, each held out of the models that judge it.
+
 Counts are kept by the words and pairs themselves: every distinct one of the corpus and the examples has its own row in the tables, so
-what is collected and sent to the tasks grows with the distinct pairs (classes x 4 bytes each), not with the documents.
+what is collected and sent to the tasks grows with the distinct pairs (classes x 4 bytes each), not with the documents. Tables larger than
+``MAX_MODEL_BYTES`` are refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Labelled examples used at most; more are refused, not sampled.
 MAX_EXAMPLES = 20_000
+#: Subjects beyond this are refused, and tables of counts beyond this size, which every Python worker holds.
+MAX_SUBJECTS, MAX_MODEL_BYTES = 1_000, 1 << 30
 
 # Phrases after which a sentence only mentions or compares with something, in the languages of the corpus.
 MENTIONS = (
@@ -32,7 +38,7 @@ MENTIONS = (
     "à ne pas confondre", "a ne pas confondre", "contrairement à", "contrairement a",
 )
 _STOP = re.compile("[.!?…]")
-_TAG = re.compile(r"<[^<>\n]{1,80}>")
+_TAG = re.compile(r"</?[a-z!?][^<>\n]*>")
 _NUMBERED = re.compile(r"^\d{1,3}[.)]\s+")
 _MARKS = " \t>#*•·–-"
 _BROKEN = re.compile(r"(\w)\s?-\n\s*(\w)")
@@ -94,7 +100,30 @@ def line_shape(line: str) -> str:
     return _NUMBER.sub("0", line.lower())
 
 
-def sentences(text: str | None, footers: frozenset[str] = frozenset()) -> list[list[str]]:
+class Footers:
+    """Shapes of footers, known by their digests whatever their length."""
+
+    HEAD = 6
+
+    def __init__(self, shapes: dict[bytes, str] | None = None):
+        self.digests = frozenset(shapes or ())
+        self.heads = frozenset((shapes or {}).values())
+
+    @staticmethod
+    def digest(shape: str) -> bytes:
+        return hashlib.sha256(shape.encode("utf-8", "surrogatepass")).digest()
+
+    @classmethod
+    def head(cls, line: str) -> str:
+        """The first characters of the shape, from as much of the line as they need."""
+        part = line_shape(line[:40])
+        return (part if len(part) > cls.HEAD or len(line) <= 40 else line_shape(line))[: cls.HEAD]
+
+    def __contains__(self, line: str) -> bool:
+        return bool(self.digests) and self.head(line) in self.heads and self.digest(line_shape(line)) in self.digests
+
+
+def sentences(text: str | None, footers: Footers = Footers()) -> list[list[str]]:
     """Lower-case words of each sentence, without what it only mentions. Footers, code, tables and fragments under three words are no
     sentences; a line that doesn't end a sentence goes on in the next."""
     if not text:
@@ -102,10 +131,9 @@ def sentences(text: str | None, footers: frozenset[str] = frozenset()) -> list[l
     lowered = text.lower()
     if not lowered.isascii():
         lowered = unicodedata.normalize("NFC", lowered)
-    longest = max(map(len, footers)) + 12 if footers else 0
     kept, rest = [], ""
     for line in _lines(lowered):
-        if (len(line) <= longest and line_shape(line) in footers) or not _LETTERS.search(line):
+        if not _LETTERS.search(line) or line in footers:
             continue
         ends = line.rstrip("\"»”)]")[-1:] in ".!?…"
         if not ends and _CODE.search(line):
@@ -181,6 +209,9 @@ class Models:
     pair_weight: float = 0.45
     word_weight: float = 0.40
 
+    sharpness: float = 0.7
+    lean: np.ndarray | None = None  # log weight of each class at acceptance
+
     def __post_init__(self) -> None:
         total = self.words.sum(axis=0)
         self._known = total > 0
@@ -197,30 +228,50 @@ class Models:
         A class of which nothing is known yet is the background itself.
         """
         out = np.empty((len(starts), self.n_classes), dtype=np.float32)
-        rest = np.float32(1 - self.pair_weight - self.word_weight)
         # A piece at a time, so that the words x classes tables stay small; pieces end where sentences do.
         bounds = np.searchsorted(starts, np.arange(0, len(ids), 200_000))
         bounds = np.unique(np.append(bounds, len(starts)))
         for a, b in zip(bounds[:-1], bounds[1:]):
             lo, hi = starts[a], starts[b] if b < len(starts) else len(ids)
-            i, h = ids[lo:hi], before[lo:hi]
-            base = self._base[i][:, None]
-            seen = self.contexts[h]
-            q = self.pairs[pair[lo:hi]]
-            fresh = seen <= 0
-            np.divide(q, seen, out=q, where=~fresh)
-            np.minimum(q, 1, out=q)  # sums of small floats may differ in the last digits
-            q *= np.float32(self.pair_weight)
-            q[fresh] = 0
-            q += self._share[i]
-            q /= base
-            q += rest
-            q += np.float32(self.pair_weight) * fresh
-            np.log(q, out=q)
-            out[a:b] = np.add.reduceat(q, starts[a:b] - lo, axis=0)
+            i = ids[lo:hi]
+            out[a:b] = self._gain(self._share[i], self.contexts[before[lo:hi]], self.pairs[pair[lo:hi]], self._base[i], starts[a:b] - lo)
         out[:, ~self._known] = 0
         return out
 
+    def _gain(self, share: np.ndarray, seen: np.ndarray, q: np.ndarray, base: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Interpolated likelihood over the background's, by the counts at each word; ``q`` (counts of pairs) is used up."""
+        fresh = seen <= 0
+        np.divide(q, seen, out=q, where=~fresh)
+        np.minimum(q, 1, out=q)  # sums of small floats may differ in the last digits
+        q *= np.float32(self.pair_weight)
+        q[fresh] = 0
+        q += share
+        q /= base[:, None]
+        q += np.float32(1 - self.pair_weight - self.word_weight)
+        q += np.float32(self.pair_weight) * fresh
+        np.log(q, out=q)
+        return np.add.reduceat(q, starts, axis=0)
+
+    def gain_without(self, ex: Examples, weights: np.ndarray, i: int, left_out: list[int]) -> np.ndarray:
+        """Gain of example i (its sentences x classes) with some examples, counted with ``weights``, taken out of the counts."""
+        ids, before, pair, starts = ex.part(i)
+        words, seen, q, total = self.words[ids], self.contexts[before], self.pairs[pair], self.words.sum(axis=0)
+        for d in left_out:
+            w = weights[d].astype(np.float32)
+            d_ids, d_before, d_pair, _ = ex.part(d)
+            for counts, mine, theirs in ((words, ids, d_ids), (seen, before, d_before), (q, pair, d_pair)):
+                listed, n = np.unique(theirs, return_counts=True)
+                at = np.minimum(np.searchsorted(listed, mine), len(listed) - 1)
+                counts -= np.where(listed[at] == mine, n[at], 0)[:, None].astype(np.float32) * w
+            total = total - len(d_ids) * w
+        for counts in (words, seen, q):
+            counts[counts < 1e-4] = 0
+        known = total > 1e-4
+        share = np.float32(self.word_weight) * words / np.where(known, total, 1)
+        out = self._gain(share, seen, q, self._base[ids], starts)
+        out[:, ~known] = 0
+        return out
+
 
 def count_classes(places: Places, ids: np.ndarray, before: np.ndarray, pair: np.ndarray, starts: np.ndarray, p: np.ndarray, least: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts (places x classes) for ``p``, sentences x classes; shares under ``least`` of a sentence are left out."""
@@ -234,12 +285,13 @@ def count_classes(places: Places, ids: np.ndarray, before: np.ndarray, pair: np.
     return count(ids[at], places.n_words), count(before[at], places.n_words), count(pair[at], places.n_pairs)
 
 
-def posteriors(gain: np.ndarray, doc: np.ndarray, n_docs: int, n_subjects: int, sharpness: float = 0.7, prior: float = 0.3, none: float = 0.3, rounds: int = 2) -> np.ndarray:
-    """Class of each sentence given its gain and the document's own mix of subjects. ``sharpness`` tempers that words aren't independent.
+def posteriors(gain: np.ndarray, doc: np.ndarray, n_docs: int, n_subjects: int, sharpness: float = 0.7, lean: np.ndarray | None = None, prior: float = 0.3, none: float = 0.3, rounds: int = 2) -> np.ndarray:
+    """Class of each sentence given its gain and the document's own mix of subjects. ``sharpness`` tempers that words aren't independent,
+    ``lean`` is a log weight of each class.
 
     The document only says which subject, not whether there is one: "no subject" keeps the share ``none`` beforehand.
     """
-    z = sharpness * gain
+    z = sharpness * gain if lean is None else sharpness * gain + lean
     subject = np.arange(gain.shape[1]) != n_subjects
     log_prior = np.zeros((n_docs, gain.shape[1]))
     for r in range(rounds + 1):
@@ -302,12 +354,12 @@ class Examples:
         n = np.stack([np.bincount(self.ids[of_word == k], minlength=self.places.n_words) for k in range(self.lang.max() + 1)]) + 0.05
         return np.log(n / n.sum(axis=1, keepdims=True))
 
-    def scores(self, weights: np.ndarray, background: np.ndarray, only: int) -> np.ndarray:
-        """Gain of one example under models of the others' weights."""
-        mine = np.flatnonzero(self.of == only)
+    def part(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of one example, those before them, their pairs, and where its sentences start."""
+        mine = np.flatnonzero(self.of == i)
         lo = self.starts[mine[0]]
         hi = self.starts[mine[-1] + 1] if mine[-1] + 1 < len(self.starts) else len(self.ids)
-        return Models(*self.counts(weights), background, self.places).gain(self.ids[lo:hi], self.before[lo:hi], self.pair[lo:hi], self.starts[mine] - lo).sum(axis=0)
+        return self.ids[lo:hi], self.before[lo:hi], self.pair[lo:hi], self.starts[mine] - lo
 
 
 def checked_labels(ex: Examples, n_subjects: int, background: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
@@ -320,20 +372,17 @@ def checked_labels(ex: Examples, n_subjects: int, background: np.ndarray) -> tup
     given = np.zeros((len(ex.label), n_subjects + 1))
     given[np.arange(len(ex.label)), ex.label] = 1
     out = given.copy()
+    models = Models(*ex.counts(given), background, ex.places)
+    words = [set(ex.part(i)[0].tolist()) for i in range(len(ex.label))]
+    best_of = lambda i, left_out: int(models.gain_without(ex, given, i, left_out).sum(axis=0)[:n_subjects].argmax())
     case = np.arange(len(ex.label))  # union-find by relabelling: the examples are few
     contradicted = np.zeros(len(ex.label), dtype=bool)
     for i in range(len(ex.label)):
-        without = given.copy()
-        without[i] = 0
-        best, own = int(ex.scores(without, background, i)[:n_subjects].argmax()), int(ex.label[i])
-        if best == own:
+        best = best_of(i, [i])
+        if best == int(ex.label[i]):
             continue
-        hangs_on = []
-        for j in np.flatnonzero((ex.label == best) & (np.arange(len(ex.label)) != i)):
-            less = without.copy()
-            less[j] = 0
-            if int(ex.scores(less, background, i)[:n_subjects].argmax()) != best:
-                hangs_on.append(j)
+        # An example that shares no word with this one only dilutes its subject: without it the subject gains, so it decides nothing.
+        hangs_on = [j for j in np.flatnonzero(ex.label == best).tolist() if j != i and words[i] & words[j] and best_of(i, [i, j]) != best]
         if not hangs_on:
             out[i] = 0
             out[i, best] = 1
@@ -370,31 +419,64 @@ def settled(ex: Examples, weights: np.ndarray, cases: list[tuple[int, ...]], doc
     return out
 
 
+#: Log weights a subject may be given at acceptance, and how many held-out examples one unit of it must win.
+LEANS, LEAN_COST = (-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0), 1.5
+
+
+def calibrated(models: Models, ex: Examples, weights: np.ndarray, example_weight: float, rounds: int = 3) -> Models:
+    """The models with a lean of each subject at acceptance, under which most held-out examples come out as their own subject.
+
+    Each example is judged by the models without its own counts, its sentences sharing its vote. Leans are tried one subject at a time;
+    one that wins fewer examples than ``LEAN_COST`` times its size is not worth it, so subjects that the examples tell apart as they are
+    keep 0. "No subject" has no examples and no lean.
+    """
+    n = weights.shape[1] - 1
+    label = weights[:, :n].argmax(axis=1)
+    mine = np.flatnonzero(weights[:, :n].sum(axis=1) > 0)
+    if len(mine) < 2 or n < 2:
+        return models
+    gains = [models.gain_without(ex, example_weight * weights, i, [i])[:, :n] for i in mine.tolist()]
+    length = np.array([len(g) for g in gains])
+    z, of, share = models.sharpness * np.concatenate(gains).astype(float), np.repeat(label[mine], length), np.repeat(1 / length, length)
+    lean = np.zeros(n)
+
+    def value(k: int, v: float) -> float:
+        tried = lean.copy()
+        tried[k] = v
+        return share @ ((z + tried).argmax(axis=1) == of) - LEAN_COST * np.abs(tried).sum()
+
+    for _ in range(rounds):
+        before = lean.copy()
+        for k in range(n):
+            lean[k] = max(LEANS, key=lambda v: (round(value(k, v), 9), -abs(v)))
+        if (lean == before).all():
+            break
+    return replace(models, lean=np.append(lean, 0.0))
+
+
 # ---- corpus ------------------------------------------------------------------------------------------------------------------
 
 
-def repeated_footers(docs: DataFrame, share: float = 0.02, least: int = 5) -> frozenset[str]:
-    """Shapes of lines that stand among the last three of at least ``share`` of all documents (at most 3 / share of them) and aren't
-    prose that ends documents by chance: a share of all is needed, counted over all documents."""
+def repeated_footers(docs: DataFrame, share: float = 0.02, least: int = 5) -> Footers:
+    """Shapes of lines that stand among the last three of at least ``share`` of all documents (so at most 3 / share of them) and aren't
+    prose that ends documents by chance: a share of all is needed, counted over all documents and lines of any length."""
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, int] = {}
-            n = 0
+            found: dict[tuple[bytes, str], int] = {}
             for t in batch.column(0).to_pylist():
-                n += 1
-                for s in {line_shape(x) for x in last_lines(t) if len(x) <= 400}:
-                    found[s] = found.get(s, 0) + 1
-            found[""] = n
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["shape", "n"])
-
-    # Three lines of at most 400 characters, and blank ones between them, lie within the last 1500.
-    counted = docs.select(F.substring("text", -1500, 1500).alias("text")).mapInArrow(tails, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n"))
+                for s in {line_shape(x) for x in last_lines(t)}:
+                    k = (Footers.digest(s), Footers.head(s))
+                    found[k] = found.get(k, 0) + 1
+            cols = [pa.array([d for d, _ in found], pa.binary()), pa.array([h for _, h in found], pa.string()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["digest", "head", "n"])
+
+    counted = docs.select("text").mapInArrow(tails, "digest binary, head string, n long").groupBy("digest", "head").agg(F.sum("n").alias("n"))
     total = docs.count()
-    return frozenset(r["shape"] for r in counted.where((F.col("n") >= max(least, total * share)) & (F.col("shape") != "")).collect())
+    return Footers({bytes(r["digest"]): r["head"] for r in counted.where(F.col("n") >= max(least, total * share)).collect()})
 
 
-def encode_corpus(docs: DataFrame, footers: frozenset[str], doc_id: str = "doc_id") -> DataFrame:
+def encode_corpus(docs: DataFrame, footers: Footers, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, words, lengths): folded words of all sentences of each document and the length of each sentence."""
     kind = docs.schema[doc_id].dataType
 
@@ -535,6 +617,14 @@ def pairs_of(encoded: DataFrame, places: Places, more: np.ndarray) -> np.ndarray
     return np.union1d(rows.column("pair").to_numpy(), more)
 
 
+def subjects_of(listed: DataFrame) -> list[int]:
+    """The subject ids of a list, in order."""
+    found = listed.where("subject_id is not null").select("subject_id").distinct().limit(MAX_SUBJECTS + 1).collect()
+    if len(found) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    return sorted(r["subject_id"] for r in found)
+
+
 def train(encoded: DataFrame, examples: DataFrame, subjects: list[int], rounds: int = 2, example_weight: float = 5.0) -> Models:
     """Models of the subjects (in order) and of no subject, from the examples and ``rounds`` passes over all documents."""
     rows = examples.where("text is not null and subject_id is not null").select("subject_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).distinct().limit(MAX_EXAMPLES + 1).collect()
@@ -557,6 +647,8 @@ def train(encoded: DataFrame, examples: DataFrame, subjects: list[int], rounds:
         sent = spark.sparkContext.broadcast((Models(*[example_weight * c for c in ex.counts(weights)], background, places), ex.languages()))
         weights = settled(ex, weights, cases, *_beside_in_corpus(encoded, sent, n), n)
         sent.unpersist()
+    if (need := 4 * (n + 1) * (2 * places.n_words + places.n_pairs)) > MAX_MODEL_BYTES:
+        raise ValueError(f"the models take {need} bytes; at most {MAX_MODEL_BYTES} are sent to each worker")
     seed = [example_weight * c for c in ex.counts(weights)]
     models = Models(*seed, background, places)
     for _ in range(rounds):
@@ -564,7 +656,7 @@ def train(encoded: DataFrame, examples: DataFrame, subjects: list[int], rounds:
         found = _count_corpus(encoded, sent, n + 1)
         sent.unpersist()
         models = Models(*[a + b for a, b in zip(seed, found)], background, places)
-    return models
+    return calibrated(models, ex, weights, example_weight)
 
 
 def assign_subjects(encoded: DataFrame, models: Models, subjects: list[int], doc_id: str = "doc_id", least: float = 0.25) -> DataFrame:
@@ -581,7 +673,7 @@ def assign_subjects(encoded: DataFrame, models: Models, subjects: list[int], doc
             if parts is None or not sent.value.words.any():  # without any example nothing is about anything
                 continue
             ids, before, starts, doc = parts
-            p = posteriors(sent.value.gain(ids, before, sent.value.places.pair(before, ids), starts), doc, batch.num_rows, len(subjects))
+            p = posteriors(sent.value.gain(ids, before, sent.value.places.pair(before, ids), starts), doc, batch.num_rows, len(subjects), sent.value.sharpness, sent.value.lean)
             about = np.zeros((batch.num_rows, p.shape[1]), dtype=np.int64)
             np.add.at(about, (doc, p.argmax(axis=1)), 1)
             all_ = about.sum(axis=1)

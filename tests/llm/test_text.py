@@ -218,7 +218,7 @@ def test_words_and_pairs_have_rows_of_their_own(spark):
     rng = np.random.default_rng(2)
     names = ["".join(rng.choice(list("abdghklmnoptuvw"), 8)) for _ in range(40_000)]
     docs = [(i, " ".join(names[40 * i : 40 * i + 40]) + ".") for i in range(1000)] + [(1000 + i, WATER[i % 4] + " " + TRADE[i % 4]) for i in range(40)] + [(2000, f"{foreign} {foreign} {foreign}.")]
-    coded = subjects.encode_corpus(spark.createDataFrame(docs, "doc_id long, text string"), frozenset())
+    coded = subjects.encode_corpus(spark.createDataFrame(docs, "doc_id long, text string"), subjects.Footers())
     e = spark.createDataFrame([(k + 1, x, "en") for k, p in enumerate([WATER, TRADE]) for x in p], "subject_id int, text string, lang string")
     models = subjects.train(coded, e, [1, 2], rounds=1)
     at = models.places.ids(pa.array(["river", foreign, "nowhere at all"]))
@@ -233,13 +233,71 @@ def test_words_and_pairs_have_rows_of_their_own(spark):
 def test_no_examples(spark):
     df = spark.createDataFrame([(1, WATER[0])], "doc_id long, text string")
     e = spark.createDataFrame([], "subject_id int, text string, lang string")
-    coded = subjects.encode_corpus(df, frozenset())
+    coded = subjects.encode_corpus(df, subjects.Footers())
     assert subjects.assign_subjects(coded, subjects.train(coded, e, [1, 2]), [1, 2]).count() == 0
 
 
+def _footers(*lines):
+    shapes = [subjects.line_shape(x) for x in lines]
+    return subjects.Footers({subjects.Footers.digest(x): subjects.Footers.head(x) for x in shapes})
+
+
+def test_footers_of_any_length_and_place(spark):
+    """Footers of thousands of characters, before thousands of blank lines, with any number in them, in decomposed letters or not."""
+    long = "terms of use " * 300 + "apply on page 12."
+    docs = [(i, f"A note about nothing, number {i * i}.\n{long.replace('12', str(i * 10**40))}" + "\n \n" * 4000) for i in range(8)] + [(9, None), (10, ""), (11, "\n\n")]
+    found = subjects.repeated_footers(spark.createDataFrame(docs, "doc_id long, text string"), share=0.5)
+    assert len(found.digests) == 2 and long in found and long.replace("12", "7" * 60) in found and long + "x" not in found
+    assert subjects.sentences(f"The river rose again.\n{long}", found) == [["the", "river", "rose", "again"]]
+    numbered = _footers("7" * 50 + " pages were printed today.")
+    assert ("8" * 90 + " pages were printed today.") in numbered and "pages were printed today." not in numbered and "x" not in subjects.Footers()
+    tag = "<p title='" + "long " * 50 + "'>The river rose again.</p> It was 3 < 4 then."
+    assert subjects.sentences(tag)[0] == ["the", "river", "rose", "again"]
+
+
+def _trained(labelled):
+    ex = subjects.Examples.read(labelled)
+    places = subjects.Places(pa.array(sorted(set(ex.words))))
+    ex.place(places)
+    places.pairs = np.unique(places.numbers(ex.before, ex.ids))
+    ex.place(places)
+    return ex, np.full(places.n_words, 1 / places.n_words)
+
+
+def test_examples_are_held_out_exactly():
+    labelled = sorted((k, x, "en") for k, p in enumerate([WATER, TRADE, SPORT]) for x in p)
+    ex, background = _trained(labelled)
+    w = np.zeros((len(ex.label), 4))
+    w[np.arange(len(ex.label)), ex.label] = 1
+    models = subjects.Models(*ex.counts(w), background, ex.places)
+    for i, out in ((0, [0]), (3, [3, 5]), (11, [11, 0, 4])):
+        less = w.copy()
+        less[out] = 0
+        ids, before, pair, starts = ex.part(i)
+        want = subjects.Models(*ex.counts(less), background, ex.places).gain(ids, before, pair, starts)
+        assert np.allclose(models.gain_without(ex, w, i, out), want, atol=1e-4)
+
+
+def test_acceptance_is_calibrated_on_held_out_examples():
+    """A subject that takes the examples of others is held back; subjects told apart as they are keep their weight."""
+    labelled = sorted((k, x, "en") for k, p in enumerate([WATER, TRADE, SPORT]) for x in p)
+    ex, background = _trained(labelled)
+    w = np.zeros((len(ex.label), 4))
+    w[np.arange(len(ex.label)), ex.label] = 1
+    fair = subjects.Models(*ex.counts(w), background, ex.places)
+    greedy = [c.copy() for c in ex.counts(w)]
+    for c in greedy[:1]:
+        c[:, 2] += 1.2 * c[:, :2].sum(axis=1)  # sport has heard of everything
+    tuned = subjects.calibrated(subjects.Models(*greedy, background, ex.places), ex, w, 1.0)
+    right = lambda m, lean: sum(int((m.sharpness * m.gain_without(ex, w, i, [i])[:, :3].sum(axis=0) + lean[:3]).argmax() == ex.label[i]) for i in range(len(ex.label)))
+    assert right(tuned, tuned.lean) >= right(tuned, np.zeros(4)) and tuned.lean[3] == 0
+    kept = subjects.calibrated(fair, ex, w, 1.0)
+    assert right(kept, kept.lean) >= right(kept, np.zeros(4))
+
+
 def test_sentences():
     text = "<p>The RIVER rose, unlike the price of gas. It fell 12 per cent!</p>\n* for i in range(9):\nx[i] = 2\na broken li-\nne ends here. FOOTER 2024 stays out."
-    got = subjects.sentences(text, frozenset({subjects.line_shape("footer 7 is not this")}))
+    got = subjects.sentences(text, _footers("footer 7 is not this"))
     assert got[0] == ["the", "river", "rose"] and got[1] == ["it", "fell", "12", "per", "cent"] and ["a", "broken", "line", "ends", "here"] in got
     assert subjects.word_id("moment") == subjects.word_id("m0ment") == subjects.word_id("mornent")
 
