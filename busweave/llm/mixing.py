@@ -88,6 +88,8 @@ def pack(coded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = coded.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")).select("source", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    # Written, its size is known when the join is planned: the optimizer sends it to the tasks if it is small, and no document moves.
+    totals = materialise(totals, "totals")
     return coded.join(totals, ["source", "part"]).select("source", doc_id, (F.col("ahead") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
