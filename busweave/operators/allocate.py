@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalar import PRIORITY, positive
+from ..functions.scalar import PRIORITY, clamp, positive
 from .ranking import prefix_sum, rank_in_group
 
 
@@ -118,7 +118,7 @@ def priority_fill(sites: DataFrame, targets: DataFrame, group: str, ident: str,
 
 def clamp_and_flag(value: Column, capacity: Column) -> tuple[Column, Column]:
     """(value between 0 and the capacity, or the capacity where it is missing; whether it was imputed: missing, yes, no)."""
-    bounded = F.least(F.greatest(value, F.lit(0.0)), capacity)
+    bounded = clamp(value, 0.0, capacity)
     return F.coalesce(bounded, capacity), F.when(value.isNull(), "missing").when(bounded != value, "yes").otherwise("no")
 
 

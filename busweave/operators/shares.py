@@ -5,6 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import EARTH_KM, equirectangular_km, positive
+from ..session import materialise
+
+
+def _with_totals(df: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+    """Adds ``_total_<value>`` of each value and ``_n`` per group: one aggregate, joined once. A null group is a group."""
+    totals = df.groupBy(*group).agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_total_{v}") for v in values], F.count(F.lit(1)).alias("_n"))
+    cond = F.lit(True)
+    for g in group:
+        cond = cond & F.col(f"_l.{g}").eqNullSafe(F.col(f"_t.{g}"))
+    return df.alias("_l").join(totals.alias("_t"), cond).select("_l.*", *[f"_total_{v}" for v in values], "_n")
+
+
+def _share(value: str, uniform: bool) -> Column:
+    return F.when(F.col(f"_total_{value}") > 0, F.coalesce(F.col(value), F.lit(0.0)) / F.col(f"_total_{value}")).otherwise(1.0 / F.col("_n") if uniform else F.lit(0.0))
 
 
 def partition_share(df: DataFrame, group: list[str], value: str, out: str = "share", uniform: bool = False) -> DataFrame:
@@ -13,23 +27,16 @@ def partition_share(df: DataFrame, group: list[str], value: str, out: str = "sha
     Totals are aggregated before they are joined back, so a group of any size is summed in parts. Null and negative values count as
     they are (use ``positive`` before where that is wanted); a null group is a group.
     """
-    totals = df.groupBy(*group).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_total"), F.count(F.lit(1)).alias("_n"))
-    keys = [F.col(f"_l.{g}").eqNullSafe(F.col(f"_t.{g}")) for g in group]
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
-    joined = df.alias("_l").join(totals.alias("_t"), cond).select("_l.*", "_total", "_n")
-    rest = 1.0 / F.col("_n") if uniform else F.lit(0.0)
-    return joined.withColumn(out, F.when(F.col("_total") > 0, F.coalesce(F.col(value), F.lit(0.0)) / F.col("_total")).otherwise(rest)).drop("_total", "_n")
+    return _with_totals(df, group, [value]).withColumn(out, _share(value, uniform)).drop(f"_total_{value}", "_n")
 
 
 def blended_share(df: DataFrame, group: list[str], weights: dict[str, float], out: str = "share") -> DataFrame:
     """Adds ``<column>_share`` of each weighted column (equal parts where its total is not positive) and their weighted sum ``out``."""
+    df = _with_totals(df, group, list(weights)).withColumns({f"{c}_share": _share(c, True) for c in weights})
     total = F.lit(0.0)
     for c, w in weights.items():
-        df = partition_share(df, group, c, f"{c}_share", uniform=True)
         total = total + F.lit(w) * F.col(f"{c}_share")
-    return df.withColumn(out, total)
+    return df.withColumn(out, total).drop(*[f"_total_{c}" for c in weights], "_n")
 
 
 def distance_weights(regions: DataFrame, nodes: DataFrame, group: str, alpha: float = 1.0, together_km: float = 1e-6, radius: float = EARTH_KM) -> DataFrame:
@@ -42,6 +49,7 @@ def distance_weights(regions: DataFrame, nodes: DataFrame, group: str, alpha: fl
     n = nodes.select(group, "node", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     pairs = regions.select(group, "region", "lat", "lon").join(n, group)
     pairs = pairs.withColumn("km", equirectangular_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), radius)).drop("lat", "lon", "_lat", "_lon").where("km is not null")
+    pairs = materialise(pairs.select(group, "region", "node", "km"), "pairs")  # read for the totals and for the weights
     near = pairs.groupBy(group, "region").agg(F.min("km").alias("_least"), F.sum(F.when(F.col("km") > together_km, F.pow(F.col("km"), F.lit(-alpha)))).alias("_sum"), F.count(F.when(F.col("km") <= together_km, 1)).alias("_same"))
     same = F.col("_least") <= together_km
     weight = F.when(same & (F.col("km") <= together_km), 1.0 / F.col("_same")).when(~same, F.pow(F.col("km"), F.lit(-alpha)) / F.col("_sum"))
@@ -61,10 +69,11 @@ def proxy_shares(regions: DataFrame, nodes: DataFrame, group: str, weights: dict
     Each column of the regions (population, product) is shared within the group, spread over nodes by distance, summed by cluster,
     normalised; the columns are blended by ``weights`` and normalised again. ``nodes`` has group, node, cluster, lat, lon.
     """
-    regions = with_fallback_regions(regions, nodes, group, list(weights))
+    regions = materialise(with_fallback_regions(regions, nodes, group, list(weights)), "regions")
     based = blended_share(regions, [group], weights, "_blend")
     spread = distance_weights(regions, nodes, group, alpha).join(based.select(group, "region", *[f"{c}_share" for c in weights]), [group, "region"]).join(nodes.select(group, "node", "cluster"), [group, "node"])
     summed = spread.groupBy(group, "cluster").agg(*[F.sum(F.col(f"{c}_share") * F.col("weight")).alias(c) for c in weights])
+    summed = materialise(summed, "summed")
     return partition_share(blended_share(summed, [group], weights, "_blend"), [group], "_blend", "share").select(group, "cluster", *[f"{c}_share" for c in weights], "share")
 
 

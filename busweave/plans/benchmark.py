@@ -11,6 +11,10 @@ from ..operators.aggregate import composite_rank, exact_quantiles
 from ..operators.joining import corridor_agreement
 from ..operators.kernels import merged_edges, sparse_angles
 
+# Fuels of plants that turn with the grid, and words of technologies that don't.
+SYNCHRONOUS_FUELS = ("Hydro", "Hard Coal", "Natural Gas", "Lignite", "Oil", "Solid Biomass", "Waste", "Geothermal", "Nuclear", "Biogas", "Mechanical Storage")
+NOT_SYNCHRONOUS = ("Battery", "Solar", "Wind", "PV", "Photovoltaic", "Hydrogen Storage", "Heat Storage")
+
 
 def cluster_corridors(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     """(first, second, b): susceptance between clusters of raw lines (a, b, x, circuits) with (bus_id, cluster_id)."""

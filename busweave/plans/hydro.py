@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import positive, safe_div
+from ..functions.scalar import clamp, positive, safe_div
 from ..operators.series import climatology, complete_weeks, fill_gaps
 from ..operators.shares import top_site
+from ..session import materialise
 
 EPS = 1e-9
 KEY = ["country", "plant_type", "technology"]
@@ -66,17 +67,17 @@ def bounded_constraints(weekly: DataFrame, capacity: DataFrame, region: str = "c
         for end in ("min", "max"):
             c = f"{end}_{side}_mw"
             if c in weekly.columns:
-                v = F.coalesce(F.least(F.greatest(F.col(c), F.lit(0.0)), cap), F.lit(0.0) if end == "min" else cap)
+                v = F.coalesce(clamp(F.col(c), 0.0, cap), F.lit(0.0) if end == "min" else cap)
                 changed = changed | F.col(c).isNull() | (F.col(c) != v)
                 cols[c] = v
             e = f"{end}_{side}_en_mwh_day"
             if e in weekly.columns:
-                v = F.coalesce(F.least(F.greatest(F.col(e), F.lit(0.0)), 24 * cap), F.lit(0.0) if end == "min" else 24 * cap)
+                v = F.coalesce(clamp(F.col(e), 0.0, 24 * cap), F.lit(0.0) if end == "min" else 24 * cap)
                 changed = changed | F.col(e).isNull() | (F.col(e) != v)
                 cols[e] = v
     for c, default in (("min_res_tech_pu", 0.0), ("max_res_tech_pu", 1.0)):
         if c in weekly.columns:
-            cols[c] = F.coalesce(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)), F.lit(default))
+            cols[c] = F.coalesce(clamp(F.col(c), 0.0, 1.0), F.lit(default))
             changed = changed | F.col(c).isNull()
     return df.withColumn("imputed", F.when(changed, "yes").otherwise("no")).withColumns(cols)
 
@@ -95,7 +96,8 @@ def type_profiles(target: DataFrame, current: DataFrame, load: DataFrame, quanti
     types = types.withColumns({"plus": F.greatest(F.col("t") - F.col("c"), F.lit(0.0)), "minus": F.greatest(F.col("c") - F.col("t"), F.lit(0.0))})
     country = types.groupBy("country").agg(F.sum("plus").alias("_p"), F.sum("minus").alias("_m"))
     types = types.join(country, "country").withColumn("shift", F.when((F.col("plus") > EPS) & (F.least("_p", "_m") > EPS), F.col("plus") * F.least("_p", "_m") / F.col("_p")).otherwise(0.0))
-    types = types.withColumn("new", F.greatest(F.col("t") - F.col("c") - F.col("shift"), F.lit(0.0)))
+    # A row per country and type, read by every branch below.
+    types = materialise(types.withColumn("new", F.greatest(F.col("t") - F.col("c") - F.col("shift"), F.lit(0.0))), "types")
     at = current.where(F.col(quantity) > EPS).select("country", "plant_type", "bus", F.col(quantity).alias("v"))
     own = at.join(types.select("country", "plant_type"), ["country", "plant_type"]).select("country", "plant_type", "bus", "v")
     # Places given up: each shrinking type's nodes by their part of it, for a part of the shift by its part of all shrinking.
@@ -126,7 +128,8 @@ def target_rows(capacity: DataFrame, current: DataFrame, load: DataFrame) -> Dat
     both = turb.join(stor, ["country", "plant_type", "bus"], "full").fillna(0.0, ["turbine_share", "storage_share"])
     rule = F.when(F.col("_tr").eqNullSafe(F.col("_sr")), F.col("_tr")).otherwise(F.concat(F.lit("turb="), F.coalesce("_tr", F.lit("no_capacity")), F.lit("|storage="), F.coalesce("_sr", F.lit("no_capacity"))))
     out = capacity.join(both, ["country", "plant_type"])
-    return out.select(*KEY, "bus", "turbine_share", "storage_share", (F.coalesce("installed_turb_mw", F.lit(0.0)) * F.col("turbine_share")).alias("target_turb_mw"), (F.coalesce("installed_storage_mwh", F.lit(0.0)) * F.col("storage_share")).alias("target_storage_mwh"), rule.alias("allocation_rule"))
+    out = out.select(*KEY, "bus", "turbine_share", "storage_share", (F.coalesce("installed_turb_mw", F.lit(0.0)) * F.col("turbine_share")).alias("target_turb_mw"), (F.coalesce("installed_storage_mwh", F.lit(0.0)) * F.col("storage_share")).alias("target_storage_mwh"), rule.alias("allocation_rule"))
+    return materialise(out, "targets")
 
 
 def constraint_rows(weekly: DataFrame, targets: DataFrame) -> DataFrame:
