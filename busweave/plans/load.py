@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import loose_number
-from ..operators.shares import proxy_shares
+from ..operators.shares import partition_share, proxy_shares
 
 PROTECTED = ("NI", "UA", "MD")
 
@@ -51,3 +51,8 @@ def node_shares(regions: DataFrame, buses: DataFrame, population: float = 0.4, p
     r = regions.where("lat is not null and lon is not null").select("country", F.col("region_id").alias("region"), "lat", "lon", F.greatest(F.coalesce("pop", F.lit(0.0)), F.lit(0.0)).alias("population"), F.greatest(F.coalesce("gdp", F.lit(0.0)), F.lit(0.0)).alias("gdp"))
     n = buses.where("lat is not null and lon is not null").select("country", F.col("bus_id").alias("node"), F.col("cluster_id").alias("cluster"), "lat", "lon").dropDuplicates(["country", "node"])
     return proxy_shares(r, n, "country", {"population": population, "gdp": product}, alpha).withColumnRenamed("cluster", "bus")
+
+
+def proxy_free_shares(nodes: DataFrame, group: str, value: str) -> DataFrame:
+    """Nodes with their share of the group by a value of their own, where no proxy regions are needed."""
+    return partition_share(nodes, [group], value)

@@ -341,7 +341,7 @@ def cluster_membership(spark: SparkSession, d: str) -> DataFrame:
     """with s as (select distinct country, cluster_id as bus from buses_with_clusters where country is not null and cluster_id is not null), t as (select country, sum(cap) as d, sum(cap) * 0.9::double as ch, sum(cap) * 4 as e, sum(cap * coalesce((year - 2000) / cast(100 as double), 1)) as w from (select distinct * from res_targets) where length(country) = 2 group by 1),
     c as (select s.country, s.bus, case when ascii(right(bus, 1)) % 2 = 0 and s.country < 'F' then 10.0 else 0 end::double as cur, case when ascii(right(bus, 1)) % 3 = 0 and s.country < 'P' then 5.0 else 0 end::double as res, case when s.country < 'S' then length(bus) + ascii(right(bus, 1)) % 5 else 0 end::double as ld from s),
     x as (select *, sum(cur + res) over k as sc, sum(ld) over k as sl, count(*) over k as n from c window k as (partition by country)), y as (select *, case when sc > 0 then 'combined' when sl > 0 then 'load_share' else 'uniform' end as rule, case when sc > 0 then (cur + res) / sc when sl > 0 then ld / sl else 1 / cast(n as double) end as share from x)
-    select y.country, bus, rule, round(share, 6) as share, round(d * share, 4) as discharge_mw, round(e * share, 4) as energy_mwh, round(w / d, 6) as eff, round(d * share * (w / d), 4) as effective_mw, round(d * share * case when cur + res <> 0 then cur / (cur + res) else 0 end, 4) as current_part_mw from y join t on t.country = y.country where share > 0 and d is not null""",
+    select y.country, bus, rule, round(share, 6) as share, round(d * share, 6) as discharge_mw, round(e * share, 6) as energy_mwh, round(w / d, 6) as eff, round(d * share * (w / d), 6) as effective_mw, round(d * share * case when cur + res <> 0 then cur / (cur + res) else 0 end, 6) as current_part_mw from y join t on t.country = y.country where share > 0 and d is not null""",
 )
 def battery_sites(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "buses_with_clusters").where("country is not null and cluster_id is not null").select("country", F.col("cluster_id").alias("bus")).distinct()
@@ -352,7 +352,7 @@ def battery_sites(spark: SparkSession, d: str) -> DataFrame:
     rows = _once(spark, d, "res_targets").where("length(country) = 2").select("country", F.col("cap").alias("discharge_mw"), (F.col("cap") * 0.9).alias("charge_mw"), (F.col("cap") * 4).alias("energy_mwh"), ((F.col("year") - 2000) / 100).alias("eff"))
     out = siting.batteries(siting.battery_targets(rows).where("discharge_mw is not null"), current, res, loads, s)
     out = out.select("country", "bus", "rule", "share", "discharge_mw", "energy_mwh", "eff", "effective_mw", "current_part_mw")
-    return _rounded(_rounded(out, 6, "share", "eff"), 4, "discharge_mw", "energy_mwh", "effective_mw", "current_part_mw")
+    return _rounded(out, 6, "share", "eff", "discharge_mw", "energy_mwh", "effective_mw", "current_part_mw")
 
 
 @_query(
@@ -386,3 +386,242 @@ def plant_predicates(spark: SparkSession, d: str) -> DataFrame:
     tech = fn.thermal_technology(F.col("technology"), code)
     sync = fn.is_synchronous(F.col("fuel"), F.col("technology"), benchmark.SYNCHRONOUS_FUELS, benchmark.NOT_SYNCHRONOUS)
     return p.select("fuel", "set_name", "technology", code.alias("code"), tech.alias("tech"), fn.has_heat(F.col("set_name"), F.col("technology")).alias("heat"), fn.is_thermal(F.col("fuel"), F.col("set_name")).alias("thermal"), fn.inertia_seconds(code, tech).alias("inertia_s"), sync.alias("synchronous"))
+
+
+# ---- transmission and flexible loads -------------------------------------------------------------------------------------------
+
+_CODES = "nc as (select n_nationkey as k, chr(80 + n_nationkey % 5) || chr(75 + n_nationkey // 5) as c from nation)"
+
+
+def _borders(spark: SparkSession, d: str) -> DataFrame:
+    """Trade between nations as borders ``A00-B00`` of every pair of nations and flag."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), F.concat(F.chr(80 + F.col("n_nationkey") % 5), F.chr((75 + F.floor(F.col("n_nationkey") / 5)).cast("int"))).alias("ca"))
+    f = _flows(spark, d, "l_quantity", "l_returnflag").groupBy("a", "b", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
+    f = f.join(n, "a").join(n.withColumnsRenamed({"a": "b", "ca": "cb"}), "b")
+    zone = lambda c: F.concat(c, F.when(F.col("l_returnflag") == "R", "00DC").otherwise("00"))
+    return f.select(F.concat(zone(F.col("ca")), F.lit(" - "), zone(F.col("cb"))).alias("border"), F.col("q").alias("forward"), (F.col("q") / 2).alias("backward"))
+
+
+@_query(
+    "transfer_limits",
+    f"""with {_FLOWS.replace('l_shipdate from', 'l_shipdate, l_returnflag from')}, {_CODES}, f as (select x.c as ca, y.c as cb, l_returnflag = 'R' as dc, sum(l_quantity) as q from flows join nc x on a = x.k join nc y on b = y.k group by a, b, 1, 2, 3, l_returnflag),
+    m as (select case when ca = 'PK' then 'QL' else ca end as a, case when cb = 'PK' then 'QL' else cb end as b, case when dc then 'hvdc' else 'hvac' end as kind, q from f where ca <> 'RM' and cb <> 'RM')
+    select least(a, b) as first, greatest(a, b) as second, round(sum(case when a < b then q else q / 2 end), 2) as to_mw, round(sum(case when a < b then q / 2 else q end), 2) as from_mw, count(*) as n_rows, case when min(kind) = max(kind) then min(kind) else 'mixed' end as kind from m where a <> b group by 1, 2""",
+)
+def transfer_limits(spark: SparkSession, d: str) -> DataFrame:
+    mapping = spark.createDataFrame([("PK", "QL")], "source_country string, target_country string")
+    return _rounded(flexible.transfer_limits(_borders(spark, d), mapping, spark.createDataFrame([("RM",)], "country string")), 2, "to_mw", "from_mw")
+
+
+_BANDS = """bands as (select n_nationkey::varchar as market_node, (n_nationkey % 20)::varchar as country, p_size as band_id, sum(p_retailprice) as mw, count(*)::double as units from part join nation on p_partkey % 25 = n_nationkey group by 1, 2, 3),
+shares as (select s_nationkey::varchar as country, s_suppkey as bus, greatest(s_acctbal, 0) / sum(greatest(s_acctbal, 0)) over (partition by s_nationkey) as share from supplier where s_nationkey < 15)"""
+
+
+def _bands(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = F.col("p_partkey") % 25
+    bands = table(spark, d, "part").groupBy(k.cast("string").alias("market_node"), (k % 20).cast("string").alias("country"), F.col("p_size").alias("band_id")).agg(F.sum("p_retailprice").alias("installed_capacity_mw"), F.count(F.lit(1)).cast("double").alias("units"))
+    s = table(spark, d, "supplier").where("s_nationkey < 15").select(F.col("s_nationkey").cast("string").alias("country"), F.col("s_suppkey").alias("bus"), fn.positive(F.col("s_acctbal")).alias("v"))
+    shares = load.proxy_free_shares(s, "country", "v").select("country", "bus", "share")
+    return bands, shares, spark.createDataFrame([("7", "8")], "source_country string, target_country string")
+
+
+@_query(
+    "response_bands_by_bus",
+    f"with {_BANDS}, m as (select case when country = '7' then '8' else country end as country, market_node || '|' || band_id as band_uid, mw, units from bands) select m.country, band_uid, bus, round(mw * share, 4) as installed_capacity_mw, round(units * share, 6) as units, 'dsr|' || band_uid || '|' || bus as unit_id from m join shares s on s.country = m.country where share > 0",
+)
+def response_bands_by_bus(spark: SparkSession, d: str) -> DataFrame:
+    out = flexible.bus_bands(*_bands(spark, d)).select("country", "band_uid", "bus", "installed_capacity_mw", "units", "unit_id")
+    return _rounded(_rounded(out, 4, "installed_capacity_mw"), 6, "units")
+
+
+@_query(
+    "response_band_totals",
+    f"""with {_BANDS}, a as (select case when country = '7' then '8' else country end as country, sum(mw) as v from bands group by 1), b as (select country, v from a where country in (select country from shares where share > 0))
+    select country, round(a.v, 2) as left_value, round(coalesce(b.v, 0), 2) as right_value, case when b.v is null then 'left_only' else 'both' end as sides, round(coalesce(b.v, 0) - a.v, 2) + 0 as difference from a left join b using (country)""",
+)
+def response_band_totals(spark: SparkSession, d: str) -> DataFrame:
+    bands, shares, mapping = _bands(spark, d)
+    model = load.model_country(bands, mapping).drop("country").withColumnRenamed("country_model", "country")
+    out = flexible.band_diagnostics(model, flexible.bus_bands(bands, shares, mapping))
+    return out.withColumns({c: F.round(c, 2) + 0 for c in ("left_value", "right_value", "difference")})
+
+
+@_query(
+    "availability_by_bus",
+    f"""with {_BANDS}, p as (select case when country = '7' then '8' else country end as country, band_id as hour, sum(mw * (band_id % 3)) as av, sum(mw * 3) as ic from bands group by 1, 2)
+    select p.country, hour, bus, round(av / ic, 6) as availability_factor from p join shares s on s.country = p.country where share > 0""",
+)
+def availability_by_bus(spark: SparkSession, d: str) -> DataFrame:
+    bands, shares, mapping = _bands(spark, d)
+    profile = bands.select("country", F.col("band_id").alias("hour"), (F.col("installed_capacity_mw") * (F.col("band_id") % 3)).alias("available_capacity_mw"), (F.col("installed_capacity_mw") * 3).alias("installed_capacity_mw"))
+    return _rounded(flexible.bus_availability(profile, shares, mapping, ["hour"]).select("country", "hour", "bus", "availability_factor"), 6, "availability_factor")
+
+
+# ---- renewables --------------------------------------------------------------------------------------------------------------
+
+_CELLS = """cells as (select p_partkey as cell, p_partkey % 25 as country, p_brand as bus_id, p_retailprice - 800 as p_nom_max_mw, p_size / cast(50 as double) as mean_cf, (p_size % 6) - 1 as resource_class from part), kept as (select * from cells where p_nom_max_mw > 0 and p_nom_max_mw >= 150 and mean_cf >= 0.1),
+cur as (select bus_id, sum(p_nom_max_mw) / 4 as c from kept where bus_id < 'Brand#4' group by 1), now as (select kept.*, coalesce(c, 0) * case when sum(p_nom_max_mw) over b > 0 then p_nom_max_mw / sum(p_nom_max_mw) over b else 1 / cast(count(*) over b as double) end as have from kept left join cur using (bus_id) window b as (partition by bus_id)),
+goal as (select country, sum(have) as current, sum(p_nom_max_mw) * 0.6::double as target, greatest(sum(p_nom_max_mw) * 0.6::double - sum(have), 0) as delta from now group by 1)"""
+
+
+def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, d, "part")
+    cells = p.select(F.col("p_partkey").alias("cell"), (F.col("p_partkey") % 25).alias("country"), F.col("p_brand").alias("bus_id"), (F.col("p_retailprice") - 800).alias("p_nom_max_mw"), (F.col("p_size") / 50).alias("mean_cf"), (F.col("p_size") % 6 - 1).alias("resource_class"))
+    kept = renewables.keep_cells(cells, "pv", {"pv": 150.0}, {"pv": 0.1})
+    current = kept.where("bus_id < 'Brand#4'").groupBy("bus_id").agg((F.sum("p_nom_max_mw") / 4).alias("capacity_mw"))
+    now = renewables.current_by_cell(kept, current)
+    return now, now.groupBy("country").agg((F.sum("p_nom_max_mw") * 0.6).alias("target"))
+
+
+@_query(
+    "scenario_cells",
+    f"""with {_CELLS}, room as (select *, greatest(p_nom_max_mw - have, 0) as room from now), cls as (select country, resource_class as k, sum(room) as cr, count(*) as n from room where resource_class >= 0 and room > 0 group by 1, 2),
+    bud as (select cls.*, least(cr, greatest(0, delta - coalesce(sum(cr) over (partition by country order by k desc rows between unbounded preceding and 1 preceding), 0))) as budget from cls join goal using (country)),
+    ins as (select r.country, r.resource_class as k, (budget - coalesce(sum(room) over (partition by r.country, r.resource_class order by room, cell rows between unbounded preceding and 1 preceding), 0)) / (n - row_number() over (partition by r.country, r.resource_class order by room, cell) + 1) as level from room r join bud on bud.country = r.country and bud.k = r.resource_class where room > 0),
+    lev as (select country, k, max(level) as level from ins group by 1, 2)
+    select r.country, cell, bus_id, round(have, 6) as current_capacity_mw, round(have + coalesce(case when room > 0 then least(room, greatest(0, level)) end, 0), 6) as scenario_capacity_mw from room r left join lev on lev.country = r.country and lev.k = r.resource_class""",
+)
+def scenario_cells(spark: SparkSession, d: str) -> DataFrame:
+    cells, targets = _cells(spark, d)
+    out = renewables.scenario_cells(cells, targets)[0].select("country", "cell", "bus_id", "current_capacity_mw", "scenario_capacity_mw")
+    return _rounded(out, 6, "current_capacity_mw", "scenario_capacity_mw")
+
+
+@_query(
+    "renewable_generation",
+    f"""with {_CELLS}, series as (select l_partkey as cell, extract(month from l_shipdate)::int as month, case when avg(l_discount) * 8 < 0.2013 then 0 else avg(l_discount) * 8 end as cf from lineitem group by 1, 2), caps as (select cell, bus_id || '@' || country as node, country, case when country % 7 = 3 then 0 else have end as w from now),
+    prof as (select node, month, sum(cf * w) / sum(w) as cf from series join caps using (cell) where w > 0 group by 1, 2), nodes as (select node, country, sum(w) as cap from caps group by 1, 2),
+    grid as (select c as country, m::int as month, case when c % 5 = 4 then 0 else 1000.0 * (c + m) end::double as total from range(25) a(c), range(1, 13) b(m)),
+    raw as (select g.country, g.month, total, n.node, cap, cf * cap as raw from grid g join nodes n on n.country = g.country left join prof p on p.node = n.node and p.month = g.month),
+    s as (select *, sum(raw) over k as sr, count(raw) over k as kn, sum(cap) over k as sc from raw window k as (partition by country, month)),
+    o as (select *, case when total <= 0 then 'zero_national' when sr > 0 then 'scaled' when kn > 0 then 'profile_zero' when sc > 0 then 'capacity_fallback' else 'no_profile_no_capacity' end as mode from s)
+    select country, month, node, mode, round(case mode when 'scaled' then coalesce(raw, 0) * (total / sr) when 'capacity_fallback' then cap / sc * total else 0 end, 3) as generation from o""",
+)
+def renewable_generation(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)[0].withColumn("node", F.concat_ws("@", "bus_id", "country")).select("node", "country", F.col("cell").alias("row_ix"), F.lit(0).alias("col_ix"), F.when(F.col("country") % 7 == 3, 0.0).otherwise(F.col("current_capacity_mw")).alias("scenario_capacity_mw"))
+    series = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("row_ix"), F.month("l_shipdate").alias("month")).agg((F.avg("l_discount") * 8).alias("cf")).withColumn("col_ix", F.lit(0))
+    c, m = F.col("c"), F.col("month")
+    national = spark.range(25).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).select(c.alias("country"), "month", F.when(c % 5 == 4, 0.0).otherwise(1000.0 * (c + m)).alias("generation"))
+    out = renewables.generation(national, series, cells, cells.select("node", "country").distinct(), ["month"], "node", 0.2013)
+    return _rounded(out.select("country", "month", "node", "mode", "generation"), 3, "generation")
+
+
+@_query(
+    "runoff_profiles",
+    """with r as (select case when n_nationkey = 3 then 4 else n_nationkey end as country, extract(month from o_orderdate)::int as time, sum(o_totalprice) as v from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2), f as (select (select sum(s_acctbal) from supplier) / (select sum(v) from r) as factor),
+    cap as (select s_nationkey as country, s_suppkey as bus_id, ['ror', 'wr', 'phs'][s_suppkey % 3 + 1] as plant_type, s_acctbal + 2000 as mw from supplier), pc as (select country, sum(mw) as c from cap where plant_type <> 'phs' group by 1)
+    select bus_id, time, plant_type, round(v * factor / c * mw, 6) as inflow from cap join pc using (country) join r using (country), f where c > 0""",
+)
+def runoff_profiles(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("country"))
+    runoff = table(spark, d, "orders").groupBy("o_custkey", F.month("o_orderdate").alias("time")).agg(F.sum("o_totalprice").alias("v")).join(c, "o_custkey").groupBy("country", "time").agg(F.sum("v").alias("runoff"))
+    s = table(spark, d, "supplier")
+    kinds = F.array(F.lit("ror"), F.lit("wr"), F.lit("phs"))
+    capacity = s.select(F.col("s_nationkey").alias("country"), F.col("s_suppkey").alias("bus_id"), kinds[(F.col("s_suppkey") % 3).cast("int")].alias("plant_type"), (F.col("s_acctbal") + 2000).alias("capacity_mw"))
+    merged = spark.createDataFrame([(3, 4)], "source_country int, target_country int")
+    return _rounded(renewables.runoff_profiles(runoff, s.select(F.col("s_acctbal").alias("inflow")), capacity, merged), 6, "inflow")
+
+
+# ---- networks ----------------------------------------------------------------------------------------------------------------
+
+_GRID = f"""nodes as (select s_suppkey as id, s_suppkey::varchar as bus_id, s_nationkey as country, {_lat('s_suppkey')} as lat, {_lon('s_suppkey')} as lon, s_suppkey % 11 = 0 as dc, case when s_suppkey % 4 = 0 then 220 when s_suppkey % 4 = 1 then 380 else 400 end as kv from supplier),
+lines as (select p_partkey::varchar as line_id, a.bus_id as a, b.bus_id as b, a.country as ca, b.country as cb, 0.1::double * p_size as r, 1 + p_size % 7 as x, case when p_size % 6 = 0 then 0 else p_retailprice end as s_nom, 10.0::double + p_partkey % 90 as length, a.kv as voltage, 1 + p_partkey % 2 as circuits
+  from part join (select *, max(id) over () + 1 as n from nodes) a on a.id = p_partkey % a.n join nodes b on b.id = (p_partkey * 7 + p_size) % a.n where a.id <> b.id)"""
+
+
+def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as nodes, parts as lines between two of them."""
+    k = F.col("s_suppkey")
+    nodes = table(spark, d, "supplier").select(k.alias("id"), k.cast("string").alias("bus_id"), F.col("s_nationkey").cast("string").alias("country"), F.expr(_lat("s_suppkey")).alias("lat"), F.expr(_lon("s_suppkey")).alias("lon"), (k % 11 == 0).alias("dc_bool"), F.when(k % 4 == 0, 220.0).when(k % 4 == 1, 380.0).otherwise(400.0).alias("voltage"), F.concat(F.lit("S"), (F.col("s_nationkey") % 5).cast("string")).alias("sync_area"))
+    n = nodes.agg((F.max("id") + 1).alias("n"))
+    p = table(spark, d, "part").crossJoin(F.broadcast(n))  # one row
+    ends = p.select("*", (F.col("p_partkey") % F.col("n")).alias("ia"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("n")).alias("ib")).where("ia <> ib")
+    at = lambda s: nodes.select(F.col("id").alias(f"i{s}"), F.col("bus_id").alias(s), F.col("voltage").alias(f"_kv{s}"))
+    lines = ends.join(at("a"), "ia").join(at("b"), "ib")
+    return nodes, lines.select(F.col("p_partkey").cast("string").alias("line_id"), "a", "b", (0.1 * F.col("p_size")).alias("r"), (1 + F.col("p_size") % 7).cast("double").alias("x"), F.when(F.col("p_size") % 6 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("s_nom"), (10.0 + F.col("p_partkey") % 90).alias("length"), F.col("_kva").alias("voltage"), (1 + F.col("p_partkey") % 2).cast("double").alias("circuits"))
+
+
+@_query(
+    "impute_ratings",
+    f"""with {_GRID}, k as (select *, case when voltage in (380, 400) then 380 else voltage end as c from lines), side as (select ca as country, c, quantile_cont(s_nom, 0.5) as m from k where ca = cb and s_nom > 0 group by 1, 2), cls as (select c, quantile_cont(s_nom, 0.5) as m from k where s_nom > 0 group by 1), al as (select quantile_cont(s_nom, 0.5) as m from k where s_nom > 0)
+    select line_id, case when s_nom > 0 then 'given' when a_.m is not null and b_.m is not null then 'both_sides' when coalesce(a_.m, b_.m) is not null then 'one_side' when cls.m is not null then 'class' when al.m is not null then 'global' else 'default' end as s_nom_source,
+      round(case when s_nom > 0 then s_nom else coalesce((a_.m + b_.m) / 2, a_.m, b_.m, cls.m, al.m, 1) end, 6) as s_nom from k left join side a_ on a_.country = ca and a_.c = k.c left join side b_ on b_.country = cb and b_.c = k.c left join cls on cls.c = k.c, al""",
+)
+def impute_ratings(spark: SparkSession, d: str) -> DataFrame:
+    nodes, lines = _grid(spark, d)
+    return _rounded(grid.impute_ratings(lines, nodes), 6, "s_nom").select("line_id", "s_nom_source", "s_nom")
+
+
+@_query("edge_weights", f"with {_GRID} select least(a, b) as a, greatest(a, b) as b, round(sum(circuits / cast(x as double) * s_nom), 6) as w from lines group by 1, 2")
+def edge_weights(spark: SparkSession, d: str) -> DataFrame:
+    nodes, lines = _grid(spark, d)
+    return _rounded(grid.edge_weights(lines, nodes, "rated"), 6, "w")
+
+
+@_query("edge_distances", f"with {_GRID} select least(l.a, l.b) as a, greatest(l.a, l.b) as b, round(sum(1 / greatest({_KM.replace('6371.0', '6371.0088')}, 1e-3)), 9) as w from lines l join nodes a on a.bus_id = l.a join nodes b on b.bus_id = l.b group by 1, 2")
+def edge_distances(spark: SparkSession, d: str) -> DataFrame:
+    nodes, lines = _grid(spark, d)
+    return _rounded(grid.edge_weights(lines, nodes, "distance"), 9, "w")
+
+
+@_query("line_templates", f"with {_GRID} select case when voltage in (380, 400) then 380 else voltage end as class, round(quantile_cont(r * circuits / length, 0.5), 9) as r_per, round(quantile_cont(x * circuits / length, 0.5), 9) as x_per, round(quantile_cont(s_nom / circuits, 0.5), 6) as s_per from lines where length > 0 group by 1")
+def line_templates(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_rounded(grid.line_templates(_grid(spark, d)[1]), 9, "r_per", "x_per"), 6, "s_per")
+
+
+@_query("exclude_countries", f"with {_GRID} select line_id from lines where ca not in (3, 9) and cb not in (3, 9)")
+def exclude_countries(spark: SparkSession, d: str) -> DataFrame:
+    nodes, lines = _grid(spark, d)
+    return grid.exclude_countries(nodes, spark.createDataFrame([("3",), ("9",)], "country string"), lines)[1][0].select("line_id")
+
+
+@_query(
+    "cluster_budget",
+    f"""with {_GRID}, g as (select country, count(*) as n, sum(lat) as w from nodes group by 1), a as (select *, least(1, n) as k0, greatest(60 - sum(least(1, n)) over (), 0) as left0 from g), b as (select *, w / sum(w) over () * left0 as ideal from a), c as (select *, k0 + least(floor(ideal), n - k0) as k1 from b),
+    e as (select *, greatest(60 - sum(k1) over (), 0) as left1, row_number() over (order by n - k1 > 0 desc, ideal - floor(ideal) desc, n desc, country) as place from c), f as (select *, k1 + case when n - k1 > 0 and place <= left1 then 1 else 0 end as k2 from e),
+    h as (select *, greatest(60 - sum(k2) over (), 0) as left2, coalesce(sum(n - k2) over (order by n - k2 desc, country rows between unbounded preceding and 1 preceding), 0) as before from f)
+    select country::varchar as country, (k2 + greatest(0, least(n - k2, left2 - before)))::int as k from h""",
+)
+def cluster_budget(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _grid(spark, d)[0].withColumn("country", F.col("country").cast("int"))
+    return grid.cluster_budget(nodes, 60, ["country"], "lat").withColumn("country", F.col("country").cast("string"))
+
+
+@_query("cluster_corridors", f"with {_GRID} select least(ca, cb)::varchar as first, greatest(ca, cb)::varchar as second, round(sum(circuits / cast(x as double)), 6) as b from lines where ca <> cb group by 1, 2")
+def cluster_corridors(spark: SparkSession, d: str) -> DataFrame:
+    nodes, lines = _grid(spark, d)
+    pad = nodes.select("bus_id", F.lpad("country", 3, "0").alias("cluster_id"))
+    out = benchmark.cluster_corridors(lines, pad)
+    return _rounded(out.withColumns({c: F.col(c).cast("int").cast("string") for c in ("first", "second")}), 6, "b")
+
+
+@_query(
+    "snap_projects",
+    f"""with {_GRID}, pr as (select o_orderkey as project_id, 35 + cast(o_orderkey * 37 % 3600 as double) / 100 as lat, -10 + cast(o_orderkey * 53 % 4000 as double) / 100 as lon, year(o_orderdate) as y, o_orderstatus = 'F' as up from orders where o_orderkey % 50 = 0),
+    near as (select project_id, y, up, min({{'km': {_KM.replace('6371.0', '6371.0088')}, 'n': b.bus_id}}) as m from pr a, nodes b where not dc group by 1, 2, 3)
+    select project_id, m.n as bus_id, case when m.km <= 10 then 'good' when m.km <= 20 then 'review' else 'poor' end as quality from near""",
+)
+def snap_projects(spark: SparkSession, d: str) -> DataFrame:
+    """The planned projects of the list (every fiftieth order is one) with their nearest AC node."""
+    k = F.col("o_orderkey")
+    projects = table(spark, d, "orders").where(k % 50 == 0).select(k.alias("point"), (35 + (k * 37 % 3600).cast("double") / 100).alias("lat"), (-10 + (k * 53 % 4000).cast("double") / 100).alias("lon"))
+    nodes = _grid(spark, d)[0].where("not dc_bool").select(F.col("bus_id").alias("node"), "lat", "lon")
+    out = jo.nearest(projects, nodes, radius=fn.EARTH_KM_IUGG)
+    return out.select(F.col("point").alias("project_id"), F.col("node").alias("bus_id"), jo.snap_quality(F.col("km")).alias("quality"))
+
+
+@_query(
+    "link_decisions",
+    """with f as (select year(o_orderdate) <= 2000 as t, year(o_orderdate) <= 1997 as b, ['good', 'review', 'poor'][o_orderkey % 3 + 1] as dc, ['good', 'review', 'poor', 'missing'][o_orderkey % 4 + 1] as ac, o_orderkey % 5 = 0 as m, o_orderstatus = 'F' as u, ['existing_pair', 'country_pair_mode', 'global_mode', 'none'][o_custkey % 4 + 1] as v, case when o_custkey % 9 <> 0 then 400 end as kv from orders),
+    a as (select case when not t then 'skip_after_target_year' when kv is null or (not m and dc = 'good' and v = 'none') then 'manual_review_no_voltage_inference' when m then case when b then 'likely_already_in_base' when u then 'candidate_update_existing_link' else 'review_existing_link_corridor' end
+      when ac not in ('good', 'review') then 'manual_review_snap_far' when dc in ('good', 'review') then case v when 'existing_pair' then 'candidate_add_link_reusing_dc_terminals' when 'country_pair_mode' then 'candidate_add_link_reusing_nearby_dc_terminals' when 'global_mode' then 'manual_review_voltage_assumption' else 'manual_review' end
+      else case v when 'country_pair_mode' then 'review_add_link_with_new_dc_terminals' when 'global_mode' then 'manual_review_voltage_and_terminal_topology' else 'manual_review' end end as action from f)
+    select action, case when action in ('skip_after_target_year', 'likely_already_in_base', 'manual_review_snap_far', 'manual_review_voltage_and_terminal_topology', 'manual_review_voltage_assumption', 'manual_review_no_voltage_inference') then 'ignore' when action like 'candidate_add_link%' then 'include_new_link_reuse_dc' when action = 'review_add_link_with_new_dc_terminals' then 'include_new_link_to_nearest_ac'
+      when action in ('candidate_update_existing_link', 'review_existing_link_corridor') then 'include_as_upgrade' else 'inspect' end as recommendation, count(*) as n from a group by 1, 2""",
+)
+def link_decisions(spark: SparkSession, d: str) -> DataFrame:
+    k, c, y = F.col("o_orderkey"), F.col("o_custkey"), F.year("o_orderdate")
+    pick = lambda names, i: F.array(*[F.lit(x) for x in names])[(i % len(names)).cast("int")]
+    action = jo.link_actions(y <= 2000, y <= 1997, pick(("good", "review", "poor"), k), pick(("good", "review", "poor", "missing"), k), k % 5 == 0, F.col("o_orderstatus") == "F", pick(("existing_pair", "country_pair_mode", "global_mode", "none"), c), F.when(c % 9 != 0, 400))
+    out = table(spark, d, "orders").select(action.alias("action")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("action", jo.recommendation(F.col("action"))[0].alias("recommendation"), "n")

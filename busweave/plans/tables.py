@@ -601,18 +601,18 @@ def resource_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Fuel names to be classified.
-_FUELS = ("Natural Gas", "Brown coal / lignite", "Hard Coal", "Oil shale", "Heavy oil", "Nuclear", "Biomass", "Waste", "Geothermal", "Hydrogen", "Wind", "CCGT gas")
+_FUELS = ("Natural Gas", "Brown coal / lignite", "Hard Coal", "Oil shale", "Heavy oil", "Nuclear", "Biomass", "Waste", "Geothermal", "Hydrogen", "Wind", "CCGT gas", "Biogas", "Biogas plant")
 _FUEL_LIST = ", ".join(f"'{f}'" for f in _FUELS)
 
 
 @_query(
     "fuel_classify",
-    f"""with f as (select [{_FUEL_LIST}][p_partkey % 12 + 1] as fuel from part), c as (select fuel, case when lower(fuel) like '%hydrogen%' then 'B101' when lower(fuel) like '%nuclear%' then 'B14' when lower(fuel) like '%lignite%' or lower(fuel) like '%brown coal%' then 'B02'
+    f"""with f as (select [{_FUEL_LIST}][p_partkey % 14 + 1] as fuel from part), c as (select fuel, case when fuel = 'Biogas' then 'B01' when lower(fuel) like '%hydrogen%' then 'B101' when lower(fuel) like '%nuclear%' then 'B14' when lower(fuel) like '%lignite%' or lower(fuel) like '%brown coal%' then 'B02'
       when lower(fuel) like '%coal%' then 'B05' when lower(fuel) like '%gas%' then 'B04' when lower(fuel) like '%oil shale%' then 'B07' when lower(fuel) like '%oil%' then 'B06' when lower(fuel) like '%bio%' then 'B01' when lower(fuel) like '%waste%' then 'B17' when lower(fuel) like '%geotherm%' then 'B09' else 'B20' end as code from f)
     select fuel, code, case code when 'B01' then 'bio' when 'B02' then 'lignite' when 'B04' then 'gas' when 'B05' then 'hard_coal' when 'B06' then 'oil' when 'B07' then 'oil_shale' when 'B09' then 'geothermal' when 'B14' then 'nuclear' when 'B17' then 'waste' else 'other' end as fuel_group, count(*) as n from c group by 1, 2, 3""",
 )
 def fuel_classify(spark: SparkSession, d: str) -> DataFrame:
-    fuel = F.array(*[F.lit(f) for f in _FUELS])[(F.col("p_partkey") % 12).cast("int")]
+    fuel = F.array(*[F.lit(f) for f in _FUELS])[(F.col("p_partkey") % 14).cast("int")]
     f = table(spark, d, "part").select(fuel.alias("fuel")).withColumn("code", fn.fuel_code(F.col("fuel")))
     return f.withColumn("fuel_group", fn.fuel_group(F.col("code"))).groupBy("fuel", "code", "fuel_group").agg(F.count(F.lit(1)).alias("n"))
 
