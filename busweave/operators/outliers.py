@@ -1,8 +1,9 @@
 """Implausible readings in periodic series, judged by each series' own behaviour.
 
 A robust autoregression predicts every week of a series (in logs) from the sound weeks before it and, run backwards, from those
-after it. A week beyond both predictions by the given factor is an additive outlier; one that agrees with what follows is a level
-shift and normal. Outliers are taken out and the predictions made again, with ever nearer weeks. Runs of one value and physical
+after it. What sound weeks miss between the two predictions gives the series' residual scale. A week beyond both predictions by the
+given factor, less what the level may be off by that scale, is an additive outlier; one that agrees with what follows or with what
+went before is a level shift and normal. Outliers are taken out and predictions and scale made again, with ever nearer weeks. Runs of one value and physical
 limits are tested apart. What recurs in the same weeks of every other year is normal.
 
 Series are dealt by hash to groups of about ``ROWS_PER_GROUP`` rows; a group's series are worked on together as one matrix, so
@@ -22,12 +23,12 @@ ROWS_PER_GROUP, SERIES_AT_ONCE = 60_000, 1_000
 
 @dataclass(frozen=True)
 class Rules:
-    """``factor``: how far beyond its surroundings a spike is; ``slack``: share of it that already counts, as the level is only
-    estimated; ``longest``: weeks a spike lasts at most; ``stuck``: weeks of one value from which on a changing series is stuck;
+    """``factor``: how far beyond its surroundings a spike is; ``scales``: residual scales of the series by which the estimated level may be
+    off, at most half the factor's logarithm; ``longest``: weeks a spike lasts at most; ``stuck``: weeks of one value from which on a changing series is stuck;
     ``over``: share by which a value may exceed its limit."""
 
     factor: float = 5.0
-    slack: float = 0.8
+    scales: float = 2.0
     longest: int = 5
     stuck: int = 6
     over: float = 0.01
@@ -64,13 +65,14 @@ def _memory(logs: np.ndarray, middle: np.ndarray) -> np.ndarray:
     return np.clip(np.nan_to_num(phi, nan=1.0), 0.5, 1.0)[:, None]
 
 
-def _deviation(x: np.ndarray, usable: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signed log distance beyond the two predictions (0 between them), and the lower and upper prediction."""
+def _deviation(x: np.ndarray, usable: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signed log distance beyond the two predictions (0 between them), the lower and upper prediction, and for each series the distance
+    from which on a week is an outlier."""
     middle = _row_median(np.where(usable & (x > 0), x, np.nan))
     floor = np.where(middle > 0, middle * 1e-4, 1e-9)[:, None]
     with np.errstate(invalid="ignore", divide="ignore"):
         logs = np.where(usable, np.log(np.maximum(x, floor)), np.nan)
-    limit, sound = np.log(rules.factor * rules.slack), usable.copy()
+    most, sound = np.log(rules.factor), usable.copy()
     for k in (2 * rules.longest - 1, rules.longest + 2, rules.longest - 1, 3):
         centre = _row_median(np.where(sound, logs, np.nan))[:, None]
         phi = _memory(np.where(sound, logs, np.nan), centre)
@@ -81,8 +83,11 @@ def _deviation(x: np.ndarray, usable: np.ndarray, rules: Rules) -> tuple[np.ndar
         with np.errstate(invalid="ignore"):
             d = np.where(logs > high, logs - high, np.where(logs < low, logs - low, 0.0))
         d = np.nan_to_num(np.where(usable, d, 0.0))
+        # Residual scale: the median distance of sound weeks from the middle of their predictions, as that of a normal error.
+        scale = 1.4826 * _row_median(np.where(sound, np.abs(logs - (low + high) / 2), np.nan))
+        limit = (most - np.minimum(rules.scales * np.nan_to_num(scale), most / 2))[:, None]
         sound = usable & (np.abs(d) < limit)
-    return d, np.exp(low), np.exp(high)
+    return d, np.exp(low), np.exp(high), limit
 
 
 def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +116,11 @@ def _every_other_year(like: np.ndarray, known: np.ndarray, cells: np.ndarray, we
     return seen > 0
 
 
-def judge(x: np.ndarray, limits: np.ndarray | None, weeks: int, rules: Rules = Rules()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def judge(x: np.ndarray, limits: np.ndarray | None, weeks: int, rules: Rules = Rules()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Flags for a matrix of series (rows) over years x weeks (columns), NaN where nothing is recorded.
 
-    Returns the kind of each cell (0 sound, 1 negative, 2 beyond its limit, 3 spike, 4 stuck) and the predictions between which a
-    cell would be sound. Infinite values count as spikes.
+    Returns the kind of each cell (0 sound, 1 negative, 2 beyond its limit, 3 spike, 4 stuck), the predictions between which a cell would
+    be sound, and the log distance from them from which on it isn't. Infinite values count as spikes.
     """
     known = ~np.isnan(x)
     kind = np.zeros(x.shape, dtype=np.int8)
@@ -124,8 +129,6 @@ def judge(x: np.ndarray, limits: np.ndarray | None, weeks: int, rules: Rules = R
         if limits is not None:
             kind[known & (kind == 0) & (x > limits * (1 + rules.over) + 1e-9)] = 2
     kind[np.isposinf(x) & (kind == 0)] = 3
-    usable = known & (kind == 0)
-    d, low, high = _deviation(np.where(usable, x, np.nan), usable, rules)
 
     # Runs of one value: an unknown week neither ends nor makes a run.
     index = np.where(known, np.arange(x.shape[1]), -1)
@@ -148,7 +151,10 @@ def judge(x: np.ndarray, limits: np.ndarray | None, weeks: int, rules: Rules = R
             if changing and not _every_other_year(x[s] == x[s, run[0]], known[s], run, weeks):
                 kind[s, run[kind[s, run] == 0]] = 4
 
-    limit = np.log(rules.factor * rules.slack)
+    # A reading stuck at 0 says nothing of the level around it; one stuck at another value still stands where the level was.
+    with np.errstate(invalid="ignore"):
+        usable = known & ((kind == 0) | ((kind == 4) & (x > 0)))
+    d, low, high, limit = _deviation(np.where(usable, x, np.nan), usable, rules)
     for sign in (1, -1):
         beyond = (d * sign >= limit) & usable & ~in_stuck
         alike = d * sign >= limit / 2
@@ -159,7 +165,7 @@ def judge(x: np.ndarray, limits: np.ndarray | None, weeks: int, rules: Rules = R
                 run = cells[a:b]
                 if run[-1] - run[0] + 1 <= rules.longest and not _every_other_year(alike[s], known[s], run, weeks):
                     kind[s, run] = 3
-    return kind, low, high
+    return kind, low, high, limit
 
 
 KINDS = ("", "negative", "limit", "spike", "stuck")
@@ -185,11 +191,11 @@ def _judge_group(batch: pa.Table, rules: Rules) -> pa.Table:
         x[s[::-1], c[::-1]] = value[at][::-1]  # of several records of one week the one with the smallest row_id stands
         top = np.full(x.shape, np.nan)
         top[s[::-1], c[::-1]] = ceiling[at][::-1]
-        kind, low, high = judge(x, top, weeks, rules)
+        kind, low, high, limit = judge(x, top, weeks, rules)
         mine, stands = kind[s, c], x[s, c]
         v, most = value[at], ceiling[at]
         other = ~((v == stands) | np.isnan(v))
-        f = rules.factor * rules.slack
+        f = np.exp(limit[s, 0])
         with np.errstate(invalid="ignore"):
             own = np.where(v < 0, 1, np.where(v > most * (1 + rules.over) + 1e-9, 2, np.where((v >= high[s, c] * f) | (v * f <= low[s, c]), 3, 0)))
         kinds[at] = np.where(np.isnan(v), 0, np.where(other, own, mine))

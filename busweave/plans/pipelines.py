@@ -185,13 +185,14 @@ def hydro_bounded_constraints(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     "hydro_constraint_rows",
     f"""with {_TARGETS}, {_WEEKLY}, tot as (select *, sum(tt) over k as at_ from targets window k as (partition by country, plant_type, technology))
-    select w.country, w.plant_type, w.technology, ref_year, week, bus, round(case when at_ <> 0 then tt / at_ else 0 end, 6) as turbine_share, round(coalesce(max_turb_mw, 0) * case when at_ <> 0 then tt / at_ else 0 end, 4) as max_turb_mw, round(coalesce(max_pump_mw, 0) * case when at_ <> 0 then tt / at_ else 0 end, 4) as max_pump_mw, round(st, 4) as installed_storage_mwh
+    select w.country, w.plant_type, w.technology, ref_year, week, bus, round(case when at_ <> 0 then tt / at_ else 0 end, 6) as turbine_share, round(coalesce(max_turb_mw, 0) * case when at_ <> 0 then tt / at_ else 0 end, 4) + 0 as max_turb_mw, round(coalesce(max_pump_mw, 0) * case when at_ <> 0 then tt / at_ else 0 end, 4) + 0 as max_pump_mw, round(st, 4) as installed_storage_mwh
     from w join tot t on t.country = w.country and t.plant_type = w.plant_type and t.technology = w.technology""",
 )
 def hydro_constraint_rows(spark: SparkSession, d: str) -> DataFrame:
     targets = hydro.target_rows(_hydro_capacity(spark, d), *_hydro_sites(spark, d))
     out = hydro.constraint_rows(_weekly(spark, d), targets).select("country", "plant_type", "technology", "ref_year", "week", "bus", "turbine_share", "max_turb_mw", "max_pump_mw", "installed_storage_mwh")
-    return _rounded(_rounded(out, 6, "turbine_share"), 4, "max_turb_mw", "max_pump_mw", "installed_storage_mwh")
+    out = _rounded(_rounded(out, 6, "turbine_share"), 4, "max_turb_mw", "max_pump_mw", "installed_storage_mwh")
+    return out.withColumns({c: F.col(c) + 0 for c in ("max_turb_mw", "max_pump_mw")})  # no negative zeros
 
 
 _INFLOW = """i as (select distinct * from hydro_bus_inflows where country is not null), s as (select country, plant_type, technology, weather_year, week, sum(case when national_inflow_mwh_week >= 0 then national_inflow_mwh_week end) as inflow from i where week <= 52 group by 1, 2, 3, 4, 5)"""

@@ -315,7 +315,7 @@ def test_judge_kinds():
     x[5, 92:104] = 0
     x[5, 144:156] = 0
     x[5, 196:208] = 0  # frozen every winter
-    kind, _, _ = outliers.judge(x, None, 52)
+    kind, _, _, _ = outliers.judge(x, None, 52)
     assert np.flatnonzero(kind[0]).tolist() == [30, 31, 100] and set(kind[0][[30, 31, 100]]) == {3}
     assert np.flatnonzero(kind[1] == 4).tolist() == list(range(60, 70))
     assert np.flatnonzero(kind[2]).tolist() == [12] and kind[2, 12] == 1
@@ -328,7 +328,7 @@ def test_judge_steady_and_limits():
     x[0, 10], x[0, 20:24], x[0, 50:70] = 45000, 0.5, 25.0
     x[1, 5] = 60.7
     x[2, :] = np.nan
-    kind, _, _ = outliers.judge(x, top, 52)
+    kind, _, _, _ = outliers.judge(x, top, 52)
     assert kind[0, 10] == 2 and (kind[0, 20:24] == 3).all() and not kind[0, 50:70].any() and (kind[0] > 0).sum() == 5
     assert np.flatnonzero(kind[1]).tolist() == [5] and not kind[2].any()
 
@@ -359,3 +359,16 @@ def test_salted_join_keeps_all(spark):
     plain = rows(left.join(right, "k", "left"), "id", "k", "v")
     assert rows(skew.salted_join(left, right, "k", hot=[1]), "id", "k", "v") == plain
     assert skew.hot_keys(left, "k", share=0.2, least_rows=10) == [1]
+
+
+def test_noise_widens_what_counts_as_the_level():
+    """A spike of 4.2 times is one where the level is only roughly known, and none where it is known well."""
+    rng = np.random.default_rng(5)
+    for noise, want in ((0.25, 3), (0.02, 0)):
+        x = np.exp(rng.normal(0, noise, (1, 104)) + 4)
+        x[0, 50] = np.median(x) * 4.2
+        kind, low, high, limit = outliers.judge(x, None, 52)
+        assert np.log(5) / 2 <= limit[0, 0] <= np.log(5)
+        assert kind[0, 50] == (want if x[0, 50] / high[0, 50] >= np.exp(limit[0, 0]) else 0) and (np.delete(kind[0], 50) == 0).all()
+    shift = np.exp(rng.normal(0, 0.05, (1, 104)) + np.where(np.arange(104) < 60, 3, 5))
+    assert (outliers.judge(shift, None, 52)[0] == 0).all()
