@@ -11,6 +11,8 @@ from ..session import materialise
 
 #: Degrees of latitude of the first search grid; each further one is four times as wide, the last holds the whole group.
 CELL_DEG, ROUNDS = 0.5, 4
+#: Parts the nodes are dealt to in the last round.
+LAST_PARTS = 32
 
 
 def nearest(points: DataFrame, nodes: DataFrame, group: str | None = None, cell: float = CELL_DEG, rounds: int = ROUNDS, radius: float = EARTH_KM) -> DataFrame:
@@ -30,9 +32,8 @@ def nearest(points: DataFrame, nodes: DataFrame, group: str | None = None, cell:
         size = cell * 4**i
         last = i == rounds
         if last:
-            left, right, keys = open_, n, g
-            if not g:
-                left, right, keys = left.withColumn("_all", F.lit(1)), right.withColumn("_all", F.lit(1)), ["_all"]
+            # The nodes are dealt to parts, and each point left looks into every part: no task meets all nodes of a group.
+            left, right, keys = open_.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(LAST_PARTS - 1)))), n.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(LAST_PARTS)).cast("int")), [*g, "_part"]
         else:
             row, col = lambda c: F.floor((c + 90) / size), lambda c: F.floor((c + 180) / size)
             right = n.withColumn("_r", row(F.col("_nlat"))).withColumn("_c", col(F.col("_nlon")))

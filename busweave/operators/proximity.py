@@ -102,8 +102,8 @@ class Slabs:
         self.region, self.x1, self.y1, self.x2, self.y2 = region, x1, y1, x2, y2
         self.bounds = np.unique(np.concatenate([x1, x2]))
 
-    def _locate(self, lo: float, hi: float, x: np.ndarray, y: np.ndarray, index: np.ndarray, out: list) -> None:
-        live = np.flatnonzero((self.x1 <= lo) & (self.x2 >= hi))
+    def _locate(self, live: np.ndarray, lo: float, hi: float, x: np.ndarray, y: np.ndarray, index: np.ndarray, out: list) -> None:
+        """Points of the slab from ``lo`` to ``hi`` among its edges ``live``."""
         if not len(live):
             return
         slope = (self.y2[live] - self.y1[live]) / (self.x2[live] - self.x1[live])
@@ -117,8 +117,8 @@ class Slabs:
             cut = lo + (left[j] - left[i]) / ((left[j] - left[i]) - (right[j] - right[i])) * (hi - lo)
             if lo < cut < hi:
                 west = x < cut
-                self._locate(lo, cut, x[west], y[west], index[west], out)
-                self._locate(cut, hi, x[~west], y[~west], index[~west], out)
+                self._locate(live, lo, cut, x[west], y[west], index[west], out)
+                self._locate(live, cut, hi, x[~west], y[~west], index[~west], out)
                 return
         order = np.lexsort((left + right,))
         live, slope = live[order], slope[order]
@@ -141,10 +141,18 @@ class Slabs:
         out: list = []
         slab = np.searchsorted(self.bounds, x, side="right") - 1
         order = np.argsort(slab, kind="stable")
+        # The slabs are swept from west to east: an edge joins those at hand at its first slab and leaves them after its last.
+        first, last = np.searchsorted(self.bounds, self.x1), np.searchsorted(self.bounds, self.x2)
+        coming = np.argsort(first, kind="stable")
+        starts = first[coming]
+        live, met = np.empty(0, dtype=int), 0
         for part in np.split(order, np.flatnonzero(np.diff(slab[order])) + 1):
             if len(part) and 0 <= slab[part[0]] < len(self.bounds) - 1:
                 s = slab[part[0]]
-                self._locate(self.bounds[s], self.bounds[s + 1], x[part], y[part], part, out)
+                upto = int(np.searchsorted(starts, s, side="right"))
+                live = np.concatenate([live, coming[met:upto]])
+                live, met = np.sort(live[last[live] > s]), upto
+                self._locate(live, self.bounds[s], self.bounds[s + 1], x[part], y[part], part, out)
         return out
 
 

@@ -43,14 +43,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders of steps this process has written and not yet removed.
+_steps: list[str] = []
+_at_exit: list = []
+
+
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends in files every executor can read again."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends in files every executor can read again.
+
+    The files stay until ``clear_steps``, as results are read lazily; at the latest they go when the process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _at_exit:
+        _at_exit.append(atexit.register(clear_steps, spark))
+    _steps.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_steps(spark: SparkSession) -> int:
+    """Removes the steps written so far, and gives their number. Frames built on them can't be read any more: call it between jobs.
+
+    A session that has ended removes nothing but local folders.
+    """
+    done = 0
+    while _steps:
+        path = _steps.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone when the process ends
+            if "://" in path and not path.startswith("file:"):
+                continue
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        done += 1
+    return done
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

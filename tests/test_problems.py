@@ -372,3 +372,25 @@ def test_noise_widens_what_counts_as_the_level():
         assert kind[0, 50] == (want if x[0, 50] / high[0, 50] >= np.exp(limit[0, 0]) else 0) and (np.delete(kind[0], 50) == 0).all()
     shift = np.exp(rng.normal(0, 0.05, (1, 104)) + np.where(np.arange(104) < 60, 3, 5))
     assert (outliers.judge(shift, None, 52)[0] == 0).all()
+
+
+def test_salts_follow_the_size_of_the_hottest_key(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 1000)
+    left = spark.range(90_000).select((F.col("id") % 3 * (F.col("id") % 2)).alias("k"), F.col("id").alias("v"))
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, name string")
+    counts = skew.hot_counts(left, "k")
+    assert counts == {0: 60_000}
+    out = skew.salted_join(left, right, "k", salt_by=["v"], hot=counts)
+    assert out.count() == 90_000 and out.where("k = 0 and name = 'a'").count() == 60_000
+
+
+def test_steps_are_removed(spark):
+    import os
+
+    from busweave import session
+
+    session.clear_steps(spark)
+    df = session.materialise(spark.range(5), "kept")
+    path = session._steps[-1].removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(path)
+    assert session.clear_steps(spark) == 1 and not os.path.isdir(path) and session.clear_steps(spark) == 0
