@@ -151,7 +151,7 @@ class Slabs:
                 s = slab[part[0]]
                 upto = int(np.searchsorted(starts, s, side="right"))
                 live = np.concatenate([live, coming[met:upto]])
-                live, met = np.sort(live[last[live] > s]), upto
+                live, met = live[last[live] > s], upto
                 self._locate(live, self.bounds[s], self.bounds[s + 1], x[part], y[part], part, out)
         return out
 
