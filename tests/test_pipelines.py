@@ -134,7 +134,7 @@ def test_thermal(spark):
     got = siting.thermal_units(siting.target_groups(groups), plants, priority, sites)
     assert rows(got, "fuel_code", "bus_id", "stage", "assigned") == [("B02", "b1", "bus_sequence", 1), ("B02", "s1", "decommissioned_lignite", 2), ("B04", "b1", "fuel_tech", 4), ("B04", "b2", "fuel_tech", 1), ("B14", "b1", "bus_sequence", 1), ("B14", "b2", "bus_sequence", 1)]
     d = spark.createDataFrame([("DE", "B04", "CCGT", 3.0, 5.0)], "country string, fuel_code string, tech string, weeks double, long_weeks double")
-    assert rows(siting.with_revisions(got, d), "fuel_code", "revision_weeks")[0] == ("B02", 3.0)
+    assert rows(siting.with_revisions(got, d), "fuel_code", "revision_weeks")[0] == ("B02", 4.0)  # steam without a listed duration: 4 weeks
 
 
 def test_batteries(spark):
